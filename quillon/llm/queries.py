@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import license_scan, quality_classifier, quality_rules, url_filters
+from quillon.llm import license_scan, near_dedup, quality_classifier, quality_rules, url_filters
 from quillon.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), s=near_dedup.Settings(size=2))
+
+
 #: The rules that op3 applies, as action, host, path.
 URL_RULES = [
     ("block", "net", "/"),

@@ -22,64 +22,100 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import mixed
+
 #: Stands for "the same word as the one before" (a word pair of one kind); no text holds it as a word.
 SAME = b"\x00 same"
-#: Words a worker remembers before it starts anew.
-WORDS = 300_000
+#: Words a worker remembers before it starts anew, and new ones it takes up at a time.
+WORDS, NEW = 200_000, 10_000
+MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 16
     dim: int = 16
-    n_min: int = 2
-    n_max: int = 4
+    n_min: int = 3
+    n_max: int = 5
     epochs: int = 12
     rate: float = 0.4
     #: Bounds of the training sample: rows, taken in the order of a hash of the id, and characters of a row.
-    sample_rows: int = 6000
-    sample_chars: int = 40_000
+    sample_rows: int = 3000
+    sample_chars: int = 20_000
     seed: int = 7
 
 
-def grams(word: bytes, s: Settings) -> list[int]:
-    """Buckets of the word and of its character n-grams, with ``<`` and ``>`` at its ends; case counts."""
-    if word == SAME:
-        return [xxhash.xxh3_64_intdigest(word, 2) % s.buckets]
-    word = word[:200]
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    own = [xxhash.xxh3_64_intdigest(text, 1)]
-    own += [xxhash.xxh3_64_intdigest(text[i : i + n]) for n in range(s.n_min, s.n_max + 1) for i in range(len(text) - n + 1)]
-    return [h % s.buckets for h in own]
+def grams(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, count for each word): each word's own bucket, then those of its n-grams of bytes.
+
+    ``<`` and ``>`` mark the ends of a word, and case counts. Sorted by word.
+    """
+    text = [b"<%b>" % w for w in words]
+    sizes = np.fromiter(map(len, text), np.int64, len(text))
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(text)), sizes)
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(owner))
+    data = np.frombuffer(b"".join(text), np.uint8).astype(np.uint64) + np.uint64(1)
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in words), np.uint64, len(words))
+    ids, owners = [whole % np.uint64(s.buckets)], [np.arange(len(words))]
+    h = np.zeros(len(data), np.uint64)
+    for n in range(1, s.n_max + 1):
+        h = h * MULTIPLIER
+        h[: len(data) - n + 1] += data[n - 1 :]
+        if n >= s.n_min:
+            fits = left >= n
+            ids.append(mixed(h[fits] + np.uint64(n)) % np.uint64(s.buckets))
+            owners.append(owner[fits])
+    own = np.concatenate(owners)
+    return np.concatenate(ids)[np.argsort(own, kind="stable")].astype(np.int64), np.bincount(own, minlength=len(words))
+
+
+def tokens(text: str | None) -> list[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    return words + [SAME] * sum(map(bytes.__eq__, words, words[1:]))
 
 
 class Bags(dict):
-    """Word to the row of a table of summed vectors, filled as words come."""
+    """Word to the row of a table of summed vectors; new words get theirs a block at a time."""
 
-    def __init__(self, table: np.ndarray, s: Settings):
+    def __init__(self, model: Model):
         super().__init__()
-        self.table, self.s = table, s
-        self.sums, self.counts = np.zeros((1024, table.shape[1]), np.float32), np.zeros(1024, np.float32)
+        self.model, self.new = model, []
+        dim = model.settings.dim
+        self.sums, self.counts = np.zeros((WORDS, dim), np.float32), np.zeros(WORDS, np.float32)
 
     def __missing__(self, word: bytes) -> int:
-        k = len(self)
-        if k == len(self.counts):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        ids = grams(word, self.s)
-        self.sums[k], self.counts[k] = self.table[ids].sum(0), len(ids)
-        self[word] = k
+        k = self[word] = len(self)
+        self.new.append(word)
         return k
 
-    def average(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if not words:
-            return np.zeros(self.sums.shape[1], np.float32)
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self) > len(self.counts):
+            more = max(len(self) - len(self.counts), len(self.counts) // 2)
+            self.sums = np.concatenate([self.sums, np.zeros((more, self.sums.shape[1]), np.float32)])
+            self.counts = np.concatenate([self.counts, np.zeros(more, np.float32)])
+        return found
+
+    def learn(self) -> None:
+        at = len(self) - len(self.new)
+        for k in range(0, len(self.new), NEW):
+            ids, counts = grams(self.new[k : k + NEW], self.model.settings)
+            own = slice(at + k, at + k + len(counts))
+            self.sums[own] = np.add.reduceat(self.model.vectors[ids], np.cumsum(counts) - counts)
+            self.counts[own] = counts
+        self.new = []
+
+    def averages(self, texts: list[str | None]) -> np.ndarray:
         if len(self) > WORDS:
             self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        same, mark = np.count_nonzero(rows[1:] == rows[:-1]), self[SAME]
-        return (self.sums[rows].sum(0) + same * self.sums[mark]) / (self.counts[rows].sum() + same * self.counts[mark])
+        each = [self.rows(tokens(t)) for t in texts]
+        self.learn()
+        out = np.zeros((len(texts), self.sums.shape[1]), np.float32)
+        for k, rows in enumerate(each):
+            if len(rows):
+                out[k] = self.sums[rows].sum(0) / self.counts[rows].sum()
+        return out
 
 
 @dataclass
@@ -101,19 +137,20 @@ def train(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     weights, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
-    seen: dict[bytes, list[int]] = {}
+    numbers: dict[bytes, int] = {}
+    docs = [np.unique([numbers.setdefault(w, len(numbers)) for w in tokens(text)], return_counts=True) for text, _ in rows]
+    ids, sizes = grams(list(numbers), s) if numbers else (np.empty(0, np.int64), np.empty(0, np.int64))
+    ids, ends = ids.astype(np.int32), np.cumsum(sizes)
     bags = []
-    for text, label in rows:
-        ids: list[int] = []
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        words += [SAME for a, b in zip(words, words[1:], strict=False) if a == b]
-        for w in words:
-            if (own := seen.get(w)) is None:
-                seen[w] = own = grams(w, s)
-            ids += own
-        keys, counts = np.unique(np.array(ids, np.int64), return_counts=True)
-        bags.append((keys.astype(np.int32), (counts / max(1, len(ids))).astype(np.float32), int(label)))
-    del seen
+    for (words, counts), (_, label) in zip(docs, rows, strict=True):
+        if len(words):
+            n = sizes[words]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keys, back = np.unique(ids[np.repeat(ends[words] - n, n) + inner], return_inverse=True)
+            part = np.bincount(back, weights=np.repeat(counts, n))
+            bags.append((keys, (part / part.sum()).astype(np.float32), int(label)))
+        else:
+            bags.append((np.empty(0, np.int32), np.empty(0, np.float32), int(label)))
     share = np.clip(np.bincount([b[2] for b in bags], minlength=2) / max(1, len(bags)), 1e-3, 1)
     bias += np.log(share).astype(np.float32)
     steps, total = 0, max(1, s.epochs * len(bags))
@@ -138,10 +175,11 @@ def train(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, s: Settings) -> list[tuple[str | None, int]]:
     """The training rows: of the labelled ones, the first by a hash of the id. Null labels are left out."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).alias("_label"))
-    both = docs.select(id_col, text).where(F.length(F.coalesce(F.col(text), F.lit(""))) <= s.sample_chars).join(known, id_col)
-    first = both.select(F.xxhash64(F.lit(s.seed), id_col).alias("_h"), F.col(text).alias("_text"), "_label").orderBy("_h", "_text").limit(s.sample_rows)
-    return [(r["_text"], r["_label"]) for r in first.collect()]
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("int").alias("_label"))
+    ids = known.orderBy(F.xxhash64(F.lit(s.seed), id_col), id_col).limit(s.sample_rows)
+    # At most sample_rows ids, so that texts needn't be shuffled to meet them.
+    both = docs.select(id_col, text).where(F.length(F.coalesce(F.col(text), F.lit(""))) <= s.sample_chars).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text).alias(text), F.min("_label").alias("_label"))
+    return [(r[text], r["_label"]) for r in sorted(both.collect(), key=lambda r: (r[id_col], r[text] or ""))]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,11 +188,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        bags = Bags(m.vectors, m.settings)
-        for batch in batches:
-            found = [bags.average(t.as_py()) for t in batch.column(1)]
-            scores = m.score(np.array(found, np.float32).reshape(len(found), m.settings.dim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
+        bags = Bags(m)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                scores = m.score(bags.averages(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, near_dedup, quality_classifier, quality_rules, substring_dedup, url_filters
+from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filters
 from quillon.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+
+
 #: Target weights: the source that has a third of all rows down to a tenth of the listed four, two small ones up.
 MIX_WEIGHTS = {"src0": 1.0, "src1": 3.0, "src2": 3.0, "src3": 3.0}
 

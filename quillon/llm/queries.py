@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filters
+from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, near_dedup, oracles, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filters
 from quillon.llm.common import table
 
 
@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

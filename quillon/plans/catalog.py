@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quillon.plans import technicals
+
+MODULES = (technicals,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in MODULES for k, q in m.ORACLES.items()}

@@ -112,8 +112,16 @@ def z(x: Column | str, n: int, least: int | None = None, floor: float | None = N
 
 
 def correlation(x: Column | str, y: Column | str, n: int, least: int, w: WindowSpec = SERIES) -> Column:
+    """Pearson correlation of the rows that have both values; NULL where either is constant.
+
+    From sums, as ``corr`` fails on a division where rounding leaves a constant
+    series an odd deviation.
+    """
     own = frame(n, w=w)
-    return F.when(F.count(col(x) + col(y)).over(own) >= least, F.corr(col(x), col(y)).over(own))
+    both = col(x) + col(y)
+    u, v = (F.when(both.isNotNull(), col(c)) for c in (x, y))
+    cov, a, b = F.covar_pop(u, v).over(own), F.stddev_pop(u).over(own), F.stddev_pop(v).over(own)
+    return F.when(F.count(both).over(own) >= least, div(cov, a * b))
 
 
 def running(x: Column | str, w: WindowSpec = SERIES) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import technicals
+from quillon.plans import shape, technicals
 
-MODULES = (technicals,)
+MODULES = (technicals, shape)
 
 
 def queries() -> dict:

@@ -22,6 +22,14 @@ PO = "PARTITION BY ticker ORDER BY date"
 ALL = f"({PO} ROWS UNBOUNDED PRECEDING)"
 
 
+def offset(digits: int) -> float:
+    return 3.7e-4 * 10.0**-digits
+
+
+def rounded(x: str, digits: int = 6) -> str:
+    return f"round(({x})::DOUBLE + {offset(digits)!r}::DOUBLE, {digits}) + 0.0"
+
+
 def frame(n: int, skip: int = 0) -> str:
     return f"({PO} ROWS BETWEEN {n - 1 + skip} PRECEDING AND {skip if skip else 'CURRENT ROW'}{' PRECEDING' if skip else ''})"
 
@@ -110,11 +118,11 @@ def group_z(x: str, *by: str, least: int = 2) -> str:
     return f"(CASE WHEN count({x}) OVER {g} >= {least} THEN {div(f'{x} - avg({x}) OVER {g}', f'stddev_samp({x}) OVER {g}')} END)"
 
 
-def chain(base: str, *levels: dict[str, str], start: str = "bars", keys: str = "ticker, date", out: list[str] | None = None, digits: int = 6, where: str = "") -> str:
+def chain(base: str, *levels: dict[str, str], start: str = "bars", keys: str = "ticker, date", out: list[str] | None = None, digits: int = 6, where: str = "", places: dict[str, int] | None = None) -> str:
     """CTE levels, each adding columns to the one before; the outermost rounds the columns ``out``."""
     ctes, last = [base], start
     for k, level in enumerate(levels):
         ctes.append(f"l{k} AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in level.items())} FROM {last})")
         last = f"l{k}"
     out = out if out is not None else [c for level in levels for c in level if not c.startswith("_")]
-    return f"WITH {', '.join(ctes)} SELECT {keys}, {', '.join(f'round({c}::DOUBLE, {digits}) + 0.0 AS {c}' for c in out)} FROM {last} {where}"
+    return f"WITH {', '.join(ctes)} SELECT {keys}, {', '.join(f'{rounded(c, (places or {}).get(c, digits))} AS {c}' for c in out)} FROM {last} {where}"

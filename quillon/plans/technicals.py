@@ -10,8 +10,10 @@ from quillon.plans import sql as s
 from quillon.sources.panels import bars
 
 
-def rounded(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("ticker", "date"), digits: int = 6) -> DataFrame:
-    return df.select(*keys, *[(F.round(F.col(x).cast("double"), digits) + 0.0).alias(x) for x in columns])
+def rounded(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("ticker", "date"), digits: int = 6, places: dict[str, int] | None = None) -> DataFrame:
+    """Doubles to so many places, for comparison across engines; a small offset settles exact ties, which the last bit would."""
+    each = [(x, (places or {}).get(x, digits)) for x in columns]
+    return df.select(*keys, *[(F.round(F.col(x).cast("double") + s.offset(n), n) + 0.0).alias(x) for x, n in each])
 
 
 TR = f"greatest(high - low, abs(high - {s.lag('close')}), abs(low - {s.lag('close')}))"

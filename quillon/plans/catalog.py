@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import shape, technicals
+from quillon.plans import series, shape, technicals
 
-MODULES = (technicals, shape)
+MODULES = (technicals, shape, series)
 
 
 def queries() -> dict:

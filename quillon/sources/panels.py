@@ -41,3 +41,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("trade_price"), size.alias("trade_size"), (F.col("value") * size).alias("trade_notional"),
         F.when(F.col("event_type") == "view", 1.0).otherwise(0.0).alias("off_exchange_flag"), F.when(F.col("event_type") == "view", 0.0).otherwise(1.0).alias("lit_exchange_flag"),
     )
+
+
+def index_bars(panel: DataFrame, ticker: str = "IDX") -> DataFrame:
+    """One bar per date over all instruments, as an instrument of its own."""
+    means = {x: F.avg(x).alias(x) for x in ("open", "close", "vwap")}
+    return panel.groupBy("date").agg(means["open"], F.max("high").alias("high"), F.min("low").alias("low"), means["close"], F.sum("volume").alias("volume"), means["vwap"], F.sum("transactions").alias("transactions")).withColumn("ticker", F.lit(ticker))
+
+
+def sector_closes(panel: DataFrame) -> DataFrame:
+    """(``label``, ``date``, ``close``): the mean close of each sector, a stand-in for macro proxies."""
+    return panel.where("sector is not null").groupBy(F.lower(F.col("sector")).alias("label"), "date").agg(F.avg("close").alias("close"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import series, shape, technicals
+from quillon.plans import cross, series, shape, technicals
 
-MODULES = (technicals, shape, series)
+MODULES = (technicals, shape, series, cross)
 
 
 def queries() -> dict:

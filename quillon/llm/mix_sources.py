@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import let, written
+
 #: A rate is split into parts of at most this mean, whose draws add up: exp(-mean) stays far from 0.
 PART = 32
 #: The inversion of a part stops here; the rest of the distribution is below 1e-15 for a mean of ``PART``.
 STEPS = 128
+#: Up to so many rates are broadcast.
+MOST_SOURCES = 100_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -28,21 +32,23 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 def poisson(rate: Column, seed: int, *key: Column) -> Column:
     """A Poisson draw of mean ``rate`` by inversion, fixed by seed and key."""
-    parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    mean = rate / parts
 
-    def one(k: Column) -> Column:
-        u = uniform(seed, *key, k)
-        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"), F.lit(0).alias("x"))
+    def invert(u: Column, mean: Column) -> Column:
+        """The number of values whose distribution function is at most ``u``."""
+        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
 
         def step(a: Column, _: Column) -> Column:
             p = a["p"] * mean / (a["n"] + 1)
-            over = u >= a["c"]
-            return F.when(over, F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["n"] + 1).alias("n"), (a["x"] + 1).alias("x"))).otherwise(a)
+            return F.when(u >= a["c"], F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["n"] + 1).alias("n"))).otherwise(a)
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda a: a["x"])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda a: a["n"])
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), parts), one), F.lit(0), lambda s, x: s + x)
+    def drawn(given: Column) -> Column:
+        draws = F.transform(F.sequence(F.lit(1), given["parts"]), lambda k: let(uniform(seed, *[given[f"k{i}"] for i in range(len(key))], k), lambda u: invert(u, given["mean"])))
+        return F.aggregate(draws, F.lit(0), lambda s, x: s + x)
+
+    parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
+    return let(F.struct(parts.alias("parts"), (rate / parts).alias("mean"), *[c.alias(f"k{i}") for i, c in enumerate(key)]), drawn)
 
 
 def rates(docs: DataFrame, weights: dict[str, float], source: str = "source", text: str = "text", epochs: float = 1.0) -> DataFrame:
@@ -77,11 +83,14 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     rest of their source; a column named ``copy`` is replaced.
     """
     docs = docs.drop("copy")
-    known = rates(docs, weights, source, text, epochs).select(F.col(source).alias("_source"), F.col("rate").alias("_rate"))
-    # One row per source; joined by shuffle if there are too many to send around, and then a hot source is split by AQE.
+    known = written(rates(docs, weights, source, text, epochs).select(F.col(source).alias("_source"), F.col("rate").alias("_rate")))
+    # One row per source, sent to all if there are few; else joined by shuffle, where AQE splits a hot source.
+    if known.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        known = F.broadcast(known)
     both = docs.join(known, docs[source].eqNullSafe(F.col("_source")), "left").drop("_source")
     n = poisson(F.coalesce("_rate", F.lit(0.0)), seed, F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    counted = both.withColumn("_n", n).where("_n > 0")
-    out = counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    # One explode, so that the draw is made once: an empty list drops the row.
+    copies = let(n, lambda x: F.when(x > 0, F.sequence(F.lit(0), x - 1)).otherwise(F.array().cast("array<int>")))
+    out = both.select(*docs.columns, F.explode(copies).alias("copy"))
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"), F.col(text))
     return out.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")

@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, ascii_lower, let
+from quillon.llm.common import SPACE, let
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-WHITE = " \t\n\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -67,13 +66,13 @@ def repeat_words(words: Column) -> Column:
 def statistics(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the base columns. A null text has no words, like an empty one."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     stats = let(
         words_of(t),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(t, WHITE, "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.length(t) - F.regexp_count(t, F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeat_words(w).alias("n_repeat_words"),
         ),
@@ -84,10 +83,15 @@ def statistics(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> D
     return out.withColumn("base_failed", failed)
 
 
+def normal(t: Column) -> Column:
+    """Lower case, white space other than line ends collapsed; most texts need no replacing."""
+    low, some = F.lower(t), r"[\x09\x0B-\x0D]|\x20\x20"
+    return F.when(low.rlike(some), F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
+
+
 def normal_lines(t: Column) -> Column:
-    """Lines with A-Z lower-cased and white space collapsed; those without a word are left out."""
-    flat = F.regexp_replace(ascii_lower(t), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """Normalised lines; those without a word are left out."""
+    return F.array_remove(F.transform(F.split(normal(t), "\n"), lambda x: F.trim(x)), "")
 
 
 def lost_lines(docs: DataFrame, id_col: str, text: str, host: str, rules: Rules, as_set: bool = False) -> DataFrame:
@@ -136,6 +140,6 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hos
     out = out.withColumn("kept", ~F.col("base_failed") & left)
     if clean:
         whole = F.split(F.col(text), "\n")
-        keep = F.filter(whole, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), F.xxhash64(F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09\x0B-\x0D]+", " ")))), F.lit(False)))
+        keep = F.filter(whole, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), F.xxhash64(F.trim(normal(x)))), F.lit(False)))
         out = out.withColumn(text, F.when(F.size("lost") > 0, F.array_join(keep, "\n")).otherwise(F.col(text))).drop("lost")
     return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import cross, series, shape, technicals
+from quillon.plans import cross, series, shape, technicals, universe
 
-MODULES = (technicals, shape, series, cross)
+MODULES = (universe, technicals, shape, series, cross)
 
 
 def queries() -> dict:

@@ -1,18 +1,21 @@
 """Near-duplicate documents: b-bit MinHash bands, packed signatures, exact confirmation.
 
 1. One map over the texts gives each document its number of shingles, a 128-bit
-   key of its shingle set, the band keys of its MinHash minima and a signature
-   of the minima's low bits, packed into longs.
+   key of its shingle set, the band keys of its MinHash minima and a signature:
+   the low bits of the minima of ``bins`` parts of the hash range, packed as bit
+   planes into longs.
 2. Documents with one set are one class from here on, represented by the
    smallest id: copies cost a row each, and never a pair.
-3. Each band bucket links its classes to its smallest one, never in all pairs.
-   Signatures weed these out by the estimated similarity (bit counts, corrected
-   for chance collisions of low bits), with a margin of five deviations; the
-   full shingle sets of the rest confirm or reject.
+3. Each band bucket links its classes to one of them, a different one in each
+   round, never in all pairs. Signatures weed these out by the estimated
+   similarity (bit counts, corrected for chance collisions of low bits), with a
+   margin of five deviations; the full shingle sets of the rest confirm or
+   reject. The first round takes the class that meets most others as the centre,
+   which in a group of copies is the text that they were made from.
 4. Buckets that still hold more than one component are searched within: only
    pairs of different components are estimated, in a join whose condition holds
    the estimate, and confirmed. This loses no link between components, whatever
-   the star missed.
+   the stars missed.
 5. Components of the confirmed links.
 
 With ``bands`` of ``rows`` minima, two documents of similarity s share no
@@ -36,25 +39,27 @@ from quillon.llm.components import components
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent``: documents are linked at this Jaccard similarity, in hundredths, or more."""
+    """``percent``: documents are linked at this Jaccard similarity, in hundredths, or more.
+    ``rounds``: of stars, before pairs within buckets."""
 
     size: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    bits: int = 4
+    bits: int = 3
+    bins: int = 1024
     margin: float = 5.0
+    slack: float = 0.005
+    rounds: int = 2
 
     @property
     def minima(self) -> int:
         return self.bands * self.rows
 
     @property
-    def floor(self) -> float:
-        """The least share of equal low-bit groups that a pair needs to be confirmed."""
-        chance, s = 2.0**-self.bits, self.percent / 100
-        p = chance + (1 - chance) * s
-        return p - self.margin * (p * (1 - p) / self.minima) ** 0.5
+    def planes(self) -> int:
+        """Longs of a signature."""
+        return self.bits * self.bins // 64
 
 
 class Hasher:
@@ -84,12 +89,17 @@ class Hasher:
             acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + column)
         return acc.view(np.int64)
 
-    def packed(self, minima: np.ndarray) -> np.ndarray:
-        """The low bits of the minima, ``64 // bits`` to a long."""
-        per = 64 // self.s.bits
-        low = (mixed(minima.astype(np.uint64)) & np.uint64((1 << self.s.bits) - 1))
-        low = np.concatenate([low, np.zeros(-len(low) % per, np.uint64)]).reshape(-1, per)
-        return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(self.s.bits)), axis=1).view(np.int64)
+    def packed(self, shingles: np.ndarray) -> np.ndarray:
+        """Bit planes: long ``j * bits + i`` holds bit ``i`` of bins ``64 * j`` and on; 0 stands for an empty bin.
+
+        Shingles are sorted, so the least of a bin is its first.
+        """
+        own = (shingles >> np.uint64(64 - (self.s.bins - 1).bit_length())).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        low = np.zeros(self.s.bins, np.uint64)
+        low[own[first]] = 1 + mixed(shingles[first]) % np.uint64((1 << self.s.bits) - 1)
+        planes = (low.reshape(-1, 1, 64) >> np.arange(self.s.bits, dtype=np.uint64)[:, None]) & np.uint64(1)
+        return np.bitwise_or.reduce(planes << np.arange(64, dtype=np.uint64), axis=2).reshape(-1).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFrame:
@@ -106,7 +116,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFram
                     n.append(len(x))
                     keys.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                     low = hasher.minima(x) if len(x) else None
-                    sigs.append(hasher.packed(low) if len(x) else None)
+                    sigs.append(hasher.packed(x) if len(x) else None)
                     bands.append(hasher.bands(low) if len(x) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
@@ -130,19 +140,33 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, shingles binary")
 
 
+def planes(sig: str, s: Settings) -> list[Column]:
+    return [F.get(sig, F.lit(k)).alias(f"s{k}") for k in range(s.planes)]
+
+
 def alike(x: str, y: str, s: Settings) -> Column:
-    """Whether two packed signatures agree in as many groups as :attr:`Settings.floor` asks for."""
-    per, longs = 64 // s.bits, -(-s.minima // (64 // s.bits))
-    ones = sum(1 << (s.bits * k) for k in range(per))
-    ones -= (1 << 64) * (ones >> 63)
-    differ = F.lit(0)
-    for k in range(longs):
-        d = F.get(F.col(x), F.lit(k)).bitwiseXOR(F.get(F.col(y), F.lit(k)))
-        any_bit = d
-        for j in range(1, s.bits):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(d, j))
-        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
-    return differ <= int(s.minima * (1 - s.floor))
+    """Whether two classes, columns ``{x}n``, ``{x}s0`` ... and ``{y}n``, ``{y}s0`` ..., may be similar enough.
+
+    Of ``used`` bins that either fills, ``equal`` agree; of the ``both`` that both
+    fill, the share ``chance`` of those that don't come from one shingle agrees as
+    well. The bins are a sample without replacement of the union, whose size the
+    two set sizes give at the threshold.
+    """
+    at, chance = s.percent / 100, 1 / ((1 << s.bits) - 1)
+    used = both = equal = F.lit(0)
+    for j in range(s.bins // 64):
+        a, b = ([F.col(f"{p}s{j * s.bits + i}") for i in range(s.bits)] for p in (x, y))
+        fill_a, fill_b, differ = a[0], b[0], a[0].bitwiseXOR(b[0])
+        for p, q in zip(a[1:], b[1:], strict=True):
+            fill_a, fill_b, differ = fill_a.bitwiseOR(p), fill_b.bitwiseOR(q), differ.bitwiseOR(p.bitwiseXOR(q))
+        used = used + F.bit_count(fill_a.bitwiseOR(fill_b))
+        both = both + F.bit_count(fill_a.bitwiseAND(fill_b))
+        equal = equal + F.bit_count(fill_a.bitwiseAND(fill_b).bitwiseAND(F.bitwise_not(differ)))
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    estimate = (equal - chance * both) / (1 - chance) / used
+    rest = F.greatest(1 - used * (1 + at) / (n + m), F.lit(0.0))
+    floor = at - s.margin * F.sqrt(at * (1 - at) / used * rest) - s.slack
+    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & (estimate >= floor)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFrame:
@@ -167,6 +191,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, s: Sett
     return y.mapInArrow(run, "a long, b long")
 
 
+def placed_in(buckets: DataFrame, parts: DataFrame | None, more: list[str]) -> DataFrame:
+    """(``key``, ``id``, ``component``, ...): a class that has no link yet is its own component."""
+    if parts is None:
+        return buckets.select("key", "id", F.col("id").alias("component"), *more)
+    known = parts.select(F.col("node").alias("_node"), "component")
+    return buckets.join(known, F.col("id") == F.col("_node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"), *more)
+
+
+def open_keys(placed: DataFrame, *more: Column) -> DataFrame:
+    """Buckets that hold more than one component."""
+    found = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), *more)
+    return found.where("_lo < _hi").drop("_lo", "_hi")
+
+
+def estimated(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may be similar enough by their signatures."""
+    names = ["n", *[f"s{k}" for k in range(s.planes)]]
+    x = heads.select(F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in names])
+    y = heads.select(F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in names])
+    return pairs.join(x, "a").join(y, "b").where(alike("x", "y", s)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 
@@ -179,27 +225,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     known = sigs.where("set_key is not null and id is not null")
     classes = known.groupBy("set_key").agg(F.min("id").alias("class"))
     member = written(known.select("id", "set_key").join(classes, "set_key").groupBy("id").agg(F.min("class").alias("class")))
-    heads = written(known.join(member.where("id = class").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "sig", "bands"))
-    slots = heads.select(F.col("id"), F.explode("bands").alias("key"))
-    full = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").select("key", "low")
+    heads = known.join(member.where("id = class").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    heads = written(heads.select("id", F.col("n_shingles").alias("n"), "bands", *planes("sig", s)))
+    slots = heads.select("id", F.explode("bands").alias("key"))
+    full = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(slots.join(full, "key"))
-
-    sig = heads.select("id", "sig")
-    stars = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    close = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(alike("sa", "sb", s)).select("a", "b")
-    tried = written(close)
-    links = written(confirmed(tried, docs, id_col, text, s))
-
-    parts = written(components(links))
-    placed = buckets.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = written(placed.join(mixed_keys, "key", "left_semi").join(sig, "id"))
-    l, r = (open_.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "sig")]) for k in "ab")
-    more = l.join(r, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & alike("sig_a", "sig_b", s))
-    more = more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links2 = written(confirmed(written(more), docs, id_col, text, s))
-
-    joined = components(links.unionByName(links2))
+    degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
+    ranked = written(buckets.select("key", "id").join(degree, "id"))
+
+    links, tried, parts = None, None, None
+    for k in range(s.rounds):
+        placed = placed_in(ranked, parts, ["degree"])
+        # Later centres come from the smallest component, most often the largest in the bucket: only what is outside it is paired.
+        order = F.struct("degree", "id") if k == 0 else F.struct(-F.col("component"), F.xxhash64(F.lit(k), "id"), "id")
+        centre = open_keys(placed, F.max_by(F.struct("id", "component"), order).alias("c"))
+        stars = placed.join(centre, "key").where(F.col("component") != F.col("c.component")).select(F.col("id").alias("x"), F.col("c.id").alias("y"))
+        stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if tried is not None:
+            stars = stars.join(tried, ["a", "b"], "left_anti")
+        close = written(estimated(stars, heads, s))
+        found = written(confirmed(close, docs, id_col, text, s))
+        tried = close if tried is None else tried.unionByName(close)
+        links = found if links is None else links.unionByName(found)
+        parts = written(components(links))
+
+    placed = placed_in(ranked, parts, [])
+    open_ = placed.join(open_keys(placed).select("key"), "key", "left_semi").join(heads, "id")
+    l, r = (open_.select("key", *[F.col(c).alias(f"{k}{c}") for c in open_.columns if c != "key"]) for k in "xy")
+    # A pair is a row in the first bucket that it shares, and only if it may be similar enough.
+    shared = F.array_position(F.zip_with("xbands", "ybands", lambda p, q: p == q), True)
+    first = F.get(F.col("xbands"), (shared - 1).cast("int")) == l["key"]
+    more = l.join(r, (l["key"] == r["key"]) & (F.col("xid") < F.col("yid")) & (F.col("xcomponent") != F.col("ycomponent")) & alike("x", "y", s) & first)
+    more = written(more.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    joined = components(written(links.unionByName(confirmed(more, docs, id_col, text, s))))
     found = member.join(joined, member["class"] == joined["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "class").alias("component_id"))
     out = sigs.select("id", "n_shingles").join(found, F.col("id") == F.col("_id"), "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -185,3 +185,7 @@ def winsorized(x: Column | str, *by: str, k: float = 5.0, collapse: bool = True)
 
 def group_median(x: Column | str, *by: str) -> Column:
     return F.median(col(x)).over(Window.partitionBy(*by))
+
+
+def nonzero(x: Column | str) -> Column:
+    return F.nullif(col(x), F.lit(0.0))

@@ -46,31 +46,61 @@ class Settings:
     broadcast: int = 500_000
 
 
+#: White space that normalising would change, within a text between line ends.
+ODD = (b"  ", b"\t", b"\x0b", b"\x0c", b"\r", b" \n", b"\n ")
+
+
 def normal(line: bytes) -> str:
     """A-Z lower-cased, white space collapsed and trimmed."""
     return b" ".join(line.lower().split()).decode("utf-8", "surrogatepass")
 
 
-def lines_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+#: The parity bit of a character's class, by the low byte of its code point; a line end has none.
+BIT = np.where(np.arange(256) == 10, 0, 1 << (np.arange(256) % PARITY)).astype(np.int64)
+
+
+def packed(line: str) -> bytes:
+    """Latin-1 if it holds the characters, else UTF-32: one form for equal strings, and quick to cut and hash."""
+    try:
+        return line.encode("latin-1")
+    except UnicodeEncodeError:
+        return line.encode("utf-32-le", "surrogatepass")
 
 
-def line_key(line: str, wide: bytes) -> int:
-    """40 bits of hash and ``PARITY`` bits of character-count parities, as a signed long."""
-    classes = np.bincount(np.frombuffer(wide, np.uint32) % PARITY, minlength=PARITY) & 1
-    parity = int((classes << np.arange(PARITY)).sum())
-    key = (xxhash.xxh3_64_intdigest(wide) & ~((1 << PARITY) - 1)) | parity
+def keyed(data: bytes, parity: int) -> int:
+    """``64 - PARITY`` bits of hash above the parities of the characters' counts, as a signed long."""
+    key = xxhash.xxh3_64_intdigest(data) >> PARITY << PARITY | parity
     return key - (1 << 64) if key >> 63 else key
 
 
-class Keys(dict):
-    """Line to key, remembered for repeated lines."""
+def line_keys(text: str | None, shortest: int) -> tuple[list[tuple[int, bytes | str, int]], int]:
+    """(number, normalised line, key) of the lines that are long enough, and the number of lines.
 
-    def __missing__(self, line: str) -> int:
-        if len(self) >= SEEN // 5:
-            self.clear()
-        self[line] = key = line_key(line, line.encode("utf-32-le", "surrogatepass"))
-        return key
+    Lines come as bytes in Latin-1, or as strings where that doesn't hold them.
+    """
+    if not text:
+        return [], 0
+    data = text.encode("utf-8", "surrogatepass").lower()
+    if any(x in data for x in ODD) or data[:1] == b" " or data[-1:] == b" ":
+        data = b"\n".join(b" ".join(x.split()) for x in data.split(b"\n"))
+    whole = data.decode("utf-8", "surrogatepass")
+    try:
+        data = whole.encode("latin-1")
+    except UnicodeEncodeError:
+        found = []
+        lines = whole.split("\n")
+        for k, line in enumerate(lines):
+            if len(line) >= shortest:
+                low = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint8)[::4]
+                own = packed(line)
+                found.append((k, own if len(own) == len(line) else line, keyed(own, int(np.bitwise_xor.reduce(BIT[low])))))
+        return found, len(lines)
+    lines = data.split(b"\n")
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    # Each line reaches to the next one's start; one more element stands for an empty last line.
+    bits = BIT[np.frombuffer(data + b"\n", np.uint8)]
+    parity = np.bitwise_xor.reduceat(bits, np.cumsum(sizes + 1) - sizes - 1).tolist()
+    return [(k, line, keyed(line, p)) for k, (line, p) in enumerate(zip(lines, parity, strict=True)) if len(line) >= shortest], len(lines)
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -142,32 +172,29 @@ def bounded_distance(a: str, b: str, most: int) -> int:
 
 
 def map_lines(docs: DataFrame, each, schema: str, names: list[str], types: list) -> DataFrame:
-    """``each(keys, doc, number, line)`` yields rows for the lines that are long enough."""
+    """``each()`` gives a function that appends to columns what a document (id, text) yields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = each()
         for whole in batches:
             for at in range(0, whole.num_rows, 300):
-                rows: list[tuple] = []
+                cols: list[list] = [[] for _ in names]
                 for i, t in zip(*(c.to_pylist() for c in whole.slice(at, 300).columns), strict=True):
-                    state(rows, i, t)
-                cols = list(zip(*rows, strict=True)) or [()] * len(names)
+                    state(cols, i, t)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def places(docs: DataFrame, s: Settings) -> DataFrame:
-    """(``line``, ``doc``, ``number``) of each line; ``line`` is null for those too short and once per document."""
+    """(``line``, ``doc``, ``number``) of each line that is long enough, and a row of (null, doc, number of lines)."""
 
     def each():
-        keys = Keys()
-
-        def state(rows: list, i, t) -> None:
-            rows.append((None, i, -1))
-            for k, x in enumerate(lines_of(t)):
-                line = normal(x)
-                rows.append((keys[line] if len(line) >= s.shortest else None, i, k))
+        def state(cols: list, i, t) -> None:
+            found, n = line_keys(t, s.shortest)
+            cols[0] += [None, *(x[2] for x in found)]
+            cols[1] += [i] * (len(found) + 1)
+            cols[2] += [n, *(x[0] for x in found)]
 
         return state
 
@@ -178,31 +205,28 @@ def entries(docs: DataFrame, s: Settings, probe: bool) -> DataFrame:
     """(``key``, ``line``): the index rows, or the probe rows, of each distinct line of a worker's share."""
 
     def each():
-        keys, seen, plans = Keys(), set(), {}
+        seen, plans, digest = set(), {}, xxhash.xxh3_64_intdigest
 
-        def state(rows: list, _, t) -> None:
-            for x in lines_of(t):
-                line = normal(x)
-                n = len(line)
-                if n < s.shortest:
-                    continue
-                key = keys[line]
+        def plan_of(n: int) -> list[tuple[int, int, int]]:
+            if len(plans) > 10_000:
+                plans.clear()
+            each = probes(n, s.edits) if probe else [(n, i, a, size) for i, (a, size) in enumerate(segments(n, s.edits))]
+            plans[n] = [(m * 8 + i, a, a + size) for m, i, a, size in each]
+            return plans[n]
+
+        def state(cols: list, _, t) -> None:
+            for _, line, key in line_keys(t, s.shortest)[0]:
                 if key in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                if (plan := plans.get(n)) is None:
-                    if probe:
-                        plan = [(m * 8 + i, 4 * a, 4 * (a + size)) for m, i, a, size in probes(n, s.edits)]
-                    else:
-                        plan = [(n * 8 + i, 4 * a, 4 * (a + size)) for i, (a, size) in enumerate(segments(n, s.edits))]
-                    if len(plans) < 10_000:
-                        plans[n] = plan
-                wide = line.encode("utf-32-le", "surrogatepass")
-                for seed, a, b in plan:
-                    h = xxhash.xxh3_64_intdigest(wide[a:b], seed)
-                    rows.append((h - (1 << 64) if h >> 63 else h, key))
+                plan = plans.get(len(line)) or plan_of(len(line))
+                if isinstance(line, bytes):
+                    cols[0] += [digest(line[x:y], seed) >> 1 for seed, x, y in plan]
+                else:  # a piece of it may be Latin-1 and must then hash as one
+                    cols[0] += [digest(packed(line[x:y]), seed) >> 1 for seed, x, y in plan]
+                cols[1] += [key] * len(plan)
 
         return state
 
@@ -215,16 +239,16 @@ def texts_of(docs: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in need.collect())) if few else None
 
     def each():
-        keys, done = Keys(), set()
+        done, known = set(), wanted.value if few else None
 
-        def state(rows: list, _, t) -> None:
-            for x in lines_of(t):
-                line = normal(x)
-                if len(line) >= s.shortest and (key := keys[line]) not in done and (wanted is None or key in wanted.value):
+        def state(cols: list, _, t) -> None:
+            for _, line, key in line_keys(t, s.shortest)[0]:
+                if key not in done and (known is None or key in known):
                     if len(done) >= SEEN:
                         done.clear()
                     done.add(key)
-                    rows.append((key, line))
+                    cols[0].append(key)
+                    cols[1].append(line.decode("latin-1") if isinstance(line, bytes) else line)
 
         return state
 
@@ -271,7 +295,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     later = x.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct().withColumn("near", F.lit(True))
     touched = classes.join(later, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
     each = where.join(touched, "line", "left").withColumn("gone", F.col("first").isNotNull() & (F.col("near") | (at != F.col("first"))))
-    out = each.groupBy("doc").agg((F.count("*") - 1).alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"))
+    n = F.max(F.when(F.col("line").isNull(), F.col("number"))).cast("long")
+    out = each.groupBy("doc").agg(n.alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"))
     return out.select(F.col("doc").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import cross, overlays, series, shape, technicals, universe
+from quillon.plans import cross, models, overlays, series, shape, technicals, universe
 
-MODULES = (universe, technicals, shape, series, cross, overlays)
+MODULES = (universe, technicals, shape, series, cross, overlays, models)
 
 
 def queries() -> dict:

@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("ticker").orderBy("date")
 ALL = (Window.unboundedPreceding, Window.currentRow)
 EPS = 1e-9
 
 
+def series() -> WindowSpec:
+    """The rows of an instrument in the order of dates. A function, as a window needs a session."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -59,24 +63,24 @@ def mean_of(*xs: Column) -> Column:
     return div(sum((zero(x) for x in xs[1:]), zero(xs[0])), sum((x.isNotNull().cast("int") for x in xs[1:]), xs[0].isNotNull().cast("int")))
 
 
-def frame(n: int, skip: int = 0, w: WindowSpec = SERIES) -> WindowSpec:
+def frame(n: int, skip: int = 0, w: WindowSpec | None = None) -> WindowSpec:
     """``n`` rows that end ``skip`` rows ago."""
-    return w.rowsBetween(-(n - 1 + skip), -skip)
+    return (w or series()).rowsBetween(-(n - 1 + skip), -skip)
 
 
-def lag(x: Column | str, k: int = 1, w: WindowSpec = SERIES) -> Column:
-    return F.lag(col(x), k).over(w) if k >= 0 else F.lead(col(x), -k).over(w)
+def lag(x: Column | str, k: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lag(col(x), k).over(w or series()) if k >= 0 else F.lead(col(x), -k).over(w or series())
 
 
-def diff(x: Column | str, k: int = 1, w: WindowSpec = SERIES) -> Column:
+def diff(x: Column | str, k: int = 1, w: WindowSpec | None = None) -> Column:
     return col(x) - lag(x, k, w)
 
 
-def change(x: Column | str, k: int = 1, w: WindowSpec = SERIES) -> Column:
+def change(x: Column | str, k: int = 1, w: WindowSpec | None = None) -> Column:
     return div(x, lag(x, k, w)) - 1
 
 
-def rolling(f, x: Column | str, n: int, least: int | None = None, skip: int = 0, w: WindowSpec = SERIES) -> Column:
+def rolling(f, x: Column | str, n: int, least: int | None = None, skip: int = 0, w: WindowSpec | None = None) -> Column:
     own = frame(n, skip, w)
     return F.when(F.count(col(x)).over(own) >= (n if least is None else least), f(col(x)).over(own))
 
@@ -111,7 +115,7 @@ def z(x: Column | str, n: int, least: int | None = None, floor: float | None = N
     return div(col(x) - mean(x, n, least, **k), s if floor is None else clip(s, floor))
 
 
-def correlation(x: Column | str, y: Column | str, n: int, least: int, w: WindowSpec = SERIES) -> Column:
+def correlation(x: Column | str, y: Column | str, n: int, least: int, w: WindowSpec | None = None) -> Column:
     """Pearson correlation of the rows that have both values; NULL where either is constant.
 
     From sums, as ``corr`` fails on a division where rounding leaves a constant
@@ -124,23 +128,23 @@ def correlation(x: Column | str, y: Column | str, n: int, least: int, w: WindowS
     return F.when(F.count(both).over(own) >= least, div(cov, a * b))
 
 
-def running(x: Column | str, w: WindowSpec = SERIES) -> Column:
-    return F.sum(col(x)).over(w.rowsBetween(*ALL))
+def running(x: Column | str, w: WindowSpec | None = None) -> Column:
+    return F.sum(col(x)).over((w or series()).rowsBetween(*ALL))
 
 
-def slope(x: Column | str, n: int, position: str = "_i", w: WindowSpec = SERIES) -> Column:
+def slope(x: Column | str, n: int, position: str = "_i", w: WindowSpec | None = None) -> Column:
     """Least-squares slope against the row number over full windows; needs :func:`numbered` first."""
     return rolling(lambda c: F.regr_slope(c, F.col(position)), x, n, w=w)
 
 
-def r_squared(x: Column | str, n: int, position: str = "_i", w: WindowSpec = SERIES) -> Column:
+def r_squared(x: Column | str, n: int, position: str = "_i", w: WindowSpec | None = None) -> Column:
     own = frame(n, w=w)
     fit = F.when(F.var_pop(col(x)).over(own) == 0, 0.0).otherwise(F.regr_r2(col(x), F.col(position)).over(own))
     return F.when(F.count(col(x)).over(own) == n, fit)
 
 
-def numbered(w: WindowSpec = SERIES) -> Column:
-    return F.row_number().over(w).cast("double")
+def numbered(w: WindowSpec | None = None) -> Column:
+    return F.row_number().over(w or series()).cast("double")
 
 
 def rank_share(x: Column | str, *by: str, descending: bool = False) -> Column:
@@ -161,9 +165,9 @@ def group_z(x: Column | str, *by: str, least: int = 2) -> Column:
     return F.when(F.count(col(x)).over(own) >= least, div(col(x) - F.avg(col(x)).over(own), F.stddev_samp(col(x)).over(own)))
 
 
-def streak(condition: Column, w: WindowSpec = SERIES, by: tuple[str, ...] = ("ticker",), order: str = "date") -> tuple[Column, str]:
+def streak(condition: Column, w: WindowSpec | None = None, by: tuple[str, ...] = ("ticker",), order: str = "date") -> tuple[Column, str]:
     """The number of the island (rises at each row that breaks the condition); see :func:`streak_length`."""
-    return F.sum(F.when(F.coalesce(condition, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(*ALL)), "island"
+    return F.sum(F.when(F.coalesce(condition, F.lit(False)), 0).otherwise(1)).over((w or series()).rowsBetween(*ALL)), "island"
 
 
 def streak_length(condition: Column, island: str, order: str = "date", by: tuple[str, ...] = ("ticker",)) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 
-BY_SECTOR = Window.partitionBy("sector").orderBy("date")
-BY_DATE = Window.partitionBy("_one").orderBy("date")
+
+def by(column: str) -> WindowSpec:
+    return Window.partitionBy(column).orderBy("date")
 
 
 def sector_daily(df: DataFrame) -> DataFrame:
@@ -24,8 +25,8 @@ def sector_daily(df: DataFrame) -> DataFrame:
     )
     market = known.groupBy("date").agg(F.avg("log_return_1d").alias("market_return_1d")).withColumn("_one", F.lit(1))
     # One row per date: the whole calendar fits one task at any number of instruments.
-    market = market.withColumn("market_return_20d_mean", c.mean("market_return_1d", 20, w=BY_DATE)).drop("_one")
-    out = per.join(market, "date", "left").withColumns({"sector_return_20d_mean": c.mean("sector_return_1d", 20, w=BY_SECTOR), "sector_realized_vol_20d": c.std("sector_return_1d", 20, w=BY_SECTOR)})
+    market = market.withColumn("market_return_20d_mean", c.mean("market_return_1d", 20, w=by("_one"))).drop("_one")
+    out = per.join(market, "date", "left").withColumns({"sector_return_20d_mean": c.mean("sector_return_1d", 20, w=by("sector")), "sector_realized_vol_20d": c.std("sector_return_1d", 20, w=by("sector"))})
     return out.withColumns({"sector_relative_strength_20d": F.col("sector_return_20d_mean") - F.col("market_return_20d_mean"), "sector_high_risk_flag": F.when(F.col("sector_return_1d") < -0.02, 1).otherwise(0)})
 
 
@@ -43,8 +44,8 @@ def contagion(daily: DataFrame, x: str = "sector_return_1d", n: int = 20, least:
     """
     dates, sectors = daily.select("date").distinct(), daily.select("sector").distinct()
     grid = dates.join(F.broadcast(sectors.limit(1000))).join(daily.select("date", "sector", F.col(x).alias("x")), ["date", "sector"], "left")
-    own = c.frame(n, w=BY_SECTOR)
-    stats = grid.withColumns({"k": F.count("x").over(own), "m": F.avg("x").over(own), "s": F.stddev_pop("x").over(own), "i": F.row_number().over(BY_SECTOR)})
+    own = c.frame(n, w=by("sector"))
+    stats = grid.withColumns({"k": F.count("x").over(own), "m": F.avg("x").over(own), "s": F.stddev_pop("x").over(own), "i": F.row_number().over(by("sector"))})
     a, b = (stats.select("date", *[F.col(y).alias(f"{y}{p}") for y in ("sector", "x", "k", "m", "s", "i")]) for p in "ab")
     pairs = a.join(b, "date").where("sectora <> sectorb")
     w = Window.partitionBy("sectora", "sectorb").orderBy("date").rowsBetween(-(n - 1), 0)
@@ -87,7 +88,7 @@ def lagged_normalised(df: DataFrame, x: str, k: float = 5.0, least: int = 10, wi
     rows = rows.withColumn(f"{x}_pctrank", F.when(enough, c.rank_share("_clip", "date", "sector")))
     daily = rows.groupBy("date", "sector").agg(F.avg("_clip").alias("m"), F.stddev_samp("_clip").alias("s"), F.count("_clip").alias("n"))
     daily = daily.withColumns({y: F.when(F.col("n") >= least, F.col(y)) for y in "ms"})
-    daily = daily.select("date", "sector", *[c.rolling(F.avg, y, window, window_least, 1, BY_SECTOR).alias(f"_l{y}") for y in "ms"])
+    daily = daily.select("date", "sector", *[c.rolling(F.avg, y, window, window_least, 1, by("sector")).alias(f"_l{y}") for y in "ms"])
     out = rows.join(daily, ["date", "sector"], "left").withColumn(f"{x}_zscore", F.when(F.col("_ls") > 0, (F.col("_clip") - F.col("_lm")) / F.col("_ls")))
     keep = out.select("ticker", "date", f"{x}_pctrank", f"{x}_zscore")
     return df.join(keep, ["ticker", "date"], "left")

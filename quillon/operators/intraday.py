@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 
-DAY = Window.partitionBy("ticker", "date")
-TICKS, MINUTES = DAY.orderBy("ts", "event_id"), DAY.orderBy("minute")
+
+def day(*order: str) -> WindowSpec:
+    """The rows of a session; in the order of trades or minutes, if asked for."""
+    w = Window.partitionBy("ticker", "date")
+    return w.orderBy(*order) if order else w
+
+
+def by_tick() -> WindowSpec:
+    return day("ts", "event_id")
+
+
+def by_minute() -> WindowSpec:
+    return day("minute")
+
+
 EPS = 1e-9
 
 
@@ -18,9 +31,9 @@ def share(a: Column | str, b: Column | str) -> Column:
 
 def tick_flags(ticks: DataFrame) -> DataFrame:
     """Tick rule: the last non-zero price change signs a trade; moves beyond five basis points go through the quote."""
-    step = c.diff("trade_price", 1, TICKS)
-    df = ticks.withColumns({"_step": F.nullif(F.signum(step), F.lit(0.0)), "_pct": c.zero(c.div(step, c.lag("trade_price", 1, TICKS)))})
-    df = df.withColumn("tick_sign", F.coalesce(F.last("_step", True).over(TICKS.rowsBetween(*c.ALL)), F.lit(0.0)))
+    step = c.diff("trade_price", 1, by_tick())
+    df = ticks.withColumns({"_step": F.nullif(F.signum(step), F.lit(0.0)), "_pct": c.zero(c.div(step, c.lag("trade_price", 1, by_tick())))})
+    df = df.withColumn("tick_sign", F.coalesce(F.last("_step", True).over(by_tick().rowsBetween(*c.ALL)), F.lit(0.0)))
     buy, sell = F.col("tick_sign") > 0, F.col("tick_sign") < 0
     return df.withColumns({"aggressive_buy": c.flag(buy), "aggressive_sell": c.flag(sell), "through_ask": c.flag((F.col("_pct") > 0.0005) & buy), "through_bid": c.flag((F.col("_pct") < -0.0005) & sell)})
 
@@ -47,15 +60,15 @@ def with_shares(df: DataFrame) -> DataFrame:
 
 def quote_proxy(minutes: DataFrame) -> DataFrame:
     """Quotes as trades imply them: direction of the close, imbalance from net aggression."""
-    df = minutes.withColumns({"price_step": c.zero(c.diff("minute_close", 1, MINUTES)), "quote_imbalance": c.clip("net_aggression", -1, 1)})
+    df = minutes.withColumns({"price_step": c.zero(c.diff("minute_close", 1, by_minute())), "quote_imbalance": c.clip("net_aggression", -1, 1)})
     up, down = c.flag(F.col("price_step") > 0), c.flag(F.col("price_step") < 0)
-    return df.select("ticker", "date", "minute", F.col("minute_close").alias("mid_price"), "quote_imbalance", F.col("trade_count").alias("quote_updates"), up.alias("bid_up"), down.alias("bid_down"), up.alias("ask_up"), down.alias("ask_down"), c.zero(c.diff("quote_imbalance", 1, MINUTES)).alias("imbalance_step"))
+    return df.select("ticker", "date", "minute", F.col("minute_close").alias("mid_price"), "quote_imbalance", F.col("trade_count").alias("quote_updates"), up.alias("bid_up"), down.alias("bid_down"), up.alias("ask_up"), down.alias("ask_down"), c.zero(c.diff("quote_imbalance", 1, by_minute())).alias("imbalance_step"))
 
 
 def longest_streak(df: DataFrame, condition: Column, out: str) -> DataFrame:
     """Per (ticker, date), the most minutes in a row that meet the condition."""
     hit = F.when(F.coalesce(condition, F.lit(False)), 1).otherwise(0)
-    df = df.withColumn("_hit", hit).withColumn("_g", F.sum(1 - F.col("_hit")).over(MINUTES.rowsBetween(*c.ALL)))
+    df = df.withColumn("_hit", hit).withColumn("_g", F.sum(1 - F.col("_hit")).over(by_minute().rowsBetween(*c.ALL)))
     return df.groupBy("ticker", "date", "_g").agg(F.sum("_hit").alias("n")).groupBy("ticker", "date").agg(F.max("n").alias(out))
 
 
@@ -87,7 +100,7 @@ def session_minutes(ticks: DataFrame, start: int = 570, end: int = 960, lookback
     ``slot`` widens "the same minute" to so many minutes, for sparse sessions.
     """
     order = F.struct("ts", "event_id")
-    moved = F.when(F.coalesce(c.diff("trade_price", 1, TICKS) == 0, F.lit(False)), 0.0).otherwise(1.0)
+    moved = F.when(F.coalesce(c.diff("trade_price", 1, by_tick()) == 0, F.lit(False)), 0.0).otherwise(1.0)
     m = ticks.withColumn("_moved", moved).groupBy("ticker", "date", "minute").agg(
         F.min_by("trade_price", order).alias("open"), F.max("trade_price").alias("high"), F.min("trade_price").alias("low"), F.max_by("trade_price", order).alias("close"),
         F.sum("trade_notional").alias("notional"), F.sum("trade_size").alias("size"), F.count("*").cast("double").alias("trades"), F.sum("_moved").alias("moves"),
@@ -96,10 +109,10 @@ def session_minutes(ticks: DataFrame, start: int = 570, end: int = 960, lookback
     middle = F.coalesce(c.div("notional", "size"), "close")
     place = F.hour("minute") * 60 + F.minute("minute") - start
     m = m.withColumns({"range_bps": c.zero(c.div(F.col("high") - F.col("low"), middle) * 10000), "close_to_open_bps": c.zero(c.div(F.col("close") - F.col("open"), "open") * 10000), "update_proxy": F.col("trades") + F.col("moves"), "minute_of_session": F.floor(F.least(F.greatest(place, F.lit(0)), F.lit(end - start)) / slot).cast("int")})
-    run = MINUTES.rowsBetween(*c.ALL)
+    run = by_minute().rowsBetween(*c.ALL)
     m = m.withColumns({
-        **{f"cum_{x}_share": share(F.sum(x).over(run), F.sum(y).over(DAY)) for x, y in (("notional", "notional"), ("trades", "trades"), ("off_notional", "notional"), ("off_trades", "trades"))},
-        **{f"hhi_{x}": share(x, F.sum(x).over(DAY)) ** 2 for x in ("notional", "trades")}, "idle_gap": c.clip(c.zero(c.diff("minute_of_session", 1, MINUTES)) - 1, 0),
+        **{f"cum_{x}_share": share(F.sum(x).over(run), F.sum(y).over(day())) for x, y in (("notional", "notional"), ("trades", "trades"), ("off_notional", "notional"), ("off_trades", "trades"))},
+        **{f"hhi_{x}": share(x, F.sum(x).over(day())) ** 2 for x in ("notional", "trades")}, "idle_gap": c.clip(c.zero(c.diff("minute_of_session", 1, by_minute())) - 1, 0),
     })
     past = Window.partitionBy("ticker", "minute_of_session").orderBy("date", "minute")
     for x in ("cum_notional_share", "cum_off_notional_share", "range_bps", "update_proxy"):

@@ -21,7 +21,7 @@ def runs(df: DataFrame, regime: str = "regime") -> DataFrame:
     """Consecutive rows of one instrument in one regime; rows without a regime are left out first."""
     known = df.where(F.col(regime).isNotNull())
     change = F.when(F.coalesce(c.lag(regime) == F.col(regime), F.lit(False)), 0).otherwise(1)
-    known = known.withColumn("_change", change).withColumn("_run", F.sum("_change").over(c.SERIES.rowsBetween(*c.ALL)))
+    known = known.withColumn("_change", change).withColumn("_run", F.sum("_change").over(c.series().rowsBetween(*c.ALL)))
     out = known.groupBy("ticker", "_run", regime).agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("duration_rows"))
     return out.withColumn("duration_calendar_days", F.datediff("end_date", "start_date") + 1).drop("_run")
 

@@ -29,7 +29,7 @@ def mean_reversion(df: DataFrame, features: tuple[str, ...] = OU_FEATURES, windo
     """
     df = df.withColumns({f"ou_source_{label}": x for label, x in map(ou_source, features)})
     labels = [label for label, _ in map(ou_source, features)]
-    df = df.withColumn("_row", F.row_number().over(c.SERIES))
+    df = df.withColumn("_row", F.row_number().over(c.series()))
     df = df.withColumns({f"_x_{k}": F.when(F.col(f"ou_source_{label}").isNotNull(), c.lag(f"ou_source_{label}")) for k, label in enumerate(labels)})
     df = df.withColumns({f"_y_{k}": F.when(F.col(f"_x_{k}").isNotNull(), F.col(f"ou_source_{label}")) for k, label in enumerate(labels)})
     sums = {}
@@ -107,7 +107,7 @@ def residual_pressure(equity: DataFrame, proxies: DataFrame, labels: tuple[str,
     """
     w = Window.partitionBy("label").orderBy("date")
 
-    def zp(x: str, n: int, w=c.SERIES) -> Column:
+    def zp(x: str, n: int, w=None) -> Column:
         sd = F.when(F.count(x).over(c.frame(n, w=w)) >= n, F.stddev_pop(x).over(c.frame(n, w=w)))
         return c.div(F.col(x) - c.mean(x, n, w=w), sd)
 
@@ -127,9 +127,9 @@ def expanding_rank(x: str, least: int = 60) -> Column:
 
     For a single macro series: the frame is the whole past.
     """
-    own = c.SERIES.rowsBetween(*c.ALL)
+    own = c.series().rowsBetween(*c.ALL)
     seen = F.collect_list(x).over(own)
-    share = F.size(F.filter(seen, lambda v: v < F.col(x))) / (F.row_number().over(c.SERIES) - 1)
+    share = F.size(F.filter(seen, lambda v: v < F.col(x))) / (F.row_number().over(c.series()) - 1)
     return F.when(F.size(seen) >= least, F.when(F.col(x).isNull(), 0.0).otherwise(share))
 
 

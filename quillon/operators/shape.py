@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 from quillon.operators.ewm import ewm
 
-SERIES_ALL = Window.partitionBy("ticker")
 MIN_STD = 1e-12
 
 
+def whole() -> WindowSpec:
+    return Window.partitionBy("ticker")
+
+
 def prepared(df: DataFrame, least_rows: int = 10) -> DataFrame:
-    df = df.withColumns({x: c.positive(x) for x in ("open", "high", "low", "close")}).withColumn("_n", F.count("*").over(SERIES_ALL)).where(F.col("_n") >= least_rows)
+    df = df.withColumns({x: c.positive(x) for x in ("open", "high", "low", "close")}).withColumn("_n", F.count("*").over(whole())).where(F.col("_n") >= least_rows)
     before = c.lag("close")
     df = df.withColumns({"_range": c.clip(F.col("high") - F.col("low"), c.EPS), "_ret": F.ln(F.col("close") / before), "_prev": before, "_dollars": F.col("close") * F.col("volume")})
     return df.withColumns({"_abs": F.abs("_ret"), "_clv": c.clip((F.col("close") - F.col("low")) / F.col("_range"), -1, 1)})
@@ -60,8 +63,8 @@ def fractional_difference(df: DataFrame, x: str, out: str, d: float = 0.4, thres
     """Sum of binomial weights and lags; a series shorter than the weights has a value in its last row only."""
     weights = binomial_weights(d, threshold)
     terms = [c.lag(x, k) * w for k, w in enumerate(weights)]
-    n, row = F.count("*").over(SERIES_ALL), F.row_number().over(c.SERIES)
-    df = df.withColumns({"_whole": sum(terms[1:], terms[0]), "_part": sum(map(c.zero, terms[1:]), terms[0]), "_known": F.count(x).over(SERIES_ALL), "_count": n, "_row": row})
+    n, row = F.count("*").over(whole()), F.row_number().over(c.series())
+    df = df.withColumns({"_whole": sum(terms[1:], terms[0]), "_part": sum(map(c.zero, terms[1:]), terms[0]), "_known": F.count(x).over(whole()), "_count": n, "_row": row})
     short = (F.col("_count") < len(weights)) & (F.col("_count") >= least) & (F.col("_row") == F.col("_count")) & (F.col("_known") == F.col("_count"))
     return df.withColumn(out, F.when(F.col("_count") >= len(weights), F.col("_whole")).when(short, F.col("_part"))).drop("_whole", "_part", "_known", "_count", "_row")
 
@@ -143,7 +146,7 @@ def order_flow(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "buy_volume_pct": F.col("_buy") / whole, "sell_volume_pct": F.col("_sell") / whole, "net_flow_ratio": (F.col("_buy") - F.col("_sell")) / whole,
         "ofi_proxy_5d": c.total("ofi_proxy", 5, 3), "ofi_proxy_20d": c.total("ofi_proxy", 20, 10), "price_impact_z20": c.z("price_impact_per_volume", 20, 10, c.EPS),
-        "_row": F.row_number().over(c.SERIES), **{f"_s{n}": F.collect_list("_sign").over(c.frame(n)) for n in (5, 20)},
+        "_row": F.row_number().over(c.series()), **{f"_s{n}": F.collect_list("_sign").over(c.frame(n)) for n in (5, 20)},
     })
     same = lambda n: F.when((F.col("_row") >= n) & F.col("_sign").isNotNull(), F.size(F.filter(f"_s{n}", lambda v: v == F.col("_sign"))) / F.size(f"_s{n}"))
     df = df.withColumns({"ofi_persistence_5d": same(5), "ofi_persistence_20d": same(20), "net_flow_ratio_5d": c.mean("net_flow_ratio", 5, 3), "net_flow_ratio_20d": c.mean("net_flow_ratio", 20, 10), "_ret5": c.total("_ret", 5, 3)})
@@ -167,7 +170,7 @@ def session_liquidity(df: DataFrame) -> DataFrame:
         "dollar_depth": F.col("_dollars") / at_least("spread_proxy"), "spread_proxy_5d": c.mean("spread_proxy", 5, 3), "spread_proxy_20d": c.mean("spread_proxy", 20, 10),
         "volume_stability": F.col("_vs") / F.col("_v20"), "txn_density_z20": c.z("txn_density", 20, 10, c.EPS), "illiquidity_amihud_5d": c.mean("illiquidity_amihud", 5, 3), "illiquidity_amihud_20d": c.mean("illiquidity_amihud", 20, 10),
         "liquidity_shock": c.flag(c.z("illiquidity_amihud", 20, 10, c.EPS) > 2), "dryup_score": 1 - c.clip(F.col("volume") / F.col("_v20"), 0, 3), "_dry": c.streak(F.col("volume") < F.col("_v20"))[0],
-        "liquidity_score": c.clip(0.40 * (rank("volume") * 2 - 1) + 0.35 * ((1 - rank("spread_proxy")) * 2 - 1) + 0.25 * F.when(F.count("transactions").over(SERIES_ALL) > 0, rank("transactions") * 2 - 1).otherwise(0.0), -1, 1),
+        "liquidity_score": c.clip(0.40 * (rank("volume") * 2 - 1) + 0.35 * ((1 - rank("spread_proxy")) * 2 - 1) + 0.25 * F.when(F.count("transactions").over(whole()) > 0, rank("transactions") * 2 - 1).otherwise(0.0), -1, 1),
     })
     df = df.withColumns({
         "dollar_depth_z20": c.z("dollar_depth", 20, 10, c.EPS), "spread_narrowing": (F.col("spread_proxy_20d") - F.col("spread_proxy")) / at_least("spread_proxy_20d"), "dryup_streak": c.streak_length(F.col("volume") < F.col("_v20"), "_dry").cast("double"),

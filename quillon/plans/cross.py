@@ -79,7 +79,7 @@ UNIVERSE = [
 
 
 def fn_lagged(spark, sf_dir):
-    df = cross.with_members(bars(spark, sf_dir, True), least_volume=20.0).withColumn("ret_5d", F.col("_log") - F.lag("_log", 5).over(series.c.SERIES))
+    df = cross.with_members(bars(spark, sf_dir, True), least_volume=20.0).withColumn("ret_5d", F.col("_log") - F.lag("_log", 5).over(series.c.series()))
     return rounded(cross.lagged_normalised(df, "ret_5d"), ["ret_5d", "ret_5d_pctrank", "ret_5d_zscore"])
 
 

@@ -129,7 +129,7 @@ FUT = s.frame(6).replace("5 PRECEDING AND CURRENT ROW", "5 FOLLOWING AND 10 FOLL
 
 @add("u08_w32_future_maximum", f"{B} SELECT ticker, date, {R(f'max(close) OVER {FUT}')} AS peak FROM bars")
 def future(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).withColumn("peak", F.max("close").over(c.SERIES.rowsBetween(5, 10))), ["peak"])
+    return rounded(bars(spark, sf_dir).withColumn("peak", F.max("close").over(c.series().rowsBetween(5, 10))), ["peak"])
 
 
 @add("t01_t03_last_rows", f"{B} SELECT ticker, date, {R('close')} AS close, n FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM bars) WHERE n <= 22")

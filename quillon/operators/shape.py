@@ -42,14 +42,18 @@ def transformed(df: DataFrame) -> DataFrame:
 
 
 def robust_z(df: DataFrame, x: str, out: str, n: int = 63, least: int = 40) -> DataFrame:
-    """Deviation from the rolling median in scaled median absolute deviations; a missing value in the frame hides them."""
+    """Deviation from the rolling median in scaled median absolute deviations; a missing value in the frame hides them.
+
+    Both medians come from one list of the frame's values.
+    """
     own = c.frame(n)
-    df = df.withColumns({"_med": c.median(x, n, least), "_all": F.collect_list(x).over(own), "_rows": F.count(F.lit(1)).over(own)})
-    away = F.array_sort(F.transform("_all", lambda v: F.abs(v - F.col("_med"))))
     k = F.size("_all")
-    middle = (F.get(away, F.floor((k - 1) / 2).cast("int")) + F.get(away, F.floor(k / 2).cast("int"))) / 2
-    mad = F.when((k == F.col("_rows")) & (k >= least), middle)
-    return df.withColumn(out, c.div(F.col(x) - F.col("_med"), 1.4826 * mad, MIN_STD)).drop("_med", "_all", "_rows")
+    middle = lambda xs: (F.get(xs, F.floor((k - 1) / 2).cast("int")) + F.get(xs, F.floor(k / 2).cast("int"))) / 2
+    df = df.withColumns({"_all": F.sort_array(F.collect_list(x).over(own)), "_rows": F.count(F.lit(1)).over(own)})
+    df = df.withColumn("_med", F.when(k >= least, middle(F.col("_all"))))
+    away = df.withColumn("_away", F.sort_array(F.transform("_all", lambda v: F.abs(v - F.col("_med")))))
+    mad = F.when((k == F.col("_rows")) & (k >= least), middle(F.col("_away")))
+    return away.withColumn(out, c.div(F.col(x) - F.col("_med"), 1.4826 * mad, MIN_STD)).drop("_med", "_all", "_away", "_rows")
 
 
 def binomial_weights(d: float, threshold: float) -> list[float]:

@@ -83,14 +83,14 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     rest of their source; a column named ``copy`` is replaced.
     """
     docs = docs.drop("copy")
-    known = written(rates(docs, weights, source, text, epochs).select(F.col(source).alias("_source"), F.col("rate").alias("_rate")))
+    known = written(rates(docs, weights, source, text, epochs).select(F.col(source).alias("_q_source"), F.col("rate").alias("_q_rate")))
     # One row per source, sent to all if there are few; else joined by shuffle, where AQE splits a hot source.
     if known.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         known = F.broadcast(known)
-    both = docs.join(known, docs[source].eqNullSafe(F.col("_source")), "left").drop("_source")
-    n = poisson(F.coalesce("_rate", F.lit(0.0)), seed, F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    both = docs.join(known, docs[source].eqNullSafe(F.col("_q_source")), "left").drop("_q_source")
+    n = poisson(F.coalesce("_q_rate", F.lit(0.0)), seed, F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     # One explode, so that the draw is made once: an empty list drops the row.
     copies = let(n, lambda x: F.when(x > 0, F.sequence(F.lit(0), x - 1)).otherwise(F.array().cast("array<int>")))
     out = both.select(*docs.columns, F.explode(copies).alias("copy"))
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"), F.col(text))
-    return out.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    return out.withColumn("_q_order", order).repartition("_q_order").sortWithinPartitions("_q_order").drop("_q_order")

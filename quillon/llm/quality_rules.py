@@ -78,7 +78,7 @@ def statistics(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> D
         ),
     )
     # A one-row Generate keeps the optimizer from copying the expression into each column.
-    out = docs.select("*", F.explode(F.array(stats)).alias("_stats")).select("*", "_stats.*").drop("_stats")
+    out = docs.select("*", F.explode(F.array(stats)).alias("_q_stats")).select("*", "_q_stats.*").drop("_q_stats")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -104,17 +104,17 @@ def lost_lines(docs: DataFrame, id_col: str, text: str, host: str, rules: Rules,
     t = F.coalesce(F.col(text), F.lit(""))
     line = F.transform(normal_lines(t), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
     mark = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("w")))  # one for each row of docs
-    keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(t).alias("_th"), F.concat(line, mark).alias("_lines"))
-    each = keyed.select("_id", "_host", "_th", F.explode("_lines").alias("_l")).select("_id", "_host", "_th", "_l.h", "_l.w")
-    texts = each.where("h is not null").groupBy("_host", "h", "_th").agg(F.min("_id").alias("_id"))
-    frequent = texts.groupBy("_host", "h").agg(F.count("*").alias("n"), F.min("_id").alias("first")).where(F.col("n") > rules.max_line_docs)
+    keyed = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(t).alias("_q_th"), F.concat(line, mark).alias("_lines"))
+    each = keyed.select("_q_id", "_host", "_q_th", F.explode("_lines").alias("_l")).select("_q_id", "_host", "_q_th", "_l.h", "_l.w")
+    texts = each.where("h is not null").groupBy("_host", "h", "_q_th").agg(F.min("_q_id").alias("_q_id"))
+    frequent = texts.groupBy("_host", "h").agg(F.count("*").alias("n"), F.min("_q_id").alias("first")).where(F.col("n") > rules.max_line_docs)
     frequent = frequent.select(F.col("_host").alias("_fh"), F.col("h").alias("_h"), "first")
     hit = each.join(frequent, (F.col("h") == F.col("_h")) & (F.col("_host") == F.col("_fh")), "left")
-    gone = F.col("_h").isNotNull() & ~F.col("_id").eqNullSafe(F.col("first"))
+    gone = F.col("_h").isNotNull() & ~F.col("_q_id").eqNullSafe(F.col("first"))
     out = [(F.sum(F.when(gone, F.col("w")).otherwise(0)) / F.sum(F.when(F.col("h").isNull(), 1).otherwise(0))).cast("long").alias("n_lost")]
     if as_set:
-        out.append(F.collect_set(F.when(gone, F.col("h"))).alias("lost"))
-    return hit.groupBy("_id", "_th").agg(*out)
+        out.append(F.collect_set(F.when(gone, F.col("h"))).alias("_q_lost"))
+    return hit.groupBy("_q_id", "_q_th").agg(*out)
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", rules: Rules = Rules(), clean: bool = False) -> DataFrame:
@@ -128,18 +128,18 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hos
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost", "kept")
     docs = docs.drop(*made)
     t = F.coalesce(F.col(text), F.lit(""))
-    base = statistics(docs if clean else docs.withColumn("_th", F.xxhash64(t)), text, rules)
+    base = statistics(docs if clean else docs.withColumn("_q_th", F.xxhash64(t)), text, rules)
     if clean:
-        base = base.where(~F.col("base_failed")).withColumn("_th", F.xxhash64(t))
+        base = base.where(~F.col("base_failed")).withColumn("_q_th", F.xxhash64(t))
     else:
         base = base.drop(text)
-    lost = lost_lines(docs, id_col, text, host, rules, clean).withColumnRenamed("_th", "_lth")
-    out = base.join(lost, base[id_col].eqNullSafe(lost["_id"]) & (base["_th"] == lost["_lth"]), "left").drop("_id", "_th", "_lth")
+    lost = lost_lines(docs, id_col, text, host, rules, clean).withColumnRenamed("_q_th", "_q_lth")
+    out = base.join(lost, base[id_col].eqNullSafe(lost["_q_id"]) & (base["_q_th"] == lost["_q_lth"]), "left").drop("_q_id", "_q_th", "_q_lth")
     out = out.withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
     left = (F.col("n_words") - F.col("n_lost")) >= rules.min_left * F.col("n_words")
     out = out.withColumn("kept", ~F.col("base_failed") & left)
     if clean:
         whole = F.split(F.col(text), "\n")
-        keep = F.filter(whole, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), F.xxhash64(F.trim(normal(x)))), F.lit(False)))
-        out = out.withColumn(text, F.when(F.size("lost") > 0, F.array_join(keep, "\n")).otherwise(F.col(text))).drop("lost")
+        keep = F.filter(whole, lambda x: ~F.coalesce(F.array_contains(F.col("_q_lost"), F.xxhash64(F.trim(normal(x)))), F.lit(False)))
+        out = out.withColumn(text, F.when(F.size("_q_lost") > 0, F.array_join(keep, "\n")).otherwise(F.col(text))).drop("_q_lost")
     return out

@@ -14,11 +14,12 @@ from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, ne
 from quillon.llm.components import components
 from tests.compare import assert_same
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, key string"
+#: The last columns have names that operators use within.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, key string, id long, line string, lost string, n_words long, size long"
 
 
 def docs(spark, texts, ids=None, source="s"):
-    rows = [(i, t, "en", source, len(t or ""), "x", "y") for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    rows = [(i, t, "en", source, len(t or ""), "x", "y", 7, "z", "l", 3, 4) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -227,7 +228,7 @@ def test_poisson_moments(spark):
 
 def test_mixing_edges(spark):
     out = mix_sources.mix(docs(spark, EDGES, source=None), {"s": 1.0})
-    assert set(docs(spark, []).columns) | {"copy"} == set(out.columns)
+    assert [*docs(spark, []).columns, "copy"] == out.columns
     out.collect()
     assert mix_sources.mix(docs(spark, []), {"s": 1.0}).count() == 0
     assert mix_sources.mix(docs(spark, [None, ""]), {"s": 1.0}).count() == 0
@@ -330,6 +331,8 @@ def test_line_dedup_edges(spark):
     assert sorted((r.doc_id, r.text) for r in out) == [(0, long), (2, "and another line that is new"), (3, None), (4, "")]
     nulls = line_dedup.repeated_lines(docs(spark, [long, long], ids=[5, None])).collect()
     assert {r.doc_id: r.n_removed for r in nulls} == {5: 1, None: 0}
+    near = line_dedup.repeated_lines(docs(spark, [long, long.replace("same", "sane")], ids=[5, None])).collect()
+    assert {r.doc_id: r.n_removed for r in near} == {5: 1, None: 0}
 
 
 # --- licences ---------------------------------------------------------------------

@@ -68,7 +68,7 @@ def remove(spark: SparkSession, path: str) -> None:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered; bounded, as it starts anew when full."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -39,11 +39,11 @@ SEEN = 500_000
 @dataclass(frozen=True)
 class Settings:
     """``shortest``: lines of fewer characters are never removed.
-    ``broadcast``: keys of lines to verify that are sent to every worker; more of them are joined."""
+    ``broadcast``: up to so many keys of lines to verify are sent to every worker; more of them are joined."""
 
     edits: int = 2
     shortest: int = 20
-    broadcast: int = 500_000
+    broadcast: int = 200_000
 
 
 #: White space that normalising would change, within a text between line ends.
@@ -233,17 +233,15 @@ def entries(docs: DataFrame, s: Settings, probe: bool) -> DataFrame:
     return map_lines(docs, each, "key long, line long", ["key", "line"], [pa.int64(), pa.int64()])
 
 
-def texts_of(docs: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
-    """(``line``, ``text``) of the lines in ``need``, by a broadcast set if it is small enough, else by a join."""
-    few = need.limit(s.broadcast + 1).count() <= s.broadcast
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in need.collect())) if few else None
+def texts_of(docs: DataFrame, need: DataFrame, where: DataFrame, s: Settings) -> DataFrame:
+    """(``line``, ``text``) of the lines in ``need``; if they are few, only the first document of each is read again."""
 
     def each():
-        done, known = set(), wanted.value if few else None
+        done = set()
 
         def state(cols: list, _, t) -> None:
             for _, line, key in line_keys(t, s.shortest)[0]:
-                if key not in done and (known is None or key in known):
+                if key not in done:
                     if len(done) >= SEEN:
                         done.clear()
                     done.add(key)
@@ -252,13 +250,14 @@ def texts_of(docs: DataFrame, need: DataFrame, s: Settings) -> DataFrame:
 
         return state
 
+    if few := need.limit(s.broadcast + 1).count() <= s.broadcast:
+        homes = written(where.join(F.broadcast(need), "line").groupBy("line").agg(F.min("doc").alias("home")).select("home").distinct())
+        docs = docs.join(F.broadcast(homes), docs["id"].eqNullSafe(homes["home"]), "left_semi")
     found = map_lines(docs, each, "line long, text string", ["line", "text"], [pa.int64(), pa.string()])
-    if not few:
-        found = found.join(need, "line", "left_semi")
-    return found.groupBy("line").agg(F.min("text").alias("text"))
+    return found.join(F.broadcast(need) if few else need, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
 
 
-def near_pairs(docs: DataFrame, s: Settings) -> DataFrame:
+def near_pairs(docs: DataFrame, where: DataFrame, s: Settings) -> DataFrame:
     """(``a``, ``b``) of distinct lines within ``edits`` edits."""
     index = entries(docs, s, False).repartition("key").dropDuplicates(["key", "line"])
     probe = entries(docs, s, True).repartition("key").dropDuplicates(["key", "line"])
@@ -267,7 +266,7 @@ def near_pairs(docs: DataFrame, s: Settings) -> DataFrame:
     pairs = pairs.where((F.col("a") != F.col("b")) & (bits <= 2 * s.edits))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = written(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    texts = written(texts_of(docs, need, s))
+    texts = written(texts_of(docs, need, where, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +289,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     where = written(places(own, s).distinct())
     at = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "number")
     classes = written(where.where("line is not null").groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n")))
-    near = near_pairs(own, s)
+    near = near_pairs(own, where, s)
     x = near.join(classes.select(F.col("line").alias("a"), F.col("first").alias("fa")), "a").join(classes.select(F.col("line").alias("b"), F.col("first").alias("fb")), "b")
     later = x.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct().withColumn("near", F.lit(True))
     touched = classes.join(later, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -305,13 +304,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Rows that had no word before stay as they are.
     """
-    gone = repeated_lines(docs, id_col, text, s).where("n_removed > 0").select(F.col(id_col).alias("_id"), F.col("removed").alias("_removed"))
-    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    gone = repeated_lines(docs, id_col, text, s).where("n_removed > 0").select(F.col(id_col).alias("_q_id"), F.col("removed").alias("_q_removed"))
+    both = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_q_id")), "left")
     lines = F.split(text, "\n")
     # A map from line number to flag would be scanned for each line; lines and numbers are merged by position instead.
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_q_removed"))
     left = F.array_join(F.transform(keep, lambda k: F.get(lines, k)), "\n")
-    out = both.withColumn("_left", F.when(F.col("_removed").isNotNull(), left)).drop("_removed", "_id")
+    out = both.withColumn("_q_left", F.when(F.col("_q_removed").isNotNull(), left)).drop("_q_removed", "_q_id")
     if drop_empty:
-        out = out.where(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn(text, F.coalesce("_left", text)).select(docs.columns)
+        out = out.where(F.col("_q_left").isNull() | F.col("_q_left").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn(text, F.coalesce("_q_left", text)).select(docs.columns)

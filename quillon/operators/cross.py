@@ -43,7 +43,7 @@ def contagion(daily: DataFrame, x: str = "sector_return_1d", n: int = 20, least:
     are, too.
     """
     dates, sectors = daily.select("date").distinct(), daily.select("sector").distinct()
-    grid = dates.join(F.broadcast(sectors.limit(1000))).join(daily.select("date", "sector", F.col(x).alias("x")), ["date", "sector"], "left")
+    grid = dates.crossJoin(sectors).join(daily.select("date", "sector", F.col(x).alias("x")), ["date", "sector"], "left")
     own = c.frame(n, w=by("sector"))
     stats = grid.withColumns({"k": F.count("x").over(own), "m": F.avg("x").over(own), "s": F.stddev_pop("x").over(own), "i": F.row_number().over(by("sector"))})
     a, b = (stats.select("date", *[F.col(y).alias(f"{y}{p}") for y in ("sector", "x", "k", "m", "s", "i")]) for p in "ab")

@@ -149,7 +149,7 @@ def regime_summary(spark, sf_dir):
     df = df.withColumns({**{f"ret_{k}d_back": c.change("close", k) for k in (20, 60, 90)}, "_r1": c.change("close")})
     last = df.withColumn("_n", F.row_number().over(c.Window.partitionBy("ticker").orderBy(F.desc("date")))).where("_n = 1")
     sector = last.groupBy("sector").agg(F.avg("ret_20d_back").alias("sector_relative_strength_20d"))
-    last = last.join(F.broadcast(sector.limit(1000)), "sector", "left").withColumns({
+    last = last.join(sector, "sector", "left").withColumns({
         "stock_regime_signal": F.tanh(F.col("ret_60d_back")), "macro_regime_score": F.lit(0.2), "macro_regime_label": F.lit("constructive"), "vdce_market_state": F.lit("ORANGE"), "vdce_signal": regimes.state_score(F.lit("ORANGE")),
         "vdce_leader_score": F.lit(None).cast("double"), "sector_vol_prob": F.lit(None).cast("double"), "sector_risk_multiplier": F.lit(None).cast("double"), "rsi_14": F.lit(None).cast("double"), "ema10_slope_5": F.lit(None).cast("double"), "realized_vol_20": F.col("realized_vol_20"),
     })

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.operators.universe import merge_sources
 
@@ -30,7 +29,7 @@ def upsert(spark: SparkSession, fresh: DataFrame, path: str, keys: tuple[str, ..
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(conf).exists(where):
-        old = spark.read.parquet(path).join(F.broadcast(fresh.select(date).distinct().limit(100_000)), date, "left_semi")
+        old = spark.read.parquet(path).join(fresh.select(date).distinct(), date, "left_semi")
         merged = merge_sources(old.select(fresh.columns), fresh, keys=keys)
     else:
         merged = fresh

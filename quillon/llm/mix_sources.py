@@ -60,19 +60,13 @@ def rates(docs: DataFrame, weights: dict[str, float], source: str = "source", te
     together stand for theirs. Sources without characters have rate 0.
     """
     # ``weights`` is written by hand, so that its size is that of a configuration.
-    sizes = docs.groupBy(source).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).alias("size"))
+    sizes = written(docs.groupBy(source).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).alias("size")))
     listed = F.col(source).isin(*weights) if weights else F.lit(False)
     weight = F.coalesce(*[F.when(F.col(source) == k, F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
     known = F.coalesce(listed, F.lit(False))
-    total = sizes.agg(
-        F.coalesce(F.sum("size"), F.lit(0)).alias("all"),
-        F.coalesce(F.sum(F.when(known, F.col("size"))), F.lit(0)).alias("listed"),
-        F.coalesce(F.sum(F.when(known & (F.col("size") > 0), weight)), F.lit(0.0)).alias("weights"),
-    )
-    share = F.when(known, F.try_divide(weight * F.col("listed"), F.col("weights"))).otherwise(F.col("size"))
-    # The one-row side is an aggregate without keys.
-    each = sizes.join(F.broadcast(total))
-    return each.select(source, "size", F.coalesce(F.try_divide(share * epochs, F.col("size")), F.lit(0.0)).alias("rate"))
+    total = sizes.agg(F.coalesce(F.sum(F.when(known, F.col("size"))), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(known & (F.col("size") > 0), weight)), F.lit(0.0)).alias("weight")).first()
+    share = F.when(known, F.try_divide(weight * F.lit(total["size"]), F.lit(total["weight"]))).otherwise(F.col("size"))
+    return sizes.select(source, "size", F.coalesce(F.try_divide(share * epochs, F.col("size")), F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source: str = "source", text: str = "text", epochs: float = 1.0, seed: int = 11) -> DataFrame:

@@ -2,7 +2,8 @@
 
 For each benchmark item, every window of a document with as many words as the
 item has a SimHash fingerprint of its word shingles, weighted by how often each
-occurs. A fingerprint within ``radius`` bits of the item's agrees with it in at
+occurs; a document with fewer words is one window, if it has shingles enough
+for the similarity. A fingerprint within ``radius`` bits of the item's agrees with it in at
 least one of ``radius + 1`` blocks, so an index by block misses none; those it
 finds are compared by the weighted Jaccard similarity of their shingles.
 
@@ -114,11 +115,13 @@ class Index:
         if not found:
             return best
         for n, (k, tables, keys) in self.lengths.items():
-            if k not in found or n > len(h):
+            if k not in found:
                 continue
             x, hit = found[k]
+            m = min(n - k + 1, len(x))  # a document shorter than the item is one window
+            if m / (n - k + 1) < self.s.similarity:
+                continue
             hit = hit[keys[np.minimum(np.searchsorted(keys, x[hit]), len(keys) - 1)] == x[hit]]
-            m = n - k + 1
             low, high = np.maximum(hit - m + 1, 0), np.minimum(hit, len(x) - m)
             if not len(hit):
                 continue
@@ -131,7 +134,7 @@ class Index:
                     for i, j in zip(w.tolist(), item.tolist(), strict=True):
                         score = similarity(x[at + i : at + i + m], self.shingles[j])
                         if score >= self.s.similarity and (j not in best or score > best[j][0]):
-                            best[j] = (score, at + i, n)
+                            best[j] = (score, at + i, min(n, len(h)))
         return best
 
 

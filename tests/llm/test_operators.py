@@ -124,6 +124,27 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark):
+    """Against the exact similarity of the whole document: items that lost their first or last words."""
+    rng, vocab = random.Random(4), vocabulary()
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (60, 60, 25, 9, 5, 4)]
+    texts = [w[:-k] for w in items for k in (1, 3, 4, 11, 12, 13, 30) if k < len(w)] + [w[3:] for w in items] + [["changed", *items[0][1:-2]], items[1][:50] + items[0][:9]]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    expected = {}
+    for i, t in enumerate(texts):
+        for j, w in enumerate(items):
+            size = min(5, len(w))
+            a, b = ([tuple(x[k : k + size]) for k in range(len(x) - size + 1)] for x in (t, w))
+            score = sum(min(a.count(x), b.count(x)) for x in {*a, *b}) / sum(max(a.count(x), b.count(x)) for x in {*a, *b})
+            if score >= 0.8:
+                expected[i, j] = (score, 0, len(t))
+    joined = docs(spark, [" ".join(t) for t in texts])
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in decontaminate.leaks(joined, bench).collect()}
+    assert got == expected
+    assert expected[1, 0] == (53 / 56, 0, 57)
+    assert {r.doc_id for r in decontaminate.without_leaks(joined, bench).collect()} == set(range(len(texts))) - {i for i, _ in expected}
+
+
 def test_multi_index_misses_no_fingerprint_within_the_radius():
     import numpy as np
 

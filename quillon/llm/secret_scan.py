@@ -1,7 +1,8 @@
 """Secret scans: key-like strings, judged by a random forest.
 
-Candidates are runs of 16 or more key characters. Features of a candidate and
-of its neighbourhood are column expressions; a random forest (Spark ML, in the
+Candidates are runs of 16 or more key characters, the padding at their end
+counted. Features of a candidate and of its neighbourhood in the text, which
+may hold other candidates, are column expressions; a random forest (Spark ML, in the
 JVM), trained on labelled findings, tells secrets from look-alikes such as
 checksums, identifiers, long words, paths and placeholders. One map stage over
 the texts: nothing is shuffled but the training rows.
@@ -16,8 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of key characters; ``+`` after the count keeps the search linear.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+"
+#: Runs of key characters, with ``=`` as padding at the end only; ``+`` after the counts keeps the search linear.
+PADDING = "={1,6}+(?![A-Za-z0-9_+/=-])"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?:[A-Za-z0-9_+/-]{{16,}}+(?:{PADDING})?|(?=[A-Za-z0-9_+/=-]{{16}})[A-Za-z0-9_+/-]{{10,15}}+{PADDING})"
 #: Characters of context before and after a candidate.
 BEFORE, AFTER = 48, 24
 #: Words that stand next to secrets, and next to look-alikes.
@@ -75,9 +77,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     apart = hits.select(id_col, "_hits", F.split(text, CANDIDATE, -1).alias("_pieces"))
     sizes = lambda xs: F.transform(xs, lambda x: F.length(x))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    # The text around a hit is of pieces and of other hits, each of which has 16 characters or more.
+    last = lambda xs, k: F.right(F.get(xs, k), F.lit(BEFORE))
+    first = lambda xs, k: F.left(F.get(xs, k), F.lit(AFTER))
+    back, ahead = -(-BEFORE // 16), -(-AFTER // 16)
+    before = lambda k: F.right(F.concat_ws("", *[x for j in range(back, 0, -1) for x in (last("_hits", k - j), last("_pieces", k - j + 1))]), F.lit(BEFORE))
+    after = lambda k: F.left(F.concat_ws("", *[x for j in range(1, ahead + 1) for x in (first("_pieces", k + j), first("_hits", k + j))]), F.lit(AFTER))
     near = F.transform(
         F.sequence(F.lit(0), F.size("_hits") - 1),
-        lambda k: F.struct(F.get("_hits", k).alias("candidate"), F.right(F.get("_pieces", k), F.lit(BEFORE)).alias("before"), F.left(F.get("_pieces", k + 1), F.lit(AFTER)).alias("after"), k.alias("k")),
+        lambda k: F.struct(F.get("_hits", k).alias("candidate"), before(k).alias("before"), after(k).alias("after"), k.alias("k")),
     )
     each = apart.select(id_col, sizes(F.col("_hits")).alias("_h"), sizes(F.col("_pieces")).alias("_p"), F.explode(near).alias("_x"))
     start = total(F.slice("_p", F.lit(1), F.col("_x.k") + 1)) + total(F.slice("_h", F.lit(1), F.col("_x.k")))

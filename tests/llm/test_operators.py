@@ -277,6 +277,30 @@ def test_secret_forest_on_findings_it_has_not_seen(spark):
     assert judged.where("label = prediction").count() / judged.count() > 0.97
 
 
+def test_secret_candidates_and_their_context_equal_brute_force(spark):
+    rng = random.Random(6)
+    bits = ["aws_secret_access_key", "=", "==", " = ", '"', " ", "\n", "é", ": ", "a1" * 8, "B" * 14, "C" * 15, "d/+-" * 20, "======", "=======", "?token=", "x", "e" * 10, "----------------", "=" * 20]
+    texts = [*EDGES, *["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(150)], "F" * 14 + "==", "G" * 13 + "==", "H" * 20 + "==,"]
+    expected = set()
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9_+/-])([A-Za-z0-9_+/-]+)(={1,6}(?![A-Za-z0-9_+/=-]))?", t or ""):
+            if len(m[0]) >= 16:
+                expected.add((i, m.start(), m[0], t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 24]))
+    got = secret_scan.candidates(docs(spark, texts)).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_secrets_under_long_names_and_without_quotes(spark):
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    value = hashlib.sha1(b"y").hexdigest()
+    texts = [f'aws_secret_access_key = "{value}"', f"aws_secret_access_key={value}", f"API_KEY={value}", f"password={value}\n", f"credential={value} and", f"sha256:{value}"]
+    got = {(r.doc_id, r.start): r for r in secret_scan.scan(docs(spark, texts), model).collect()}
+    own = [got[k, t.index(value)] for k, t in enumerate(texts)]
+    assert [r.secret for r in own] == [True] * 5 + [False]
+    assert all(r.length == 40 and r.sha256 == hashlib.sha256(value.encode()).hexdigest() for r in own)
+    assert not any(r.secret for (_, start), r in got.items() if start == 0)
+
+
 # --- lines ------------------------------------------------------------------------
 
 

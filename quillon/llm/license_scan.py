@@ -9,6 +9,7 @@ the span. Each document is scanned whole and by itself, in one map stage.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -76,6 +77,17 @@ def base_places(flat: str, phrases: dict[str, str]) -> list[tuple[int, str]]:
     return found
 
 
+def matches(pattern: regex.Pattern, flat: str, a: int, b: int, least: int) -> Iterator[regex.Match]:
+    """The best match within ``a`` to ``b``, and those of the parts before and after it; none is shorter than ``least``."""
+    parts = [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        m = pattern.search(flat, a, b) if b - a >= least else None
+        if m and m.end() > m.start():
+            yield m
+            parts += (a, m.start()), (m.end(), b)
+
+
 def fuzzy_places(flat: str, seeds: ahocorasick.Automaton, patterns: list) -> list[tuple[int, int, str, float]]:
     """(start, end, label, score) in ``flat``; score: 1 less the share of the notice that was edited."""
     spans: dict[int, list[list[int]]] = {}
@@ -90,19 +102,17 @@ def fuzzy_places(flat: str, seeds: ahocorasick.Automaton, patterns: list) -> lis
                 own[-1][0] = min(own[-1][0], a)
             else:
                 own.append([a, b])
-    found = []
+    found = set()
     for n, own in spans.items():
-        pattern, text, label, _ = patterns[n]
+        pattern, text, label, errors = patterns[n]
         for a, b in own:
-            for m in pattern.finditer(flat, max(0, a), min(len(flat), b)):
-                found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(text)))
+            for m in matches(pattern, flat, max(0, a), min(len(flat), b), len(text) - errors):
+                found.add((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(text)))
     kept: list[tuple[int, int, str, float]] = []
-    for x in sorted(set(found)):  # of notices that overlap, as the versions of one licence do, the best
-        if kept and x[0] < kept[-1][1]:
-            if (x[3], x[1] - x[0]) > (kept[-1][3], kept[-1][1] - kept[-1][0]):
-                kept[-1] = x
-        else:
-            kept.append(x)
+    for x in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x)):  # of notices that overlap, as the versions of one licence do, the best
+        at = bisect(kept, x)
+        if (at == 0 or kept[at - 1][1] <= x[0]) and (at == len(kept) or x[1] <= kept[at][0]):
+            kept.insert(at, x)
     return kept
 
 

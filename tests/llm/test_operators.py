@@ -408,6 +408,42 @@ def test_license_scan_finds_notices_with_edits(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def brute_notices(flat, notices):
+    """Of all spans of whole words within the errors, the best first, none that overlaps a better one."""
+    starts = [k + 1 for k, x in enumerate(flat[:-1]) if x == " "]
+    ends = [k for k, x in enumerate(flat) if x == " " and k]
+    found = []
+    for text, label in notices.notices.items():
+        errors = max(1, min(notices.most, len(text) // notices.per))
+        for a in starts:
+            for b in ends:
+                if abs(b - a - len(text)) <= errors and (n := edit_distance(flat[a:b], text)) <= errors:
+                    found.append((n / len(text), a, b, label))
+    kept = []
+    for x in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1])):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+            kept.append(x)
+    return sorted((a, b, label, round(1 - n, 9)) for n, a, b, label in kept)
+
+
+def test_license_scan_finds_adjacent_notices(spark):
+    rng = random.Random(9)
+    texts = ["this werk is licensd under the gnu general public license version 3 this work is licensed under the gnu general public license version 2"]
+    for _ in range(40):
+        notice = rng.choice([x for x in license_scan.NOTICES if "general" in x or "cc by" in x or "mit" in x or "mozilla" in x])
+        parts = []
+        for _ in range(rng.randint(2, 4)):
+            w = (rng.choice(list(license_scan.NOTICES)) if rng.random() < 0.2 else notice).split()
+            for k in rng.sample([k for k, x in enumerate(w) if len(x) > 4], rng.choice([0, 0, 1, 1, 2]) if len(" ".join(w)) > 36 else rng.choice([0, 1])):
+                w[k] = rng.choice([w[k][:2] + "z" + w[k][3:], w[k][:2] + w[k][3:], w[k][:2] + "q" + w[k][2:]])
+            parts.append(" ".join([*w, *["ab"] * rng.choice([0, 0, 1, 3])]))
+        texts.append(" ".join(parts))
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert got[0].labels == "gpl,gpl-2.0,gpl-3.0"
+    for i, t in enumerate(texts):
+        assert [(x.start, x.stop, x.label, round(x.score, 9)) for x in got[i].spans] == brute_notices(license_scan.normal(t), license_scan.Notices()), t
+
+
 # --- quality rules ----------------------------------------------------------------
 
 

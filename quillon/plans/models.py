@@ -98,14 +98,14 @@ def bounds(spark, sf_dir):
 @add("m01_mixture_regimes")
 def mixture(spark, sf_dir):
     df = feature_panel(spark, sf_dir)
-    model = models.RegimeModel(FEATURES, (3, 4), sample_rows=20_000).fit(df.where(F.col("date") <= "2000-12-31"))
+    model = models.RegimeModel(FEATURES).fit(df.where(F.col("date") <= "2000-12-31"))
     return model.transform(df).select("ticker", "date", "gmm_regime_label", "gmm_regime_confidence")
 
 
 @add("m03_fx09_expanding_regimes")
 def expanding(spark, sf_dir):
     m = series.macro_overlay(bars(spark, sf_dir), "1", {"tlt": "2", "hyg": "3", "lqd": "4", "vixy": "5"})
-    return models.expanding_regimes(m, ("macro_spy_vol_20d", "macro_spy_mom_20d"), 3, 150, 60)
+    return models.expanding_regimes(m, ("macro_spy_vol_20d", "macro_spy_mom_20d"))
 
 
 @add("m07_m09_f24_classifier")

@@ -35,6 +35,18 @@ def test_models(spark, name):
             assert p is None or 0 <= p <= 1
 
 
+def test_regimes_use_all_numbers_of_components(spark, sf_dir):
+    """BIC chooses 6 here, of 3 to 6."""
+    labels = QUERIES["m01_mixture_regimes"](spark, sf_dir).select("gmm_regime_label").distinct().collect()
+    assert {r.gmm_regime_label for r in labels} == {None, *range(6)}
+
+
+def test_expanding_regimes_use_the_least_training_of_the_method(spark, sf_dir):
+    df = QUERIES["m03_fx09_expanding_regimes"](spark, sf_dir)
+    assert [x for x in df.columns if x.startswith("regime_prob_")] == [f"regime_prob_{k}" for k in range(4)]
+    assert min(r.fitted_rows for r in df.collect()) == 252
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -35,13 +36,41 @@ def let(value: Column, body) -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = getattr(spark.sparkContext, "_quillon_checkpoints", None) or f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-        spark.sparkContext._quillon_checkpoints = root
+    """The shared folder of the cluster: ``spark.checkpoint.dir``, or what the context was given.
+
+    On one machine without either, a temporary folder; on a cluster executors
+    couldn't share that, so it is an error there.
+    """
+    sc = spark.sparkContext
+    if root := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return root
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not (root := getattr(sc, "_quillon_checkpoints", None)):
+        root = sc._quillon_checkpoints = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
     return root
 
 
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``facts``, null where it has none (a left join on ``keys``; ``facts`` has each once).
+
+    Column ``count`` of ``facts``, left out of the result, tells how many of
+    the ``total`` rows have the key. Keys with more than one ``share``-th of all
+    rows would each end in one task; there are fewer than ``share`` of them,
+    so they are broadcast, and the other keys meet in a shuffle. Rows with a
+    null key, of which a shuffle would make one group, take part in neither.
+    """
+    least = total // share
+    more = [c for c in facts.columns if c not in (*keys, count)]
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    none = rows.where(~known).select("*", *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in more])
+    rows = rows.where(known)
+    heavy = facts.where(F.col(count) > least).select(*keys, *more)
+    light = facts.where(F.col(count) <= least).select(*keys, *more)
+    own = rows.join(F.broadcast(heavy), keys, "inner")
+    return own.unionByName(rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light, keys, "left")).unionByName(none)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows go to a table in the shared folder and are read again.
 

@@ -7,20 +7,29 @@ length, the segment's number and its text, meets a probe row for each substring
 that a line of the same or greater length may share with it.
 
 A line's key holds a hash and, in its low bits, the parity of its characters'
-counts in ``PARITY`` classes: an edit flips two of these bits at most, so the
-join's condition drops almost all false pairs before they are rows. The rest
-are verified with a banded bit-parallel edit distance over the lines' texts.
+counts in ``PARITY`` classes: an edit flips two of these bits at most. Semi
+joins keep the rows that meet another line of fitting parities in their bucket,
+so that no pair is ever a row. Each bucket is then sorted by the lines' first
+places, and a line is held against the earlier ones, with a banded bit-parallel
+edit distance where the sketches of both allow it, until one witness is found.
+A line gives one row for each of its buckets, however many lines are near it.
 
 Equal lines fold into one row per worker share before any shuffle and into one
 class after it, so that a line in a third of all documents is no large group.
+Large buckets are dealt out in blocks of ``block`` lines, a task for each two
+blocks. Lines that make up much of all places are joined by broadcast: there
+are at most ``HEAVY`` of them, whatever the data.
+
 Decisions: of each class all places but the first go; if any earlier class is
-within the edits, the first goes too.
+within the edits, the first goes too. Lines of fewer than ``shortest``
+characters are held against equal ones only; lines without a word stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +37,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import split_join, written
 
 #: Classes of characters whose count parities a line's key holds.
 PARITY = 24
 #: Lines that a worker remembers to have indexed.
 SEEN = 500_000
+#: Keys with more than this share of all rows are heavy: there can't be more of them.
+HEAVY = 10_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``shortest``: lines of fewer characters are never removed.
-    ``broadcast``: up to so many keys of lines to verify are sent to every worker; more of them are joined."""
+    """``shortest``: lines of fewer characters go only where they equal an earlier one.
+    ``broadcast``: up to so many keys of lines to verify are sent to every worker; more of them are joined.
+    ``block``: lines of a bucket that one task holds at a time, twice."""
 
     edits: int = 2
     shortest: int = 20
     broadcast: int = 200_000
+    block: int = 2048
 
 
 #: White space that normalising would change, within a text between line ends.
@@ -136,14 +149,9 @@ def bounded_distance(a: str, b: str, most: int) -> int:
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    low, end = 0, min(len(a), len(b))
-    while low < end and a[low] == b[low]:
-        low += 1
+    low = len(commonprefix((a, b)))
     a, b = a[low:], b[low:]
-    end = min(len(a), len(b))
-    tail = 0
-    while tail < end and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+    tail = len(commonprefix((a[::-1], b[::-1])))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     width = 2 * most + 1
     full = (1 << width) - 1
@@ -166,6 +174,8 @@ def bounded_distance(a: str, b: str, most: int) -> int:
                 m |= masks[e - 1] | (masks[e - 1] >> 1)  # replaced; taken out of a
                 m |= new[e - 1] << 1  # put into a
             new.append(m & inside & full)
+        if not new[most]:
+            return most + 1
         masks = new
     goal = len(b) - len(a) + most
     return next((e for e in range(most + 1) if masks[e] >> goal & 1), most + 1)
@@ -187,11 +197,11 @@ def map_lines(docs: DataFrame, each, schema: str, names: list[str], types: list)
 
 
 def places(docs: DataFrame, s: Settings) -> DataFrame:
-    """(``line``, ``doc``, ``number``) of each line that is long enough, and a row of (null, doc, number of lines)."""
+    """(``line``, ``doc``, ``number``) of each line with a word, and a row of (null, doc, number of lines)."""
 
     def each():
         def state(cols: list, i, t) -> None:
-            found, n = line_keys(t, s.shortest)
+            found, n = line_keys(t, 1)
             cols[0] += [None, *(x[2] for x in found)]
             cols[1] += [i] * (len(found) + 1)
             cols[2] += [n, *(x[0] for x in found)]
@@ -257,24 +267,75 @@ def texts_of(docs: DataFrame, need: DataFrame, where: DataFrame, s: Settings) ->
     return found.join(F.broadcast(need) if few else need, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
 
 
-def near_pairs(docs: DataFrame, where: DataFrame, s: Settings) -> DataFrame:
-    """(``a``, ``b``) of distinct lines within ``edits`` edits."""
+def met_lines(docs: DataFrame, s: Settings) -> DataFrame:
+    """(``key``, ``line``) of the lines that meet another one, of fitting parities, in a bucket."""
     index = entries(docs, s, False).repartition("key").dropDuplicates(["key", "line"])
     probe = entries(docs, s, True).repartition("key").dropDuplicates(["key", "line"])
+    x, y = index.select("key", F.col("line").alias("a")), probe.select(F.col("key").alias("_key"), F.col("line").alias("b"))
     bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit((1 << PARITY) - 1)))
-    pairs = index.select("key", F.col("line").alias("a")).join(probe.select("key", F.col("line").alias("b")), "key")
-    pairs = pairs.where((F.col("a") != F.col("b")) & (bits <= 2 * s.edits))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    texts = written(texts_of(docs, need, where, s))
+    meet = (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & (bits <= 2 * s.edits)
+    both = x.join(y, meet, "left_semi").select("key", F.col("a").alias("line"))
+    return both.unionByName(y.join(x, meet, "left_semi").select(F.col("_key").alias("key"), F.col("b").alias("line"))).distinct()
+
+
+def sketch(line: str) -> int:
+    """Parities of the counts of the pairs of neighbouring characters, in 64 classes; an edit flips four at most."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    own = (c[:-1] * np.uint64(0x9E3779B1) + c[1:] * np.uint64(0x85EBCA77)) >> np.uint64(13) & np.uint64(63)
+    return int(np.bitwise_xor.reduce(np.uint64(1) << own)) if len(own) else 0
+
+
+def witnessed(bucket: list[dict], edits: int) -> list[int]:
+    """Those lines of a bucket, given by their first places, that have an earlier one within the edits.
+
+    Lines of one block, where the bucket has two, aren't held against each other.
+    """
+    keys = np.array([r["line"] for r in bucket], np.int64) & ((1 << PARITY) - 1)
+    marks = np.array([sketch(r["text"]) for r in bucket], np.uint64)
+    block = np.array([r["block"] for r in bucket])
+    size = np.array([len(r["text"]) for r in bucket])
+    one = len(set(block.tolist())) == 1
+    out = []
+    for j in range(1, len(bucket)):
+        differ = np.bitwise_count(marks[:j] ^ marks[j])
+        fits = (np.bitwise_count(keys[:j] ^ keys[j]) <= 2 * edits) & (differ <= 4 * edits) & (abs(size[:j] - size[j]) <= edits)
+        if not one:
+            fits &= block[:j] != block[j]
+        may = np.flatnonzero(fits)
+        if any(bounded_distance(bucket[i]["text"], bucket[j]["text"], edits) <= edits for i in may[np.argsort(differ[may], kind="stable")].tolist()):
+            out.append(bucket[j]["line"])
+    return out
+
+
+def near_lines(docs: DataFrame, where: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """``line`` of the distinct lines that have an earlier one within the edits."""
+    met = written(met_lines(docs, s))
+    need = written(met.select("line").distinct())
+    known = texts_of(docs, need, where, s).join(classes.select("line", "first"), "line")
+    # More lines than both bounds: there are few such buckets, whatever the data.
+    large = max(s.block, met.count() // HEAVY)
+    parts = met.groupBy("key").count().where(F.col("count") > large).select("key", F.ceil(F.col("count") / s.block).cast("int").alias("parts"))
+    rows = met.join(known, "line").join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("line"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "line", "first", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(bucket: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(witnessed(bucket, s.edits), pa.int64())], names=["line"])
+
+        bucket, own = [], None
         for batch in batches:
-            keep = [bounded_distance(x, y, s.edits) <= s.edits for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 1000):
+                for r in batch.slice(at, 1000).to_pylist():
+                    if own != (now := (r["key"], r["x"], r["y"])):
+                        if len(bucket) > 1:
+                            yield told(bucket)
+                        bucket, own = [], now
+                    bucket.append(r)
+        if len(bucket) > 1:
+            yield told(bucket)
 
-    x = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
-    return x.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "first").select("key", "x", "y", "block", "line", "text").mapInArrow(run, "line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -282,18 +343,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Ids are integers and order the documents, a null id before all others; rows
     with one id must be repeats of one row and count once. A null or empty text
-    has no lines. Lines of fewer than ``shortest`` characters stay. Columns
-    other than id and text aren't read.
+    has no lines. Lines without a word are never removed, those of fewer than
+    ``shortest`` characters only for an equal one. Columns other than id and
+    text aren't read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     where = written(places(own, s).distinct())
     at = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "number")
     classes = written(where.where("line is not null").groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("n")))
-    near = near_pairs(own, where, s)
-    x = near.join(classes.select(F.col("line").alias("a"), F.col("first").alias("fa")), "a").join(classes.select(F.col("line").alias("b"), F.col("first").alias("fb")), "b")
-    later = x.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("line")).distinct().withColumn("near", F.lit(True))
-    touched = classes.join(later, "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    each = where.join(touched, "line", "left").withColumn("gone", F.col("first").isNotNull() & (F.col("near") | (at != F.col("first"))))
+    later = near_lines(own, where, classes, s).withColumn("near", F.lit(True))
+    touched = written(classes.join(later, "line", "left").where("n > 1 or near").select("line", "n", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    each = split_join(where, touched, ["line"], "n", where.count())
+    each = each.withColumn("gone", F.col("first").isNotNull() & (F.col("near") | (at != F.col("first"))))
     n = F.max(F.when(F.col("line").isNull(), F.col("number"))).cast("long")
     out = each.groupBy("doc").agg(n.alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("removed"))
     return out.select(F.col("doc").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

@@ -342,26 +342,27 @@ def test_bounded_distance_and_probes_are_complete():
             assert index & {(m, i, b[p : p + z]) for m, i, p, z in line_dedup.probes(len(b), 2)}
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_line_dedup_equals_brute_force(spark, broadcast):
+@pytest.mark.parametrize(("broadcast", "block"), [(500_000, 2048), (0, 3)])
+def test_line_dedup_equals_brute_force(spark, broadcast, block):
     rng = random.Random(9)
     lines = ["".join(rng.choice("abcdefgh é€") for _ in range(rng.randint(15, 60))) for _ in range(25)]
     pool = [*lines, *[edited(rng, x, rng.randint(0, 3), "abé€漢") for x in lines for _ in range(3)], "  Spaced \t LINE with words and more  ", "spaced line with words and more", "short", "short", ""]
     texts = [*EDGES, *["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8))) for _ in range(40)]]
-    s = line_dedup.Settings(broadcast=broadcast)
+    s = line_dedup.Settings(broadcast=broadcast, block=block)
     table = docs(spark, texts)
     got = {r.doc_id: r for r in line_dedup.repeated_lines(table.unionByName(table.limit(14)), s=s).collect()}
     norm = lambda x: line_dedup.normal(x.encode())
     first = {}
     for i, t in enumerate(texts):
         for k, x in enumerate((t or "").split("\n")):
-            if len(norm(x)) >= s.shortest:
+            if norm(x):
                 first.setdefault(norm(x), (i, k))
-    near = {b for a in first for b in first if first[a] < first[b] and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2}
+    long = [x for x in first if len(x) >= s.shortest]
+    near = {b for a in long for b in long if first[a] < first[b] and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2}
     assert near
     for i, t in enumerate(texts):
         own = (t or "").split("\n") if t else []
-        expected = [k for k, x in enumerate(own) if len(norm(x)) >= s.shortest and (first[norm(x)] != (i, k) or norm(x) in near)]
+        expected = [k for k, x in enumerate(own) if norm(x) and (first[norm(x)] != (i, k) or norm(x) in near)]
         assert (got[i].n_lines, list(got[i].removed), got[i].n_removed) == (len(own), expected, len(expected))
     kept = {r.doc_id: r.text for r in line_dedup.without_repeats(table, s=s, drop_empty=False).collect()}
     for i, t in enumerate(texts):
@@ -369,6 +370,22 @@ def test_line_dedup_equals_brute_force(spark, broadcast):
         assert kept[i] == (t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
 
 
+@pytest.mark.parametrize("block", [2048, 40])
+def test_line_dedup_of_a_large_group_of_lines_that_share_most_of_their_text(spark, block):
+    """300 variants of one line, most of them more than two edits from all others, against brute force."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+    lines = []
+    for _ in range(300):
+        own = list(words)
+        own[rng.randrange(12)] += "".join(rng.choice("wxyz") for _ in range(rng.choice([1, 3, 4])))
+        lines.append(" ".join(own))
+    got = line_dedup.repeated_lines(docs(spark, lines), s=line_dedup.Settings(block=block)).collect()
+    gone = {j for j, x in enumerate(lines) if any(edit_distance(x, y) <= 2 for y in lines[:j])}
+    assert 0 < len(gone) < 299
+    assert {r.doc_id for r in got if r.n_removed} == gone
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.repeated_lines(docs(spark, [])).count() == 0
     long = "the same long line of text stands here"
@@ -376,6 +393,8 @@ def test_line_dedup_edges(spark):
     assert sorted((r.doc_id, r.text) for r in out) == [(0, long), (2, "and another line that is new"), (3, None), (4, "")]
     nulls = line_dedup.repeated_lines(docs(spark, [long, long], ids=[5, None])).collect()
     assert {r.doc_id: r.n_removed for r in nulls} == {5: 1, None: 0}
+    short = line_dedup.without_repeats(docs(spark, ["Read more\n\nfirst", "read  more\n\nread morn", "Read more", " \n "])).collect()
+    assert sorted((r.doc_id, r.text) for r in short) == [(0, "Read more\n\nfirst"), (1, "\nread morn"), (3, " \n ")]
     near = line_dedup.repeated_lines(docs(spark, [long, long.replace("same", "sane")], ids=[5, None])).collect()
     assert {r.doc_id: r.n_removed for r in near} == {5: 1, None: 0}
 

@@ -4,12 +4,13 @@ Segment-partition edit join: a line is split into ``edits + 1`` segments; a line
 within ``edits`` edits of it holds one of them unchanged, at a place that the
 two lengths narrow down. An index row for each segment, keyed by the line's
 length, the segment's number and its text, meets a probe row for each substring
-that a line of the same or greater length may share with it.
+that a line of the same or greater length may share with it. A line's index
+rows are among its own probes, so that one set of rows is shuffled for both.
 
 A line's key holds a hash and, in its low bits, the parity of its characters'
-counts in ``PARITY`` classes: an edit flips two of these bits at most. Semi
-joins keep the rows that meet another line of fitting parities in their bucket,
-so that no pair is ever a row. Each bucket is then sorted by the lines' first
+counts in ``PARITY`` classes: an edit flips two of these bits at most. One sort
+by bucket drops the rows that are alone in theirs, and semi joins those that meet
+no other line of fitting parities, so that no pair is ever a row. Each bucket is then sorted by the lines' first
 places, and a line is held against the earlier ones, with a banded bit-parallel
 edit distance where the sketches of both allow it, until one witness is found.
 A line gives one row for each of its buckets, however many lines are near it.
@@ -34,7 +35,7 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import split_join, written
@@ -211,17 +212,18 @@ def places(docs: DataFrame, s: Settings) -> DataFrame:
     return map_lines(docs, each, "line long, doc long, number int", ["line", "doc", "number"], [pa.int64(), pa.int64(), pa.int32()])
 
 
-def entries(docs: DataFrame, s: Settings, probe: bool) -> DataFrame:
-    """(``key``, ``line``): the index rows, or the probe rows, of each distinct line of a worker's share."""
+def entries(docs: DataFrame, s: Settings) -> DataFrame:
+    """(``key``, ``line``, ``own``): the probe rows of each distinct line of a worker's share; ``own`` ones are its index rows too."""
 
     def each():
         seen, plans, digest = set(), {}, xxhash.xxh3_64_intdigest
 
-        def plan_of(n: int) -> list[tuple[int, int, int]]:
+        def plan_of(n: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
             if len(plans) > 10_000:
                 plans.clear()
-            each = probes(n, s.edits) if probe else [(n, i, a, size) for i, (a, size) in enumerate(segments(n, s.edits))]
-            plans[n] = [(m * 8 + i, a, a + size) for m, i, a, size in each]
+            own = {(n, i, a) for i, (a, _) in enumerate(segments(n, s.edits))}
+            each = probes(n, s.edits)
+            plans[n] = [(m * 8 + i, a, a + size) for m, i, a, size in each], [(m, i, a) in own for m, i, a, _ in each]
             return plans[n]
 
         def state(cols: list, _, t) -> None:
@@ -231,16 +233,17 @@ def entries(docs: DataFrame, s: Settings, probe: bool) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                plan = plans.get(len(line)) or plan_of(len(line))
+                plan, own = plans.get(len(line)) or plan_of(len(line))
                 if isinstance(line, bytes):
                     cols[0] += [digest(line[x:y], seed) >> 1 for seed, x, y in plan]
                 else:  # a piece of it may be Latin-1 and must then hash as one
                     cols[0] += [digest(packed(line[x:y]), seed) >> 1 for seed, x, y in plan]
                 cols[1] += [key] * len(plan)
+                cols[2] += own
 
         return state
 
-    return map_lines(docs, each, "key long, line long", ["key", "line"], [pa.int64(), pa.int64()])
+    return map_lines(docs, each, "key long, line long, own boolean", ["key", "line", "own"], [pa.int64(), pa.int64(), pa.bool_()])
 
 
 def texts_of(docs: DataFrame, need: DataFrame, where: DataFrame, s: Settings) -> DataFrame:
@@ -268,14 +271,15 @@ def texts_of(docs: DataFrame, need: DataFrame, where: DataFrame, s: Settings) ->
 
 
 def met_lines(docs: DataFrame, s: Settings) -> DataFrame:
-    """(``key``, ``line``) of the lines that meet another one, of fitting parities, in a bucket."""
-    index = entries(docs, s, False).repartition("key").dropDuplicates(["key", "line"])
-    probe = entries(docs, s, True).repartition("key").dropDuplicates(["key", "line"])
-    x, y = index.select("key", F.col("line").alias("a")), probe.select(F.col("key").alias("_key"), F.col("line").alias("b"))
-    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit((1 << PARITY) - 1)))
-    meet = (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & (bits <= 2 * s.edits)
-    both = x.join(y, meet, "left_semi").select("key", F.col("a").alias("line"))
-    return both.unionByName(y.join(x, meet, "left_semi").select(F.col("_key").alias("key"), F.col("b").alias("line"))).distinct()
+    """(``key``, ``line``) of the index rows and the probes of other lines, of fitting parities, that meet."""
+    bucket = Window.partitionBy("key")
+    each = entries(docs, s).withColumns({"low": F.min("line").over(bucket), "high": F.max("line").over(bucket), "held": F.max("own").over(bucket)})
+    each = written(each.where("held and low <> high").select("key", "line", "own").distinct())
+    x, y = each.where("own").select("key", "line"), each.select(F.col("key").alias("_key"), F.col("line").alias("_line"))
+    bits = F.bit_count(F.col("line").bitwiseXOR(F.col("_line")).bitwiseAND(F.lit((1 << PARITY) - 1)))
+    meet = (F.col("key") == F.col("_key")) & (F.col("line") != F.col("_line")) & (bits <= 2 * s.edits)
+    probe = y.join(x, meet, "left_semi").select(F.col("_key").alias("key"), F.col("_line").alias("line"))
+    return x.join(y, meet, "left_semi").unionByName(probe).distinct()
 
 
 def sketch(line: str) -> int:
@@ -312,9 +316,11 @@ def near_lines(docs: DataFrame, where: DataFrame, classes: DataFrame, s: Setting
     met = written(met_lines(docs, s))
     need = written(met.select("line").distinct())
     known = texts_of(docs, need, where, s).join(classes.select("line", "first"), "line")
-    # More lines than both bounds: there are few such buckets, whatever the data.
-    large = max(s.block, met.count() // HEAVY)
-    parts = met.groupBy("key").count().where(F.col("count") > large).select("key", F.ceil(F.col("count") / s.block).cast("int").alias("parts"))
+    # More lines than the second bound: there are few such buckets, whatever the data.
+    small = max(1, s.block // 8)
+    n = F.col("count")
+    parts = F.greatest(F.ceil(n / s.block), F.least(F.ceil(n / small), F.lit(16))).cast("int").alias("parts")
+    parts = met.groupBy("key").count().where(n > max(small, met.count() // HEAVY)).select("key", parts)
     rows = met.join(known, "line").join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("line"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "line", "first", "text")

@@ -70,9 +70,10 @@ def base_places(flat: str, phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(start in words, label) of each place where a phrase's words stand consecutively."""
     found = []
     for phrase, label in phrases.items():
-        at = flat.find(f" {phrase} ")
+        at, last, words = flat.find(f" {phrase} "), 0, 0
         while at >= 0:
-            found.append((flat.count(" ", 0, at), label))
+            words, last = words + flat.count(" ", last, at), at
+            found.append((words, label))
             at = flat.find(f" {phrase} ", at + 1)
     return found
 

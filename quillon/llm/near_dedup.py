@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, mixed, shingle_hashes, words, written
+from quillon.llm.common import WordHashes, mixed, shingle_hashes, split_join, words, written
 from quillon.llm.components import components
 
 
@@ -223,8 +223,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     sigs = written(signatures(docs, id_col, text, s))
     known = sigs.where("set_key is not null and id is not null")
-    classes = known.groupBy("set_key").agg(F.min("id").alias("class"))
-    member = written(known.select("id", "set_key").join(classes, "set_key").groupBy("id").agg(F.min("class").alias("class")))
+    classes = written(known.groupBy("set_key").agg(F.min("id").alias("class"), F.count("*").alias("n")))
+    # A set that much of all documents have is joined by broadcast.
+    member = split_join(known.select("id", "set_key"), classes, ["set_key"], "n", sigs.count())
+    member = written(member.groupBy("id").agg(F.min("class").alias("class")))
     heads = known.join(member.where("id = class").select("id"), "id", "left_semi").dropDuplicates(["id"])
     heads = written(heads.select("id", F.col("n_shingles").alias("n"), "bands", *planes("sig", s)))
     slots = heads.select("id", F.explode("bands").alias("key"))

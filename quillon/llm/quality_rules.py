@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, let
+from quillon.llm.common import SPACE, let, split_join, written
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -89,31 +89,33 @@ def normal(t: Column) -> Column:
     return F.when(low.rlike(some), F.regexp_replace(low, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(low)
 
 
-def normal_lines(t: Column) -> Column:
-    """Normalised lines; those without a word are left out."""
-    return F.array_remove(F.transform(F.split(normal(t), "\n"), lambda x: F.trim(x)), "")
-
-
-def lost_lines(docs: DataFrame, id_col: str, text: str, host: str, rules: Rules, as_set: bool = False) -> DataFrame:
+def lost_lines(docs: DataFrame, id_col: str, text: str, host: str, rules: Rules, places: bool = False) -> DataFrame:
     """For each (id, text hash): ``n_lost`` words in lines above the limit.
 
     Equal texts count as one document, so that a much copied document isn't
-    taken for boilerplate. Null hosts form one host. ``as_set`` adds the hashes
-    of the lines, which one document's text bounds.
+    taken for boilerplate. Null hosts form one host. ``places`` adds the
+    numbers of the lines, from 0, which one document's text bounds. A line of
+    one host that makes up much of all lines is joined by broadcast, however
+    many texts hold it, so that it is no task's alone.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    line = F.transform(normal_lines(t), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))
-    mark = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("w")))  # one for each row of docs
-    keyed = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(t).alias("_q_th"), F.concat(line, mark).alias("_lines"))
-    each = keyed.select("_q_id", "_host", "_q_th", F.explode("_lines").alias("_l")).select("_q_id", "_host", "_q_th", "_l.h", "_l.w")
-    texts = each.where("h is not null").groupBy("_host", "h", "_q_th").agg(F.min("_q_id").alias("_q_id"))
-    frequent = texts.groupBy("_host", "h").agg(F.count("*").alias("n"), F.min("_q_id").alias("first")).where(F.col("n") > rules.max_line_docs)
-    frequent = frequent.select(F.col("_host").alias("_fh"), F.col("h").alias("_h"), "first")
-    hit = each.join(frequent, (F.col("h") == F.col("_h")) & (F.col("_host") == F.col("_fh")), "left")
-    gone = F.col("_h").isNotNull() & ~F.col("_q_id").eqNullSafe(F.col("first"))
+    each = F.transform(F.split(normal(t), "\n"), lambda x, k: F.struct(F.trim(x).alias("x"), k.alias("k")))
+    # Lines without a word are left out.
+    each = F.transform(F.filter(each, lambda r: r["x"] != ""), lambda r: F.struct(F.xxhash64(r["x"]).alias("h"), F.size(F.split(r["x"], " ")).alias("w"), r["k"].alias("k")))
+    mark = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("w"), F.lit(None).cast("int").alias("k")))  # one for each row of docs
+    keyed = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(t).alias("_q_th"), F.concat(each, mark).alias("_lines"))
+    each = keyed.select("_q_id", "_host", "_q_th", F.explode("_lines").alias("_l")).select("_q_id", "_host", "_q_th", "_l.h", "_l.w", *["_l.k"] * places)
+    each = written(each)
+    texts = each.where("h is not null").groupBy("_host", "h", "_q_th").agg(F.min("_q_id").alias("_q_id"), F.count("*").alias("n"))
+    known = texts.groupBy("_host", "h").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("_q_id").alias("first"))
+    often = F.col("texts") > rules.max_line_docs
+    # Lines below the limit are only of use here where their copies would be one task's rows.
+    known = written(known.where(often | (F.col("n") > 1000)).select("_host", "h", "n", often.alias("often"), "first"))
+    hit = split_join(each, known, ["_host", "h"], "n", known.agg(F.sum("n")).first()[0] or 0)
+    gone = F.coalesce(F.col("often"), F.lit(False)) & ~F.col("_q_id").eqNullSafe(F.col("first"))
     out = [(F.sum(F.when(gone, F.col("w")).otherwise(0)) / F.sum(F.when(F.col("h").isNull(), 1).otherwise(0))).cast("long").alias("n_lost")]
-    if as_set:
-        out.append(F.collect_set(F.when(gone, F.col("h"))).alias("_q_lost"))
+    if places:
+        out.append(F.collect_set(F.when(gone, F.col("k"))).alias("_q_lost"))
     return hit.groupBy("_q_id", "_q_th").agg(*out)
 
 
@@ -140,6 +142,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hos
     out = out.withColumn("kept", ~F.col("base_failed") & left)
     if clean:
         whole = F.split(F.col(text), "\n")
-        keep = F.filter(whole, lambda x: ~F.coalesce(F.array_contains(F.col("_q_lost"), F.xxhash64(F.trim(normal(x)))), F.lit(False)))
-        out = out.withColumn(text, F.when(F.size("_q_lost") > 0, F.array_join(keep, "\n")).otherwise(F.col(text))).drop("_q_lost")
+        keep = F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("_q_lost"))
+        left = F.array_join(F.transform(keep, lambda k: F.get(whole, k)), "\n")
+        out = out.withColumn(text, F.when(F.size("_q_lost") > 0, left).otherwise(F.col(text))).drop("_q_lost")
     return out

@@ -1,7 +1,7 @@
 """Secret scans: key-like strings, judged by a random forest.
 
 Candidates are runs of 16 or more key characters, the padding at their end
-counted. Features of a candidate and of its neighbourhood in the text, which
+counted; shorter strings are words more often than keys and aren't judged. Features of a candidate and of its neighbourhood in the text, which
 may hold other candidates, are column expressions; a random forest (Spark ML, in the
 JVM), trained on labelled findings, tells secrets from look-alikes such as
 checksums, identifiers, long words, paths and placeholders. One map stage over
@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import let
+
 #: Runs of key characters, with ``=`` as padding at the end only; ``+`` after the counts keeps the search linear.
 PADDING = "={1,6}+(?![A-Za-z0-9_+/=-])"
 CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?:[A-Za-z0-9_+/-]{{16,}}+(?:{PADDING})?|(?=[A-Za-z0-9_+/=-]{{16}})[A-Za-z0-9_+/-]{{10,15}}+{PADDING})"
@@ -49,13 +51,13 @@ def with_features(found: DataFrame) -> DataFrame:
     # Words and parts of three letters and more count; longer ones are tried first.
     parts = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))
     each = {
-        "length": F.least(n, F.lit(200)).cast("double"),
+        "length": n.cast("double"),
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "lowers": share("[a-z]"),
         "hexadecimal": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "transitions": F.regexp_count(c, F.lit("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[a-z])")) / (n - 1),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 64), ""))) / F.least(n, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
         "repeats": flag(c.rlike(r"(.)\1{3,}|(0123|1234|abcd|ABCD)")),
         "coverage": 1 - F.length(F.regexp_replace(low, parts, "")) / n,
         "path": share("/") + flag(F.col("before").rlike(r"(https?:/{0,2}|[\w.]/)\S*$")),
@@ -75,21 +77,34 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     hits = docs.select(id_col, text, F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("_hits")).where(F.size("_hits") > 0)
     # Hit k lies between pieces k and k + 1.
     apart = hits.select(id_col, "_hits", F.split(text, CANDIDATE, -1).alias("_pieces"))
-    sizes = lambda xs: F.transform(xs, lambda x: F.length(x))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     # The text around a hit is of pieces and of other hits, each of which has 16 characters or more.
     last = lambda xs, k: F.right(F.get(xs, k), F.lit(BEFORE))
     first = lambda xs, k: F.left(F.get(xs, k), F.lit(AFTER))
     back, ahead = -(-BEFORE // 16), -(-AFTER // 16)
     before = lambda k: F.right(F.concat_ws("", *[x for j in range(back, 0, -1) for x in (last("_hits", k - j), last("_pieces", k - j + 1))]), F.lit(BEFORE))
     after = lambda k: F.left(F.concat_ws("", *[x for j in range(1, ahead + 1) for x in (first("_pieces", k + j), first("_hits", k + j))]), F.lit(AFTER))
-    near = F.transform(
-        F.sequence(F.lit(0), F.size("_hits") - 1),
-        lambda k: F.struct(F.get("_hits", k).alias("candidate"), before(k).alias("before"), after(k).alias("after"), k.alias("k")),
-    )
-    each = apart.select(id_col, sizes(F.col("_hits")).alias("_h"), sizes(F.col("_pieces")).alias("_p"), F.explode(near).alias("_x"))
-    start = total(F.slice("_p", F.lit(1), F.col("_x.k") + 1)) + total(F.slice("_h", F.lit(1), F.col("_x.k")))
-    return each.select(id_col, start.cast("long").alias("start"), "_x.candidate", "_x.before", "_x.after")
+    steps = F.zip_with("_pieces", "_hits", lambda p, h: F.length(p) + F.coalesce(F.length(h), F.lit(0)))
+
+    def each(starts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size("_hits") - 1),
+            lambda k: F.struct((F.get(starts, k) + F.length(F.get("_pieces", k))).alias("start"), F.get("_hits", k).alias("candidate"), before(k).alias("before"), after(k).alias("after")),
+        )
+
+    found = apart.select(id_col, F.explode(let(steps, lambda s: let(sums_before(s), each))).alias("_x"))
+    return found.select(id_col, F.col("_x.start").cast("long").alias("start"), "_x.candidate", "_x.before", "_x.after")
+
+
+def sums_before(xs: Column) -> Column:
+    """For each place of an array the sum of all before it, by blocks of its size's root: n * sqrt(n) additions."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    block = F.ceil(F.sqrt(F.size(xs))).cast("int")
+    places = lambda n: F.sequence(F.lit(0), n - 1)
+    blocks = F.transform(places(block), lambda j: total(F.slice(xs, j * block + 1, block)))
+    inner = lambda k: total(F.slice(xs, k - k % block + 1, k % block))
+    heads = lambda sums: F.transform(places(block), lambda j: total(F.slice(sums, F.lit(1), j)))
+    at = lambda starts: F.transform(places(F.size(xs)), lambda k: F.get(starts, (k / block).cast("int")) + inner(k))
+    return let(blocks, lambda sums: let(heads(sums), at))
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,19 +146,72 @@ def test_leaks_of_documents_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(joined, bench).collect()} == set(range(len(texts))) - {i for i, _ in expected}
 
 
-def test_multi_index_misses_no_fingerprint_within_the_radius():
+@pytest.mark.parametrize("items", [50, 900])
+def test_multi_index_misses_no_fingerprint_within_the_radius(items):
+    """Both ways of probing; the index passes few unrelated pairs."""
     import numpy as np
 
     rng, vocab = np.random.default_rng(5), vocabulary()
     s = decontaminate.Settings()
-    index = decontaminate.Index([(k, " ".join(rng.choice(vocab, 20))) for k in range(50)], s)
+    index = decontaminate.Index([(k, " ".join(rng.choice(vocab, 20))) for k in range(items)], s)
     fps = rng.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, np.uint64)
     for k in range(0, 300, 3):  # near ones
-        bits = rng.choice(64, int(rng.integers(0, 25)), replace=False)
-        fps[k] = index.fps[k % 50] ^ np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), initial=np.uint64(0))
-    w, item = index.candidates(index.lengths[20][1], fps)
+        bits = rng.choice(64, int(rng.integers(0, 20)), replace=False)
+        fps[k] = index.fps[k % items] ^ np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), initial=np.uint64(0))
+    tables = index.lengths[20][1]
+    w, item = index.candidates(tables, fps)
     near = np.bitwise_count(fps[:, None] ^ index.fps[None, :]) <= s.radius
     assert set(zip(w.tolist(), item.tolist(), strict=True)) == set(zip(*map(list, np.nonzero(near)), strict=True))
+    far = np.delete(fps, np.s_[::3])
+    probed = sum(int(tables[k][2][index.probed(tables[k][0], index.block(far, k))[1]].sum()) for k in range(decontaminate.BLOCKS))
+    assert probed < 0.05 * len(far) * items
+
+
+def weighted(a, b, size):
+    """Weighted Jaccard similarity of the shingles of two word lists, by counting."""
+    x, y = (Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) for w in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_leaks_recall_against_brute_force(spark):
+    """All windows of all documents against all items: what is found is exact, and hardly anything isn't found."""
+    rng, vocab = random.Random(14), vocabulary(150)
+    items = [[rng.choice(vocab) for _ in range(rng.choice([20, 30, 60]))] for _ in range(12)]
+    texts = []
+    for _ in range(90):
+        w = list(rng.choice(items))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            k, at = rng.random(), rng.randrange(len(w))
+            if k < 0.5:
+                w[at] = rng.choice(vocab)
+            elif k < 0.75:
+                del w[at]
+            else:
+                w.insert(at, rng.choice(vocab))
+        texts.append([rng.choice(vocab) for _ in range(rng.randrange(40))] + w + [rng.choice(vocab) for _ in range(rng.randrange(40))])
+    expected = {}
+    for i, t in enumerate(texts):
+        for j, w in enumerate(items):
+            n = min(len(w), len(t))
+            best = max(weighted(t[k : k + n], w, 5) for k in range(len(t) - n + 1))
+            if best >= 0.8:
+                expected[i, j] = best
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert set(got) <= set(expected) and len(expected) > 40
+    assert all(got[k] == pytest.approx(expected[k]) for k in got)
+    assert len(got) >= 0.97 * len(expected)
+
+
+def test_leaks_of_repeated_and_null_rows_and_of_a_very_long_text(spark):
+    rng, vocab = random.Random(15), vocabulary()
+    item = " ".join(rng.choice(vocab) for _ in range(25))
+    long = " ".join(rng.choice(vocab) for _ in range(120_000))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item + " more words here")], "item_id long, text string")
+    table = docs(spark, [item, item, f"{long} {item} {long}", None], ids=[4, 4, 5, None]).unionByName(docs(spark, [item], ids=[None]))
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.first_word) for r in decontaminate.leaks(table, bench).where("item_id is not null").collect())
+    assert got == [(0, 1, 0)] * 2 + [(4, 1, 0)] * 4 + [(5, 1, 120_000)] * 2
+    assert decontaminate.without_leaks(table, bench).collect()[0].text is None
 
 
 # --- url filters ------------------------------------------------------------------

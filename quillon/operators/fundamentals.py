@@ -36,9 +36,10 @@ def ratio_features(ratios: DataFrame) -> DataFrame:
     return ratios.withColumns({"fund_fcf_yield": c.div("free_cash_flow", "market_cap", 1e-12), "fund_earnings_yield": c.div(F.lit(1.0), "fund_pe", 1e-12)})
 
 
+#: Names of ratios that are better when low, and of those that are better when high.
 CHEAP = ("fund_pe", "fund_ps", "fund_pb", "fund_ev_ebitda", "fund_pfcf", "fund_debt_equity")
 GOOD = ("fund_roe", "fund_roa", "fund_gross_margin", "fund_operating_margin", "fund_earnings_quality", "fund_fcf_yield", "fund_revenue_yoy", "fund_eps_yoy", "fund_ebitda_yoy", "fund_revenue_acceleration")
-#: Parts of rank names that a composite takes up: by substring, so that "pe" also finds the operating margin.
+#: Parts of rank names that a composite takes up: by substring, so that "pe" also finds the operating margin.
 COMPOSITES = {"value": ("pe", "ps", "pb", "ev_ebitda", "pfcf"), "quality": ("roe", "roa", "gross_margin", "operating_margin", "earnings_quality"), "growth": ("revenue_yoy", "eps_yoy", "ebitda_yoy", "acceleration")}
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
+from quillon.sources import sinks
 
 
 def targets(df: DataFrame, horizon: int, thresholds: tuple[float, ...] = (0.05, 0.08)) -> DataFrame:
@@ -114,10 +115,28 @@ def probability(df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.get(vector_to_array("probability"), 1))
 
 
-def calibrated(train: DataFrame, df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
-    """Probabilities through an isotonic fit on out-of-fold predictions."""
-    model = IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="calibrated_p").fit(train.where(F.col(label).isNotNull() & F.col(p).isNotNull()))
-    return model.transform(df.where(F.col(p).isNotNull()))
+def out_of_fold(df: DataFrame, folds: DataFrame, estimator: Pipeline) -> DataFrame:
+    """``df``'s test rows of each fold with ``p`` of a model that was fitted on the fold's training dates; a fit for each fold."""
+    out = None
+    for k in [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+        own = folds.where(F.col("fold") == k)
+        part = lambda x: df.join(own.where(F.col("part") == x).select("date"), "date", "left_semi")  # noqa: B023, E731
+        found = probability(estimator.fit(part("train")).transform(part("test"))).withColumn("fold", F.lit(k))
+        out = found if out is None else out.unionByName(found)
+    return df.limit(0).withColumns({"p": F.lit(None).cast("double"), "fold": F.lit(None).cast("int")}) if out is None else out
+
+
+def calibrated(held: DataFrame, df: DataFrame, label: str = "label", p: str = "p", logistic: bool = False, out: str = "calibrated_p") -> DataFrame:
+    """Probabilities through a fit on out-of-fold predictions: isotonic, or logistic on their log odds."""
+    known = held.where(F.col(label).isNotNull() & F.col(p).isNotNull())
+    rows = df.where(F.col(p).isNotNull())
+    if not logistic:
+        return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol=out).fit(known).transform(rows)
+    bounded = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = lambda x: array_to_vector(F.array(F.ln(bounded / (1 - bounded))))
+    model = LogisticRegression(featuresCol="_odds", labelCol=label, predictionCol="_class", probabilityCol="_both", rawPredictionCol="_raw").fit(known.withColumn("_odds", odds(p)))
+    fitted = model.transform(rows.withColumn("_odds", odds(p)))
+    return fitted.withColumn(out, F.get(vector_to_array("_both"), 1)).drop("_odds", "_class", "_both", "_raw")
 
 
 class RegimeModel:
@@ -176,6 +195,7 @@ def expanding_regimes(df: DataFrame, features: tuple[str, ...], k: int = 4, leas
     """
     w = Window.partitionBy("_one").orderBy("date")
     known = df.where(sum((F.col(x).isNull().cast("int") for x in features), F.lit(0)) == 0).withColumn("_one", F.lit(1)).withColumn("_i", F.row_number().over(w) - 1)
+    known = sinks.stored(known)  # each refit reads it
     n = known.count()
     ends = sorted({*range(least_train, n + 1, every), n}) if n >= least_train else []
     out, before = None, 0

@@ -105,7 +105,10 @@ def summary(df: DataFrame, quality: dict[int, float] | None = None) -> DataFrame
 
 
 def commentary(h: int) -> Column:
-    """The three strongest drivers as phrases; of equally strong ones the first named."""
+    """The three strongest drivers as phrases; of equally strong ones the first named.
+
+    Fixed values: the phrases.
+    """
     def phrase(k: int, x: str, up: Column, down: Column, least: float = -1.0) -> Column:
         s = F.col(x)
         return F.when(s.isNotNull() & (F.abs(s) > least), F.struct((-F.abs(s)).alias("w"), F.lit(k).alias("k"), F.when(s >= 0, up).otherwise(down).alias("t")))

@@ -139,8 +139,10 @@ def modal_sector(df: DataFrame, since: str) -> DataFrame:
 def integrity(df: DataFrame, reference: DataFrame, today: str) -> DataFrame:
     """(``check``, ``severity``, ``n``, ``examples``): at most 50 tickers stand for the rows that fail."""
     def report(name: str, severity: str, rows: DataFrame) -> DataFrame:
-        few = F.slice(F.array_sort(F.collect_set("ticker")), 1, 50)
-        return rows.agg(F.count("*").alias("n"), few.alias("examples")).select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), "n", "examples")
+        first = lambda tickers: F.slice(F.array_sort(tickers), 1, 50)
+        # In two steps, so that no task holds all failing tickers.
+        parts = rows.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(1000))).agg(F.count("*").alias("n"), first(F.collect_set("ticker")).alias("few"))
+        return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), first(F.flatten(F.collect_list("few"))).alias("examples")).select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), "n", "examples")
 
     keys = df.groupBy("ticker", "date").agg(F.count("*").alias("c")).where("c > 1").select("ticker")
     missing = df.select("ticker").distinct().join(reference.select("ticker"), "ticker", "left_anti")

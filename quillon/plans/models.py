@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from quillon.functions import columns as c
 from quillon.operators import models, series
 from quillon.plans import sql as s
 from quillon.plans.technicals import CHG, rounded
+from quillon.sources import sinks
 from quillon.sources.panels import bars, table
 from quillon.streaming import ticks as streaming
 
@@ -108,22 +108,35 @@ def expanding(spark, sf_dir):
     return models.expanding_regimes(m, ("macro_spy_vol_20d", "macro_spy_mom_20d"))
 
 
+def labelled_panel(spark, sf_dir):
+    df = models.targets(feature_panel(spark, sf_dir), 4).where("target_up_4d is not null").withColumn("label", F.col("target_up_4d").cast("double"))
+    return sinks.stored(df.dropna(subset=list(FEATURES)).select("ticker", "date", "label", *FEATURES))
+
+
 @add("m07_m09_f24_classifier")
 def classifier(spark, sf_dir):
-    """Out-of-time probabilities of one fold, calibrated on its training part."""
-    df = models.targets(feature_panel(spark, sf_dir), 4).where("target_up_4d is not null").withColumn("label", F.col("target_up_4d").cast("double")).dropna(subset=list(FEATURES))
+    """Out-of-time probabilities, with isotonic and logistic calibration on purged out-of-fold predictions of the training part."""
+    df = labelled_panel(spark, sf_dir)
     train, test = df.where(F.col("date") < "2000-01-01"), df.where(F.col("date") >= "2000-02-15")
-    model = models.classifier(list(FEATURES), "label", 5, 3).fit(train)
-    scored = models.probability(model.transform(test))
-    return models.calibrated(models.probability(model.transform(train)), scored).select("ticker", "date", "label", "p", "calibrated_p")
+    estimator = models.classifier(list(FEATURES), "label")
+    held = sinks.stored(models.out_of_fold(train, models.purged_folds(train.select("date"), 3, 4), estimator).select("label", "p"))
+    scored = sinks.stored(models.probability(estimator.fit(train).transform(test)).select("ticker", "date", "label", "p"))
+    both = models.calibrated(held, models.calibrated(held, scored), logistic=True, out="logistic_p")
+    return both.select("ticker", "date", "label", "p", "calibrated_p", "logistic_p")
+
+
+@add("m07_importance")
+def importances(spark, sf_dir):
+    """Each feature's share in the fitted trees, the largest first."""
+    fitted = models.classifier(list(FEATURES), "label").fit(labelled_panel(spark, sf_dir).where(F.col("date") < "2000-01-01"))
+    return spark.createDataFrame(models.importance(fitted, list(FEATURES)), "feature string, importance double")
 
 
 def drained(stream, name: str):
     """What a stream gives over the files there are, through a memory table (the query's result is small)."""
     spark = stream.sparkSession
     table_name = f"{name}_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillon-stream-')}"
-    q = stream.writeStream.format("memory").queryName(table_name).option("checkpointLocation", f"{root.rstrip('/')}/{table_name}").outputMode("complete" if name == "complete" else "append").trigger(availableNow=True).start()
+    q = stream.writeStream.format("memory").queryName(table_name).option("checkpointLocation", sinks.scratch(spark)).outputMode("complete" if name == "complete" else "append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(table_name)
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 from quillon.operators import fundamentals, intraday, options, regimes, series, technicals, text
+from quillon.operators import universe as u
 from quillon.plans import sql as s
 from quillon.plans.technicals import CHG, rounded
-from quillon.sources.panels import bars, table, ticks
+from quillon.sources.panels import bars, index_bars, table, ticks
 
 Q, O = {}, {}
 R = s.rounded
@@ -144,18 +145,32 @@ def macro_context(spark, sf_dir):
 
 @add("fr05_fr09_x10_regime_summary")
 def regime_summary(spark, sf_dir):
-    """Signals of the latest row of each instrument, with market context, to scores, labels and commentary."""
-    df = technicals.moving_averages(technicals.extremes(technicals.volatility(bars(spark, sf_dir, True))))
-    df = df.withColumns({**{f"ret_{k}d_back": c.change("close", k) for k in (20, 60, 90)}, "_r1": c.change("close")})
-    last = df.withColumn("_n", F.row_number().over(c.Window.partitionBy("ticker").orderBy(F.desc("date")))).where("_n = 1")
+    """Signals of the latest row of each instrument, with market context, to scores, labels and commentary.
+
+    Market stress is the index's latest state, leaders and macro score come from
+    their own operators. No operator makes the sector's volatility probability
+    and risk multiplier; they are neutral.
+    """
+    df = bars(spark, sf_dir, True)
+    for step in (technicals.volatility, technicals.extremes, technicals.moving_averages, technicals.relative_strength, technicals.macd):
+        df = step(df)
+    df = df.withColumns({f"ret_{k}d_back": c.change("close", k) for k in (20, 60, 90)})
+    last = u.keep_last(df, ("ticker",), F.col("date"))
     sector = last.groupBy("sector").agg(F.avg("ret_20d_back").alias("sector_relative_strength_20d"))
-    last = last.join(sector, "sector", "left").withColumns({
-        "stock_regime_signal": F.tanh(F.col("ret_60d_back")), "macro_regime_score": F.lit(0.2), "macro_regime_label": F.lit("constructive"), "vdce_market_state": F.lit("ORANGE"), "vdce_signal": regimes.state_score(F.lit("ORANGE")),
-        "vdce_leader_score": F.lit(None).cast("double"), "sector_vol_prob": F.lit(None).cast("double"), "sector_risk_multiplier": F.lit(None).cast("double"), "rsi_14": F.lit(None).cast("double"), "ema10_slope_5": F.lit(None).cast("double"), "realized_vol_20": F.col("realized_vol_20"),
-    })
+    plain = bars(spark, sf_dir)
+    stressed = series.stress(plain.unionByName(index_bars(plain).select(plain.columns)))
+    leaders = series.leader_scores(stressed, "IDX", joint=180).select("ticker", "vdce_leader_score")
+    one = F.lit(1)
+    market = stressed.where("ticker = 'IDX' and vdce_stress is not null").agg(F.max_by("vdce_state", "date").alias("vdce_market_state")).withColumn("_one", one)
+    macro = regimes.macro_score(series.macro_overlay(plain, "1", {"tlt": "2", "hyg": "3", "lqd": "4", "vixy": "5"}), F.lit(0.25))
+    macro = macro.agg(*[F.max_by(x, "date").alias(x) for x in ("macro_regime_score", "macro_regime_label")]).withColumn("_one", one)
+    none = F.lit(None).cast("double")
+    last = last.join(sector, "sector", "left").join(leaders, "ticker", "left").withColumn("_one", one)
+    last = last.join(F.broadcast(market), "_one", "left").join(F.broadcast(macro), "_one", "left")  # a row each
+    last = last.withColumns({"stock_regime_signal": F.tanh(F.col("ret_60d_back")), "vdce_signal": regimes.state_score(F.col("vdce_market_state")), "sector_vol_prob": none, "sector_risk_multiplier": none})
     out = regimes.summary(last)
     keep = [f"regime_{h}d_{x}" for h in regimes.HORIZONS for x in ("label", "commentary")]
-    return rounded(out, [f"regime_{h}d_{x}" for h in regimes.HORIZONS for x in ("score", "confidence")] + ["sector_signal"], ("ticker", *keep))
+    return rounded(out, [f"regime_{h}d_{x}" for h in regimes.HORIZONS for x in ("score", "confidence")] + ["sector_signal", "vdce_signal", "macro_regime_score"], ("ticker", *keep))
 
 
 # --- options, fundamentals ------------------------------------------------------
@@ -307,7 +322,9 @@ def management(spark, sf_dir):
     df = per.select("conv_id", *[F.coalesce(f"{r}_{x}", F.lit(0.0)).alias(f"{n}_{x}") for r, n in (("user", "earnings"), ("assistant", "mdna")) for x in metrics])
     df = text.management_tone(df)
     out = df.withColumn("blend", text.blended(F.lit(None).cast("double"), F.col("management_tone_score"), 0.75))
-    return rounded(out, ["management_tone_score", "forward_looking_ratio", "avg_sentence_length", "blend"], ("conv_id",))
+    # Every twentieth conversation stands for the next filing of one instrument.
+    out = text.snapshot_changes(out.withColumn("ticker", F.col("conv_id") % 20).withColumn("date", F.col("conv_id")), ("management_tone_score", "forward_looking_ratio"))
+    return rounded(out, ["management_tone_score", "forward_looking_ratio", "avg_sentence_length", "blend", "management_tone_score_delta", "forward_looking_ratio_delta"], ("conv_id",))
 
 
 @add("x08_t09_a27_s18_filings", "SELECT c_custkey::VARCHAR AS ticker, '2024-02-20' AS filed_at, '8-K/A' AS form_type, 'https://x/' || c_custkey AS link, 2 AS filings_30d FROM customer")

@@ -85,9 +85,9 @@ def calendar(spark, sf_dir):
     return days.where(F.weekday("date") < 5)
 
 
-@add("s24_u03_clean_tickers", "SELECT DISTINCT upper(trim(p_brand)) AS ticker FROM part WHERE trim(p_brand) <> '' ORDER BY 1 LIMIT 20")
+@add("s24_u03_clean_tickers", "SELECT DISTINCT upper(trim(p_brand)) AS ticker FROM part WHERE trim(p_brand) <> ''")
 def tickers(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.upper(F.trim("p_brand")).alias("ticker")).where("ticker <> ''").distinct().orderBy("ticker").limit(20)
+    return table(spark, sf_dir, "part").select(F.upper(F.trim("p_brand")).alias("ticker")).where("ticker <> ''").distinct()
 
 
 @add("u01_u02_k03_merge_last_wins", f"{B}, a AS (SELECT ticker, date, close, 0 AS p FROM bars WHERE date < DATE '2000-01-01' UNION ALL SELECT ticker, date, close + 1, 1 FROM bars WHERE date >= DATE '1999-01-01') SELECT ticker, date, {R('arg_max(close, p)')} AS close FROM a GROUP BY ticker, date")

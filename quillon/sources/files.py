@@ -10,7 +10,7 @@ from quillon.functions import columns as c
 from quillon.operators.universe import normalise_prices
 
 AGGREGATES = "ticker string, results array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double,vw:double,n:double>>, status string"
-CHAIN = "ticker string, results array<struct<details:struct<ticker:string,strike_price:double,contract_type:string,expiration_date:string>,greeks:struct<delta:double,gamma:double,theta:double,vega:double>,day:struct<volume:double>,open_interest:double,implied_volatility:double>>, next_url string"
+CHAIN = "ticker string, asof string, results array<struct<details:struct<ticker:string,strike_price:double,contract_type:string,expiration_date:string>,greeks:struct<delta:double,gamma:double,theta:double,vega:double>,day:struct<volume:double>,open_interest:double,implied_volatility:double>>, next_url string"
 OVERVIEW = "ticker string, status string, results struct<name:string,type:string,active:boolean,sic_code:string,sic_description:string,market_cap:double>"
 NEWS = "ticker string, results array<struct<title:string,headline:string,name:string,published_utc:string,published_at:string,date:string>>"
 
@@ -52,10 +52,10 @@ def bars_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chain_from_json(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
-    """Option-chain pages to one row per contract, at most ``most`` of a ticker in the order of its contract names."""
-    rows = spark.read.schema(CHAIN).json(path).select("ticker", F.explode("results").alias("r"))
-    flat = rows.select("ticker", F.col("r.details.ticker").alias("contract"), F.col("r.details.strike_price").alias("strike"), F.lower("r.details.contract_type").alias("contract_type"), F.to_date("r.details.expiration_date").alias("expiration"), "r.greeks.*", F.col("r.day.volume").alias("volume"), "r.open_interest", "r.implied_volatility")
-    w = c.Window.partitionBy("ticker").orderBy("contract")
+    """Option-chain pages to one row per contract, at most ``most`` of a ticker and day (``asof``, null if it isn't given) in the order of its contract names."""
+    rows = spark.read.schema(CHAIN).json(path).select("ticker", F.to_date("asof").alias("asof"), F.explode("results").alias("r"))
+    flat = rows.select("ticker", "asof", F.col("r.details.ticker").alias("contract"), F.col("r.details.strike_price").alias("strike"), F.lower("r.details.contract_type").alias("contract_type"), F.to_date("r.details.expiration_date").alias("expiration"), "r.greeks.*", F.col("r.day.volume").alias("volume"), "r.open_interest", "r.implied_volatility")
+    w = c.Window.partitionBy("ticker", "asof").orderBy("contract")
     return flat.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
@@ -72,6 +72,19 @@ def news_from_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ticker", F.coalesce("r.title", "r.headline", "r.name").alias("title"), F.coalesce("r.published_utc", "r.published_at", "r.date").alias("published"))
 
 
+def statements_from_json(spark: SparkSession, path: str, items: tuple[str, ...]) -> DataFrame:
+    """One row per statement with the named items as doubles, for :func:`quillon.operators.fundamentals.statement_features`."""
+    fields = ", ".join(f"{x}:double" for x in items)
+    rows = spark.read.schema(f"ticker string, results array<struct<period_end:string,filing_date:string,{fields.replace(' ', '')}>>").json(path).select("ticker", F.explode("results").alias("r"))
+    return rows.select("ticker", F.to_date("r.period_end").alias("period_end"), F.to_date("r.filing_date").alias("filing_date"), *[F.col(f"r.{x}").alias(x) for x in items])
+
+
+def compensation_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """One row per officer, for :func:`quillon.operators.fundamentals.compensation`."""
+    schema = "ticker string, results array<struct<position:string,total:double,stock_awards:double,option_awards:double>>"
+    return spark.read.schema(schema).json(path).select("ticker", F.explode("results").alias("r")).select("ticker", "r.*")
+
+
 def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """The first path that exists, or None: an absent history is an empty one."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

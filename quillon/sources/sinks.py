@@ -2,13 +2,67 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 
+from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.operators.universe import merge_sources
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` or the context's checkpoint folder; a temporary one on a single machine only."""
+    sc = spark.sparkContext
+    if root := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return root.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not (root := getattr(sc, "_quillon_scratch", None)):
+        root = sc._quillon_scratch = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+    return root
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/quillon-io-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        return
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: computed once, and safe from lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rewritten(spark: SparkSession, path: str, change) -> str:
+    """Replaces a table by ``change`` of it; the old one stays at the path that is returned, from which the new one is made."""
+    old = f"{path.rstrip('/')}.bak"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, there = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, old))
+    fs = here.getFileSystem(conf)
+    fs.delete(there, True)
+    fs.rename(here, there)
+    change(spark.read.parquet(old)).write.parquet(path)
+    return old
+
+
+def model(fitted: MLWritable, path: str) -> None:
+    fitted.write().overwrite().save(path)
+
+
 def parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)

@@ -3,6 +3,16 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
 kept; its result is written as Parquet and read again as the next one's input.
 All but the last return the columns of ``documents``.
+
+Ids are integers. Null and empty texts fail the quality rules and go there; a
+row without an id is never a copy of another, and passes like any other. Rows
+that repeat one id are repeats of one row: they get one verdict in each stage,
+so they stay or go together, and are drawn alike. Extra columns, whatever
+their names, pass through. An empty table gives an empty mix.
+
+The near-dedup stage takes five-word shingles and a similarity of 0.8, as all
+stages on word shingles do; the two-word shingles of ``op1_near_dedup`` are that
+query's own setting.
 """
 
 from __future__ import annotations
@@ -30,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that with the smallest id; ids are compared as they are."""
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -355,6 +355,31 @@ def test_secrets_under_long_names_and_without_quotes(spark):
     assert not any(r.secret for (_, start), r in got.items() if start == 0)
 
 
+def test_very_long_texts_with_many_hits(spark):
+    """100,000 words, every fifth a candidate or the start of a phrase: places as a plain search finds them."""
+    key = "Ab1" * 6
+    text = " ".join([f"token {key} cc by license"] * 20_000)
+    got = secret_scan.candidates(docs(spark, [text])).agg(F.count("*"), F.min("start"), F.max("start"), F.sum("start")).first()
+    step = len(f"token {key} cc by license ")
+    assert tuple(got) == (20_000, 6, 6 + 19_999 * step, sum(6 + k * step for k in range(20_000)))
+    r = license_scan.scan(docs(spark, [text])).drop("spans").first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (100_000, 20_000, 2, 99_997)
+
+
+def test_the_context_s_checkpoint_folder_serves_where_the_session_names_none(spark, tmp_path, monkeypatch):
+    from quillon.llm import common
+    from quillon.sources import sinks
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda _, key, default=None: default)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: f"file://{tmp_path}/shared")
+    assert common.checkpoint_root(spark) == sinks.shared_folder(spark) == f"file://{tmp_path}/shared"
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda _: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    for root in (common.checkpoint_root, sinks.shared_folder):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            root(spark)
+
+
 # --- lines ------------------------------------------------------------------------
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import columns as c
 from quillon.operators.ewm import ewm
@@ -20,44 +23,63 @@ def ou_source(x: str) -> tuple[str, Column]:
     return (f"{x}_log1p", F.log1p(c.clip(x, 0))) if x == "garman_klass_var_1d" else (x, F.col(x).cast("double"))
 
 
+def reversion_fits(x: np.ndarray, n: int, least: int, block: int = 10_000) -> tuple[np.ndarray, ...]:
+    """Slope, level, equilibrium deviation and R² of each row's fit on the known values among the ``n`` rows before it.
+
+    Values on both sides of a gap are neighbours. NaN where the row has no
+    value or fewer than ``n`` rows before it, where fewer than ``least`` of
+    these have one, or where the slope isn't in (0, 1).
+    """
+    known = np.flatnonzero(~np.isnan(x))
+    values, rows = x[known], known[known >= n]
+    stop, start = np.searchsorted(known, rows), np.searchsorted(known, rows - n)
+    enough = stop - start >= max(3, least)
+    rows, stop, start = rows[enough], stop[enough], start[enough]
+    out = np.full((4, len(x)), np.nan)
+    for k in range(0, len(rows), block):
+        at = stop[k : k + block, None] + np.arange(-n, 0)
+        pair = at[:, :-1] >= start[k : k + block, None]
+        v, size = values[np.maximum(at, 0)], pair.sum(1)
+        mean_x, mean_y = (np.where(pair, y, 0).sum(1) / size for y in (v[:, :-1], v[:, 1:]))
+        dx, dy = (np.where(pair, y - m[:, None], 0) for y, m in ((v[:, :-1], mean_x), (v[:, 1:], mean_y)))
+        xx, xy, yy = (np.einsum("ij,ij->i", *both) for both in ((dx, dx), (dx, dy), (dy, dy)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            b = np.where(xx > TINY, xy / xx, np.nan)
+            b = np.where((b > 0) & (b < 1), b, np.nan)
+            rest = np.maximum(yy - b * xy, 0)
+            sigma = np.where(1 - b * b > TINY, np.sqrt(rest / (size - 1)) / np.sqrt(1 - b * b), np.nan)
+            r2 = np.where(np.isnan(b), np.nan, np.where(yy > TINY, np.clip(1 - rest / yy, 0, 1), 0))
+            out[:, rows[k : k + block]] = b, (mean_y - b * mean_x) / (1 - b), sigma, r2
+    return tuple(out)
+
+
 def mean_reversion(df: DataFrame, features: tuple[str, ...] = OU_FEATURES, windows: tuple[int, ...] = OU_WINDOWS, least: int = 15) -> DataFrame:
     """First-order autoregression of each feature on the ``n`` rows before this one, as a mean-reverting process.
 
-    Outputs are NULL unless the coefficient lies in (0, 1). A pair of
-    neighbouring rows counts if both are known, so that a gap drops two pairs;
-    all windows share one Window node.
+    Outputs are NULL unless the coefficient lies in (0, 1). Gaps are closed
+    within a window, which no frame expresses: one Arrow pass per instrument
+    fits all features and windows.
     """
     df = df.withColumns({f"ou_source_{label}": x for label, x in map(ou_source, features)})
     labels = [label for label, _ in map(ou_source, features)]
-    df = df.withColumn("_row", F.row_number().over(c.series()))
-    df = df.withColumns({f"_x_{k}": F.when(F.col(f"ou_source_{label}").isNotNull(), c.lag(f"ou_source_{label}")) for k, label in enumerate(labels)})
-    df = df.withColumns({f"_y_{k}": F.when(F.col(f"_x_{k}").isNotNull(), F.col(f"ou_source_{label}")) for k, label in enumerate(labels)})
-    sums = {}
-    for k, label in enumerate(labels):
-        x, y = F.col(f"_x_{k}"), F.col(f"_y_{k}")
-        for n in windows:
-            own = c.frame(n - 1, 1)
-            p = f"_{k}_{n}_"
-            sums |= {p + "n": F.count(y).over(own), p + "h": F.count(f"ou_source_{label}").over(c.frame(n, 1)), p + "xx": F.regr_sxx(y, x).over(own), p + "xy": F.regr_sxy(y, x).over(own), p + "yy": F.regr_syy(y, x).over(own), p + "mx": F.avg(x).over(own), p + "my": F.avg(y).over(own)}
-    df = df.withColumns(sums)
-    slopes = {}
-    for k, label in enumerate(labels):
-        for n in windows:
-            p = f"_{k}_{n}_"
-            ready = (F.col("_row") > n) & (F.col(p + "h") >= max(3, least)) & F.col(f"ou_source_{label}").isNotNull() & (F.col(p + "n") >= 2)
-            b = F.when(ready, c.div(p + "xy", p + "xx", TINY))
-            slopes[p + "b"] = F.when((b > 0) & (b < 1), b)
-    df = df.withColumns(slopes)
+    fits = [(label, n, [f"ou_{label}_{st}_{n}" for st in ("b", "mu", "sigma_eq", "r_squared")]) for label in labels for n in windows]
+
+    def fold(g: pa.Table) -> pa.Table:
+        g = g.sort_by("date")
+        for label, n, names in fits:
+            x = g.column(f"ou_source_{label}").to_numpy()
+            for name, y in zip(names, reversion_fits(x, n, least), strict=True):
+                g = g.append_column(name, pa.array(y, from_pandas=True))
+        return g
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for *_, names in fits for name in names]])
+    df = df.groupBy("ticker").applyInArrow(fold, schema)
     out = {}
-    for k, label in enumerate(labels):
+    for label in labels:
         for n in windows:
-            p, name = f"_{k}_{n}_", f"ou_{label}_{{}}_{n}"
-            b = F.col(p + "b")
-            rest = F.greatest(F.col(p + "yy") - b * F.col(p + "xy"), F.lit(0.0))
-            mu = (F.col(p + "my") - b * F.col(p + "mx")) / (1 - b)
-            sigma = F.when(1 - b * b > TINY, F.sqrt(c.div(rest, F.col(p + "n") - 1)) / F.sqrt(1 - b * b))
-            stretch = c.div(F.col(f"ou_source_{label}") - mu, sigma, TINY)
-            out |= {name.format("b"): b, name.format("mu"): mu, name.format("sigma_eq"): sigma, name.format("half_life"): c.div(F.lit(math.log(2)), -F.ln(b)), name.format("stretch"): stretch, name.format("r_squared"): F.when(b.isNotNull(), F.coalesce(c.clip(1 - c.div(rest, p + "yy", TINY), 0, 1), F.lit(0.0))), name.format("valid"): stretch.isNotNull()}
+            name = f"ou_{label}_{{}}_{n}"
+            stretch = c.div(F.col(f"ou_source_{label}") - F.col(name.format("mu")), name.format("sigma_eq"), TINY)
+            out |= {name.format("half_life"): c.div(F.lit(math.log(2)), -F.ln(name.format("b"))), name.format("stretch"): stretch, name.format("valid"): stretch.isNotNull()}
     df = df.withColumns(out)
     return df.withColumns({f"ou_{label}_stretch_vel_{v}d_{n}": c.diff(f"ou_{label}_stretch_{n}", v) for label in labels for n in windows for v in (5, 10)})
 

@@ -17,7 +17,7 @@ LABELS = {x: (f"{x}_log1p", f"ln(1 + greatest({x}, 0))") if x == "garman_klass_v
 
 def ou(names: tuple[str, ...], stats: tuple[str, ...]):
     out = [f"ou_{LABELS[x][0]}_{st}_{n}" for x in names for n in series.OU_WINDOWS for st in stats]
-    return lambda spark, sf_dir: rounded(series.mean_reversion(shape.transformed(bars(spark, sf_dir)), names), out, digits=4)
+    return lambda spark, sf_dir: rounded(series.mean_reversion(shape.transformed(bars(spark, sf_dir)).select("ticker", "date", *names), names), out, digits=4)  # what a grouped map gets isn't pruned
 
 
 def ou_sql(names: tuple[str, ...], stats: tuple[str, ...]) -> str:

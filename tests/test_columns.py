@@ -104,3 +104,45 @@ def test_unique_join_checks_cardinality(spark):
 def test_code_sector_takes_the_first_range(spark):
     got = spark.createDataFrame([("3711",), ("3575",), ("x",), (None,), ("6550",)], "c string").select(universe.code_sector("c").alias("s")).collect()
     assert [r.s for r in got] == ["Industrials", "Industrials", "Unknown", "Unknown", "Real Estate"]
+
+
+def test_reversion_closes_gaps(spark):
+    """Each row against a fit on the known values of its last rows, gaps closed; an instrument without values gets NULLs."""
+    import math
+    import random
+    from datetime import date, timedelta
+
+    from quillon.operators import series
+
+    rnd, rows, n, least = random.Random(5), [], 12, 6
+    for ticker, gaps in (("a", 0.0), ("b", 0.3), ("c", 1.0), ("d", 0.6)):
+        x = 0.0
+        for k in range(60):
+            x = 0.6 * x + rnd.gauss(0, 1)
+            rows.append((ticker, date(2024, 1, 1) + timedelta(k), None if rnd.random() < gaps else x))
+    df = spark.createDataFrame(rows, "ticker string, date date, x double").repartition(3, "x")
+    got = {(r.ticker, r.date): r for r in series.mean_reversion(df, ("x",), (n,), least).collect()}
+    assert len(got) == len(rows)
+    fitted = 0
+    for ticker in "abcd":
+        own = [r for r in rows if r[0] == ticker]
+        for k, (_, day, x) in enumerate(own):
+            v = [y for *_, y in own[max(k - n, 0) : k] if y is not None]
+            want = None
+            if k >= n and x is not None and len(v) >= least:
+                a, b = v[:-1], v[1:]
+                ma, mb = sum(a) / len(a), sum(b) / len(b)
+                slope = sum((p - ma) * (q - mb) for p, q in zip(a, b)) / sum((p - ma) ** 2 for p in a)
+                want = slope if 0 < slope < 1 else None
+            r = got[ticker, day]
+            if want is None:
+                assert r.ou_x_b_12 is None and r.ou_x_stretch_12 is None and not r.ou_x_valid_12
+                continue
+            fitted += 1
+            mu = (mb - want * ma) / (1 - want)
+            rest = sum((q - mb - want * (p - ma)) ** 2 for p, q in zip(a, b))
+            sigma = math.sqrt(rest / (len(a) - 1)) / math.sqrt(1 - want * want)
+            assert r.ou_x_b_12 == pytest.approx(want) and r.ou_x_mu_12 == pytest.approx(mu) and r.ou_x_sigma_eq_12 == pytest.approx(sigma)
+            assert r.ou_x_stretch_12 == pytest.approx((x - mu) / sigma) and r.ou_x_half_life_12 == pytest.approx(math.log(2) / -math.log(want))
+            assert r.ou_x_r_squared_12 == pytest.approx(1 - rest / sum((q - mb) ** 2 for q in b))
+    assert fitted > 50

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillon.operators import cross, series, shape
 from quillon.plans import sql as s
+from quillon.plans.series import LABELS, ou_levels
 from quillon.plans.shape import LEVELS as SHAPE
 from quillon.plans.technicals import CHG, rounded
 from quillon.sources.panels import bars
@@ -39,7 +42,8 @@ pr AS (SELECT a.date, a.sector, a.i, a.k AS ka, b.k AS kb, a.sd AS sa, b.sd AS s
   FROM st a JOIN st b ON a.date = b.date AND a.sector <> b.sector)
 SELECT date, sector, {s.rounded("avg(CASE WHEN n >= 3 AND ka >= 3 AND kb >= 3 AND sa >= 1e-12 AND sb >= 1e-12 THEN abs(least(greatest((xy - ma * xb - mb * xa + n * ma * mb) / n / (sa * sb), -1), 1)) END)")} AS sector_contagion_score_20d
 FROM pr WHERE i >= 20 GROUP BY date, sector"""
-OU = "ou_log_close_stretch_21"
+STRETCHES = [f"ou_{label}_stretch_{n}" for label, _ in LABELS.values() for n in series.OU_WINDOWS]
+OUC, OUL = levels_sql(ou_levels(series.OU_FEATURES), tag="u")
 
 
 def daily(spark, sf_dir):
@@ -55,8 +59,9 @@ def fs_contagion(spark, sf_dir):
 
 
 def fs_means(spark, sf_dir):
-    panel = series.mean_reversion(shape.transformed(bars(spark, sf_dir, True)), ("log_close",), (21,))
-    return rounded(cross.sector_means(panel, [OU]), [f"sector_{OU}"], ("date", "sector"), digits=4)
+    panel = series.mean_reversion(shape.transformed(bars(spark, sf_dir, True)).select("ticker", "date", "sector", *series.OU_FEATURES))
+    columns = [x for x in panel.columns if re.fullmatch(r"ou_.+_stretch_\d+", x)]
+    return rounded(cross.sector_means(panel, columns), [f"sector_{x}" for x in columns], ("date", "sector"), digits=4)
 
 
 def fs_latest(spark, sf_dir):
@@ -115,15 +120,11 @@ def fn_normalised(spark, sf_dir):
     return rounded(cross.sector_normalised(cross.institutional(bars(spark, sf_dir, True)), "ret_21d_voladj"), NORM_OUT)
 
 
-OUC, OUL = levels_sql([*TRANSFORMED, {"_s": "log_close", "_row": f"row_number() OVER ({s.PO})"}, {"_x": s.lag("_s")}, {"_y": "CASE WHEN _x IS NOT NULL THEN _s END"},
-    {k: f"{f} OVER {s.frame(20, 1)}" for k, f in {"_n": "count(_y)", "_mx": "avg(_x)", "_my": "avg(_y)", "_xx": "regr_sxx(_y, _x)", "_yy": "regr_syy(_y, _x)", "_xy": "regr_sxy(_y, _x)"}.items()},
-    {"_b": f"CASE WHEN _row > 21 AND {s.div('_xy', '_xx', 1e-12)} > 0 AND {s.div('_xy', '_xx', 1e-12)} < 1 THEN _xy / _xx END"},
-    {"_st": s.div("_s - (_my - _b * _mx) / (1 - _b)", "sqrt(greatest(_yy - _b * _xy, 0) / (_n - 1)) / sqrt(1 - _b * _b)", 1e-12)}], tag="o")
 QUERIES = {"fs01_fs04_a01_a02_j4_sector_daily": fs_daily, "fs06_w27_u06_contagion": fs_contagion, "fs05_a03_j5_sector_means": fs_means, "t04_sector_latest": fs_latest, "f13_f14_universe_membership": fn_universe, "fn_w12_w13_j16_lagged_normalised": fn_lagged, "fn_f15_w02_institutional_returns": fn_institutional, "fn_w11_w12_sector_normalised": fn_normalised}
 ORACLES = {
     "fs01_fs04_a01_a02_j4_sector_daily": f"WITH {DAILY_SQL} SELECT date, sector, sector_member_count, sector_high_risk_flag, {', '.join(f'{s.rounded(x)} AS {x}' for x in DAILY_OUT)} FROM full_",
     "fs06_w27_u06_contagion": CONTAGION_SQL,
-    "fs05_a03_j5_sector_means": f"WITH {s.BARS}, {OUC} SELECT date, sector, {s.rounded('avg(_st)', 4)} AS sector_{OU} FROM {OUL} WHERE sector IS NOT NULL GROUP BY date, sector",
+    "fs05_a03_j5_sector_means": f"WITH {s.BARS}, {OUC} SELECT date, sector, {", ".join(f"{s.rounded(f'avg({x})', 4)} AS sector_{x}" for x in STRETCHES)} FROM {OUL} WHERE sector IS NOT NULL GROUP BY date, sector",
     "t04_sector_latest": f"WITH {DAILY_SQL} SELECT date, sector, {s.rounded('sector_return_1d')} AS sector_return_1d, {s.rounded('sector_relative_strength_20d')} AS sector_relative_strength_20d FROM full_ WHERE date = (SELECT max(date) FROM full_) ORDER BY sector_relative_strength_20d DESC NULLS LAST, sector LIMIT 50",
     "f13_f14_universe_membership": s.chain(s.BARS, *UNIVERSE, start="sbars", keys="ticker, date, in_universe", out=["price_filter_lagged", "adv_22d_lagged", "vol_22d_lagged"]),
     "fn_w12_w13_j16_lagged_normalised": LAGGED_SQL,

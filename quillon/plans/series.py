@@ -20,7 +20,7 @@ def ou(names: tuple[str, ...], stats: tuple[str, ...]):
     return lambda spark, sf_dir: rounded(series.mean_reversion(shape.transformed(bars(spark, sf_dir)).select("ticker", "date", *names), names), out, digits=4)  # what a grouped map gets isn't pruned
 
 
-def ou_sql(names: tuple[str, ...], stats: tuple[str, ...]) -> str:
+def ou_levels(names: tuple[str, ...]) -> list[dict[str, str]]:
     levels = [dict(level) for level in SHAPE["fp01_fp06_w08_w25_transformed"][1]]
     levels.append({f"_s{k}": LABELS[x][1] for k, x in enumerate(names)} | {"_row": f"row_number() OVER ({s.PO})"})
     levels.append({f"_x{k}": f"CASE WHEN _s{k} IS NOT NULL THEN {s.lag(f'_s{k}')} END" for k in range(len(names))})
@@ -36,12 +36,15 @@ def ou_sql(names: tuple[str, ...], stats: tuple[str, ...]) -> str:
             last |= {name.format("sigma_eq"): f"CASE WHEN 1 - {p}b * {p}b > 1e-12 THEN sqrt({p}r / ({p}n - 1)) / sqrt(1 - {p}b * {p}b) END", name.format("r_squared"): f"CASE WHEN {p}b IS NOT NULL THEN coalesce(least(greatest(1 - {s.div(p + 'r', p + 'yy', 1e-12)}, 0), 1), 0) END"}
             vel[name.format("stretch")] = s.div(f"_s{k} - {name.format('mu')}", name.format("sigma_eq"), 1e-12)
     tail = [{name.replace("_stretch_", "_valid_"): f"({name} IS NOT NULL)::INT" for name in vel} | {name.replace("_stretch_", f"_stretch_vel_{v}d_"): f"{name} - {s.lag(name, v)}" for name in vel for v in (5, 10)}]
+    return [*levels, sums, slopes, rest, last, vel, *tail]
+
+
+def ou_sql(names: tuple[str, ...], stats: tuple[str, ...]) -> str:
     out = [f"ou_{LABELS[x][0]}_{st}_{n}" for x in names for n in series.OU_WINDOWS for st in stats]
-    return s.chain(s.BARS, *levels, sums, slopes, rest, last, vel, *tail, out=out, digits=4)
+    return s.chain(s.BARS, *ou_levels(names), out=out, digits=4)
 
 
-BASIC = ("b", "half_life", "r_squared", "valid")
-FULL = (*BASIC, "mu", "sigma_eq", "stretch", "stretch_vel_5d", "stretch_vel_10d")
+FULL = ("b", "half_life", "r_squared", "valid", "mu", "sigma_eq", "stretch", "stretch_vel_5d", "stretch_vel_10d")
 Z = lambda x, n=20: s.div(f"{x} - {s.mean(x, n)}", s.std(x, n), 1e-12)
 STRESS = [
     {"_ret": CHG("close"), "_range": s.div("high - low", "close", 1e-12), "vdce_dd_60": f"{s.div('close', s.high('close', 60), 1e-12)} - 1", "_rv": s.div("volume", s.mean("volume", 20), 1e-12), "_vd": s.div("close - vwap", "close", 1e-12)},
@@ -118,8 +121,8 @@ def macro(spark, sf_dir):
 
 
 CLOSE, REST = ("log_close",), series.OU_FEATURES[1:]
-QUERIES = {"fu02_w26_mean_reversion_close": ou(CLOSE, FULL), "fu03_mean_reversion_features": ou(REST, BASIC), "fd01_fd06_w33_stress": stress_query, "fd07_a25_w32_leader_scores": leaders, "fq01_fq05_w06_w19_residual_pressure": qmpc, "fx01_fx08_w21_macro_overlay": macro}
+QUERIES = {"fu02_w26_mean_reversion_close": ou(CLOSE, FULL), "fu03_mean_reversion_features": ou(REST, FULL), "fd01_fd06_w33_stress": stress_query, "fd07_a25_w32_leader_scores": leaders, "fq01_fq05_w06_w19_residual_pressure": qmpc, "fx01_fx08_w21_macro_overlay": macro}
 ORACLES = {
-    "fu02_w26_mean_reversion_close": ou_sql(CLOSE, FULL), "fu03_mean_reversion_features": ou_sql(REST, BASIC), "fd01_fd06_w33_stress": STATE_SQL, "fd07_a25_w32_leader_scores": LEADER_SQL, "fq01_fq05_w06_w19_residual_pressure": QMPC_SQL,
+    "fu02_w26_mean_reversion_close": ou_sql(CLOSE, FULL), "fu03_mean_reversion_features": ou_sql(REST, FULL), "fd01_fd06_w33_stress": STATE_SQL, "fd07_a25_w32_leader_scores": LEADER_SQL, "fq01_fq05_w06_w19_residual_pressure": QMPC_SQL,
     "fx01_fx08_w21_macro_overlay": s.chain(f"{s.BARS}, rets AS (SELECT ticker, date, {CHG('close')} AS r FROM bars), spy AS (SELECT ticker, date, close FROM bars WHERE ticker = '1')", *MACRO, start="spy", keys="date", out=MACRO_OUT),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import cross, files, frames, models, overlays, series, shape, technicals, universe
+from quillon.plans import chains, cross, files, frames, models, overlays, series, shape, technicals, universe
 
-MODULES = (universe, technicals, shape, series, cross, overlays, models, frames, files)
+MODULES = (universe, technicals, shape, series, cross, overlays, models, frames, files, chains)
 
 
 def queries() -> dict:

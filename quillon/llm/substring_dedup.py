@@ -201,6 +201,22 @@ def windows_of(start: np.ndarray, data: list[bytes], s: Settings) -> tuple[np.nd
     return h[begin[own] + inner], own, start[own] + inner
 
 
+def equal_windows(data: list[bytes], start: np.ndarray, own: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, s: Settings, block: int = 50_000) -> np.ndarray:
+    """Which windows ``a`` have the bytes of the windows ``b``, eight at a time."""
+    text = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
+    words = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    place = (np.cumsum(sizes) - sizes)[own] + at - start[own]
+    # The last word ends with the window and overlaps the one before it.
+    steps = np.append(np.arange(0, s.length - 7, 8), s.length - 8)
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), block):
+        x, y = place[a[k : k + block]], place[b[k : k + block]]
+        for step in steps:
+            out[k : k + block] &= (words[x + step] == words[y + step]).all(1)
+    return out
+
+
 REPEATS = "doc long, start int, stop int"
 
 
@@ -219,6 +235,7 @@ def sorted_buckets(spans: DataFrame, s: Settings) -> DataFrame:
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         head = first[back]
         again = (d != d[head]) | (at != at[head])
+        again[again] = equal_windows(data, start, own, at, np.flatnonzero(again), head[again], s)
         return repeats_batch(d[again], at[again], at[again] + s.length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +267,13 @@ def dealt_windows(spans: DataFrame, s: Settings) -> DataFrame:
             for at in range(0, whole.num_rows, s.spans):
                 part = whole.slice(at, s.spans)
                 h, own, place = windows_of(part.column(2).to_numpy().astype(np.int64), part.column(3).to_pylist(), s)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part.column(1).to_numpy()[own]), pa.array(place.astype(np.int32))], names=["hash", "doc", "start"])
+                gram, doc = (part.column(k).to_numpy()[own] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))], names=["gram", "hash", "doc", "start"])
 
-    each = spans.select("gram", "doc", "start", "bytes").mapInArrow(run, "hash long, doc long, start int")
-    first = each.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"))
-    again = each.join(first, "hash").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    each = spans.select("gram", "doc", "start", "bytes").mapInArrow(run, "gram long, hash long, doc long, start int")
+    # By both hashes: at 10^12 windows one of 64 bits alone would join different ones.
+    first = each.groupBy("gram", "hash").agg(F.min(F.struct("doc", "start")).alias("first"))
+    again = each.join(first, ["gram", "hash"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     return again.select("doc", "start", (F.col("start") + s.length).alias("stop"))
 
 

@@ -625,3 +625,13 @@ def test_substring_edges(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
     kept = substring_dedup.remove_repeats(docs(spark, [long, f"new {long} end"]), texts=True).orderBy("doc_id").collect()
     assert bytes(kept[1].kept).startswith(b"new") and len(kept[1].kept) < 15
+
+
+def test_equal_windows_compares_every_byte():
+    s = substring_dedup.Settings(length=20, gram=6)
+    base = bytes(range(30))
+    data = [base] + [base[:k] + b"\xff" + base[k + 1 :] for k in range(20)] + [base]
+    start = np.arange(len(data)) * 100
+    own, at = np.arange(len(data)), start.copy()
+    got = substring_dedup.equal_windows(data, start, own, at, np.arange(1, len(data)), np.zeros(len(data) - 1, np.int64), s, block=7)
+    assert got.tolist() == [False] * 20 + [True]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, near_dedup, oracles, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filters
+from quillon.llm import conversation_repair, decontaminate, license_scan, line_dedup, merkle, mix_sources, near_dedup, oracles, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, url_filters
 from quillon.llm.common import table
 
 
@@ -65,6 +65,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest columns replace the texts before the exchange."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.place(text).alias("place"), sharding.text_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    out = sharding.sharded_at(docs, F.col("place"), sharding.place(F.col("doc_id")), F.col("size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

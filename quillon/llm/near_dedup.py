@@ -12,10 +12,11 @@
    margin of five deviations; the full shingle sets of the rest confirm or
    reject. The first round takes the class that meets most others as the centre,
    which in a group of copies is the text that they were made from.
-4. Buckets that still hold more than one component are searched within: only
-   pairs of different components are estimated, in a join whose condition holds
-   the estimate, and confirmed. This loses no link between components, whatever
-   the stars missed.
+4. Buckets that still hold more than one component are searched within, block by
+   block: only pairs of different components are estimated, then confirmed by
+   their full sets, both in the task that holds the two blocks. This loses no
+   link between components, whatever the stars missed, and a pair never is a
+   row; the comparisons, not the rows, grow with the square of a bucket.
 5. Components of the confirmed links.
 
 With ``bands`` of ``rows`` minima, two documents of similarity s share no
@@ -40,7 +41,7 @@ from quillon.llm.components import components
 @dataclass(frozen=True)
 class Settings:
     """``percent``: documents are linked at this Jaccard similarity, in hundredths, or more.
-    ``rounds``: of stars, before pairs within buckets."""
+    ``rounds``: of stars, before pairs within buckets. ``block``: classes of a bucket that meet others at a time."""
 
     size: int = 5
     percent: int = 80
@@ -51,6 +52,7 @@ class Settings:
     margin: float = 5.0
     slack: float = 0.005
     rounds: int = 2
+    block: int = 256
 
     @property
     def minima(self) -> int:
@@ -213,6 +215,120 @@ def estimated(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(alike("x", "y", s)).select("a", "b")
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows that agree in ``keys``, from batches sorted by them; a run may span batches."""
+    rest = None
+    for b in batches:
+        t = b if rest is None else pa.concat_batches([rest, b])
+        if not t.num_rows:
+            continue
+        values = [t.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for at, end in zip(starts, starts[1:], strict=False):
+            yield t.slice(at, end - at)
+        rest = t.slice(starts[-1])
+    if rest is not None:
+        yield rest
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def candidates(g: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a bucket's two blocks (or one with itself) that are of different components and may be similar enough by :func:`alike`'s rule.
+
+    A pair belongs to the first bucket that it shares.
+    """
+    own, i, j = (g.column(c).to_numpy() for c in ("own", "i", "j"))
+    left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+    sig = matrix(g.column("sig"), s.planes).view(np.uint64).reshape(g.num_rows, s.bins // 64, s.bits)
+    fill = np.bitwise_or.reduce(sig, 2)
+    n, component = g.column("n").to_numpy(), g.column("component").to_numpy()
+    used, both, equal = (np.zeros((len(left), len(right)), np.int64) for _ in range(3))
+    for w in range(s.bins // 64):
+        a, b = fill[left, w][:, None], fill[right, w][None]
+        differ = np.zeros((len(left), len(right)), np.uint64)
+        for p in range(s.bits):
+            differ |= sig[left, w, p][:, None] ^ sig[right, w, p][None]
+        shared = a & b
+        used += np.bitwise_count(a | b)
+        both += np.bitwise_count(shared)
+        equal += np.bitwise_count(shared & ~differ)
+    at, chance = s.percent / 100, 1 / ((1 << s.bits) - 1)
+    x, y = n[left][:, None], n[right][None]
+    used = np.maximum(used, 1)
+    rest = np.maximum(1 - used * (1 + at) / (x + y), 0)
+    floor = at - s.margin * np.sqrt(at * (1 - at) / used * rest) - s.slack
+    near = (100 * np.minimum(x, y) >= s.percent * np.maximum(x, y)) & ((equal - chance * both) / (1 - chance) / used >= floor)
+    near &= component[left][:, None] != component[right][None]
+    if i[0] == j[0]:
+        near = np.triu(near, 1)
+    a, b = np.nonzero(near)
+    a, b = left[a], right[b]
+    bands = matrix(g.column("bands"), s.bands)
+    first = (bands[a] == bands[b]).argmax(1)
+    mine = bands[a, first] == g.column("key")[0].as_py()
+    return a[mine], b[mine]
+
+
+def within_buckets(open_: DataFrame, docs: DataFrame, id_col: str, text: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between components within buckets, and the rows that were looked at for them.
+
+    ``open_`` has a row per class and bucket, with the bucket's ``size``. A bucket
+    is divided into blocks of about ``block`` classes, and two blocks at a time
+    meet in one task, so that a class costs a row for each block, never for each
+    partner. First by signatures alone, which leaves the classes that have a
+    candidate; their full sets then follow, and of each two blocks come only
+    links that join components, fewer than classes.
+    """
+    n = F.ceil(F.col("size") / s.block)
+    own = F.pmod(F.xxhash64("id"), n).alias("own")
+    rows = open_.select("key", "id", "component", "n", F.array(*[f"s{k}" for k in range(s.planes)]).alias("sig"), "bands", own, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    keys = ("key", "i", "j")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, keys):
+            if g.num_rows > 1:
+                keep = np.unique(np.concatenate(candidates(g, s)))
+                if len(keep):
+                    yield g.take(pa.array(keep))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, keys):
+            ids, component = g.column("id").to_numpy(), g.column("component").to_pylist()
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("shingles")]
+            found = []
+            for a, b in zip(*candidates(g, s), strict=True):
+                p, q = find(component[a]), find(component[b])
+                if p == q:
+                    continue
+                x, y = sorted((sets[a], sets[b]), key=len)
+                common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                if 100 * common >= s.percent * (len(x) + len(y) - common):
+                    root[max(p, q)] = min(p, q)
+                    found.append(sorted((int(ids[a]), int(ids[b]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    some = written(dealt(rows).mapInArrow(sift, rows.schema))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text).join(some.select("id").distinct(), F.col("_id") == F.col("id"), "left_semi")
+    sets = written(shingle_sets(texts, "_id", text, s).dropDuplicates(["id"]))
+    return dealt(some.join(sets, "id").select(*rows.columns, "shingles")).mapInArrow(confirm, "a long, b long"), some
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 
@@ -252,14 +368,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         parts = written(components(links))
 
     placed = placed_in(ranked, parts, [])
-    open_ = placed.join(open_keys(placed).select("key"), "key", "left_semi").join(heads, "id")
-    l, r = (open_.select("key", *[F.col(c).alias(f"{k}{c}") for c in open_.columns if c != "key"]) for k in "xy")
-    # A pair is a row in the first bucket that it shares, and only if it may be similar enough.
-    shared = F.array_position(F.zip_with("xbands", "ybands", lambda p, q: p == q), True)
-    first = F.get(F.col("xbands"), (shared - 1).cast("int")) == l["key"]
-    more = l.join(r, (l["key"] == r["key"]) & (F.col("xid") < F.col("yid")) & (F.col("xcomponent") != F.col("ycomponent")) & alike("x", "y", s) & first)
-    more = written(more.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    joined = components(written(links.unionByName(confirmed(more, docs, id_col, text, s))))
+    open_ = placed.join(open_keys(placed, F.count("*").alias("size")), "key").join(heads, "id")
+    more, _ = within_buckets(open_, docs, id_col, text, s)
+    joined = components(written(links.unionByName(more)))
     found = member.join(joined, member["class"] == joined["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "class").alias("component_id"))
     out = sigs.select("id", "n_shingles").join(found, F.col("id") == F.col("_id"), "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -188,63 +188,6 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: st
     return [(r[text], r["_label"]) for r in sorted(both.collect(), key=lambda r: (r[id_col], r[text] or ""))]
 
 
-def score(self, averages: np.ndarray) -> np.ndarray:
-        """Softmax probability of label 1."""
-        z = averages @ self.weights + self.bias
-        e = np.exp(z - z.max(1, keepdims=True))
-        return (e / e.sum(1, keepdims=True))[:, 1].astype(np.float64)
-
-
-def train(rows: list[tuple[str | None, int]], s: Settings = Settings()) -> Model:
-    """Stochastic gradient descent, one document at a time, over (text, 0 or 1)."""
-    rng = np.random.default_rng(s.seed)
-    vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
-    weights, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
-    numbers: dict[bytes, int] = {}
-    docs = [np.unique([numbers.setdefault(w, len(numbers)) for w in tokens(text)], return_counts=True) for text, _ in rows]
-    ids, sizes = grams(list(numbers), s) if numbers else (np.empty(0, np.int64), np.empty(0, np.int64))
-    ids, ends = ids.astype(np.int32), np.cumsum(sizes)
-    bags = []
-    for (words, counts), (_, label) in zip(docs, rows, strict=True):
-        if len(words):
-            n = sizes[words]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys, back = np.unique(ids[np.repeat(ends[words] - n, n) + inner], return_inverse=True)
-            part = np.bincount(back, weights=np.repeat(counts, n))
-            bags.append((keys, (part / part.sum()).astype(np.float32), int(label)))
-        else:
-            bags.append((np.empty(0, np.int32), np.empty(0, np.float32), int(label)))
-    share = np.clip(np.bincount([b[2] for b in bags], minlength=2) / max(1, len(bags)), 1e-3, 1)
-    bias += np.log(share).astype(np.float32)
-    steps, total = 0, max(1, s.epochs * len(bags))
-    for _ in range(s.epochs):
-        for k in rng.permutation(len(bags)):
-            keys, part, label = bags[k]
-            rate = np.float32(s.rate * (1 - steps / total))
-            steps += 1
-            own = vectors[keys]
-            x = part @ own
-            z = x @ weights + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[label] -= 1
-            back = weights @ p
-            weights -= rate * np.outer(x, p)
-            bias -= rate * p
-            # Averages are small steps for each vector; the length of the bag evens that out, up to ``most_steps``.
-            vectors[keys] = own - (rate * min(len(keys), s.most_steps)) * np.outer(part, back)
-    return Model(vectors, weights, bias, s)
-
-
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, s: Settings) -> list[tuple[str | None, int]]:
-    """The training rows: of the labelled ones, the first by a hash of the id. Null labels are left out."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("int").alias("_label"))
-    ids = known.orderBy(F.xxhash64(F.lit(s.seed), id_col), id_col).limit(s.sample_rows)
-    # At most sample_rows ids, so that texts needn't be shuffled to meet them.
-    both = docs.select(id_col, text).where(F.length(F.coalesce(F.col(text), F.lit(""))) <= s.sample_chars).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text).alias(text), F.min("_label").alias("_label"))
-    return [(r[text], r["_label"]) for r in sorted(both.collect(), key=lambda r: (r[id_col], r[text] or ""))]
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col`` and ``score`` for each row of ``docs``; null and empty texts get the model's score of nothing."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size

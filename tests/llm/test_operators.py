@@ -95,6 +95,46 @@ def test_near_duplicates_of_a_chain_and_of_repeated_rows(spark):
     assert [r.kept for r in got if r.doc_id is None] == [True]
 
 
+def template_texts(n):
+    """Texts that share 401 words and have 59 of their own: 400 of 520 two-word shingles, similarity 0.77."""
+    shared = [f"t{k}" for k in range(401)]
+    return [" ".join(shared + [f"d{i}w{k}" for k in range(59)]) for i in range(n)]
+
+
+def bucket_rows(spark, texts, s, monkeypatch):
+    seen = []
+    inner = near_dedup.within_buckets
+
+    def counted(*args):
+        links, some = inner(*args)
+        seen.append((some.count(), links.count()))
+        return links, some
+
+    monkeypatch.setattr(near_dedup, "within_buckets", counted)
+    got = near_dedup.near_duplicates(docs(spark, texts), s=s).collect()
+    monkeypatch.undo()
+    return got, *seen[0]
+
+
+@pytest.mark.parametrize("block", [256, 40])
+def test_groups_just_below_the_limit_make_no_pairs_as_rows(spark, monkeypatch, block):
+    """300 texts of which each two are at 0.77: none linked, and at most a row per band, block and text."""
+    s = near_dedup.Settings(size=2, block=block)
+    got, rows, links = bucket_rows(spark, template_texts(300), s, monkeypatch)
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and links == 0
+    assert rows <= 300 * s.bands * -(-300 // block)
+
+
+def test_links_within_buckets_equal_those_of_all_pairs(spark):
+    """Without stars, and with small blocks, the buckets alone find all components."""
+    texts = template_texts(30) + [" ".join([f"t{k}" for k in range(401)] + [f"e{i // 3}w{k}" for k in range(50)] + [f"f{i}"]) for i in range(60)]
+    rng = random.Random(8)
+    rng.shuffle(texts)
+    for s in (near_dedup.Settings(size=2, block=7), near_dedup.Settings(size=2, rounds=1, block=16)):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), s=s).collect()}
+        assert got == exact_components(dict(enumerate(texts)), 2)[0]
+
+
 def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (500, 500)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
@@ -284,6 +324,16 @@ def test_classifier_edges(spark):
 # --- mixing -----------------------------------------------------------------------
 
 
+def test_training_rows_are_drawn_after_the_length_bound(spark):
+    """Half the labelled texts are too long, and a third of the rows repeat: still as many rows as asked for, all short."""
+    s = quality_classifier.Settings(sample_rows=300, sample_chars=100)
+    texts = ["short text" if k % 2 else "x " * 500 for k in range(1400)]
+    table = docs(spark, texts).unionByName(docs(spark, texts[:700]))
+    labels = spark.createDataFrame([(k, k % 3 % 2) for k in range(1400)], "doc_id long, quality int")
+    rows = quality_classifier.sample(table, labels, "doc_id", "text", "quality", s)
+    assert len(rows) == 300 and all(len(t) <= 100 for t, _ in rows)
+
+
 def test_mixing_hits_the_target_weights(spark):
     many = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"), F.lit(5).alias("copy"))
     out = mix_sources.mix(many, {"a": 3.0, "b": 1.0})

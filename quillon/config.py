@@ -33,13 +33,30 @@ class Normalisation:
 
 @dataclass(frozen=True)
 class CrossValidation:
-    splits: int = 5
-    trees: int = 150
-    depth: int = 4
+    """Blocks of ``block`` dates after ``least_train`` dates. ``least_features``: share that a row needs. ``least_rows``: of a fold's training and validation parts."""
+
+    least_train: int = 504
+    block: int = 63
     least_rows: int = 10_000
+    least_stop_rows: int = 50
     least_features: float = 0.8
 
 
+@dataclass(frozen=True)
+class Boosting:
+    """``rows`` and ``features``: shares that a tree draws. ``tolerance``: the fall of the loss, as a share of it, under which a fit stops."""
+
+    trees: int = 150
+    depth: int = 4
+    rate: float = 0.05
+    least_leaf: int = 5
+    rows: float = 0.8
+    features: float = 0.8
+    tolerance: float = 0.0001
+    median_error: float = 0.001
+    seed: int = 42
+
+
 @dataclass(frozen=True)
 class Paths:
     root: str = "data"

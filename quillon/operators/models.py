@@ -1,19 +1,18 @@
-"""Targets, purged folds, metrics, ensembles, calibration, regimes by mixture models: on Spark ML where a model is fitted."""
+"""Targets, purged folds, metrics, ensembles, calibration, regimes by mixture models."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
+from quillon.operators import mixtures
+from quillon.operators.quantiles import counts_below, exact_quantiles
 from quillon.sources import sinks
 
 
@@ -63,14 +62,13 @@ def walk_forward(dates: DataFrame, horizon: int, least_train: int = 504, size: i
 
 
 def metrics(df: DataFrame, keys: tuple[str, ...], label: str = "label", p: str = "p") -> DataFrame:
-    """AUC by rank sums with average ties, log loss and Brier score per key. Values are counted before they are ranked."""
+    """AUC by rank sums with average ties, log loss and Brier score per key. Values are counted before they are ranked, range by range."""
     each = df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).groupBy(*keys, p).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(p)
-    each = each.withColumn("below", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    each = counts_below(each, keys, p, "n")
     q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     neg = F.col("n") - F.col("pos")
     g = each.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.coalesce("below", F.lit(0)) + (F.col("n") + 1) / 2)).alias("_r"), F.sum("pos").alias("_p"), F.sum("n").alias("n_rows"),
+        F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("_r"), F.sum("pos").alias("_p"), F.sum("n").alias("n_rows"),
         (-F.sum(F.col("pos") * F.ln(q) + neg * F.ln(1 - q))).alias("_l"), F.sum(F.col("pos") * (F.col(p) - 1) ** 2 + neg * F.col(p) ** 2).alias("_b"),
     )
     auc = c.div(F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2, F.col("_p") * (F.col("n_rows") - F.col("_p")))
@@ -98,8 +96,14 @@ def pattern_features(columns: list[str], suffixes: tuple[str, ...] = ("_zscore",
     return [x for x in columns if x.endswith(suffixes) and not x.startswith(forbidden)]
 
 
-def imputer(columns: list[str]) -> Imputer:
-    return Imputer(strategy="median", inputCols=columns, outputCols=[f"{x}_filled" for x in columns], relativeError=0.0)
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The lower median of each column, exact."""
+    return {x: q[0] for x, q in exact_quantiles(df, {x: [0.5] for x in columns}, discrete=True).items()}
+
+
+def filled(df: DataFrame, by: dict[str, float | None]) -> DataFrame:
+    """Adds ``<column>_filled``: the value, or what ``by`` has for its column (NULL where that is None)."""
+    return df.withColumns({f"{x}_filled": F.coalesce(x, F.lit(v).cast("double")) for x, v in by.items()})
 
 
 def classifier(features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
@@ -140,13 +144,14 @@ def calibrated(held: DataFrame, df: DataFrame, label: str = "label", p: str = "p
 
 
 class RegimeModel:
-    """Clipped, scaled features to a Gaussian mixture, its number of components chosen by BIC.
+    """Clipped, scaled features to a mixture with diagonal covariances, its number of components chosen by BIC.
 
-    Spark's mixtures have full covariances; the count of parameters follows.
+    Bounds are exact quantiles, the scale is the population's deviation; the fit
+    takes all training rows, or with ``most_rows`` the first by a hash of their key.
     """
 
-    def __init__(self, features: tuple[str, ...], components: tuple[int, ...] = (3, 4, 5, 6), quantiles: tuple[float, float] = (0.01, 0.99), sample_rows: int = 250_000, seed: int = 42):
-        self.features, self.components, self.quantiles, self.sample_rows, self.seed = features, components, quantiles, sample_rows, seed
+    def __init__(self, features: tuple[str, ...], fitting: mixtures.Fitting = mixtures.Fitting(), quantiles: tuple[float, float] = (0.01, 0.99), most_rows: int | None = None):
+        self.features, self.fitting, self.quantiles, self.most_rows = features, fitting, quantiles, most_rows
 
     def ready(self) -> Column:
         out = F.lit(True)
@@ -154,53 +159,28 @@ class RegimeModel:
             out = out & F.col(x).isNotNull()
         return out
 
-    def clipped(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f"_c_{x}": c.clip(x, lo, hi) for x, (lo, hi) in self.bounds.items()})
+    def scaled(self) -> list[Column]:
+        return [(c.clip(x, *self.bounds[x]) - self.means[x]) / self.deviations[x] for x in self.features]
 
     def fit(self, train: DataFrame) -> RegimeModel:
-        """On at most ``sample_rows`` rows, the first by a hash of their key; the bounds come from all."""
-        rows = train.where(self.ready())
-        q = rows.agg(*[F.percentile(x, list(self.quantiles)).alias(x) for x in self.features]).first()
-        self.bounds = {x: (q[x][0], q[x][1]) for x in self.features}
-        sample = rows.orderBy(F.xxhash64(F.lit(self.seed), "ticker", "date"), "ticker", "date").limit(self.sample_rows)
-        prepare = Pipeline(stages=[VectorAssembler(inputCols=[f"_c_{x}" for x in self.features], outputCol="_v"), StandardScaler(inputCol="_v", outputCol="features", withMean=True, withStd=True)])
-        sample = self.clipped(sample)
-        self.prepare = prepare.fit(sample)
-        scaled = self.prepare.transform(sample).select("features").cache()
-        n, d = scaled.count(), len(self.features)
-        self.bic, best = {}, None
-        for k in self.components:
-            model = GaussianMixture(k=k, seed=self.seed, maxIter=50).fit(scaled)
-            free = k * (d + d * (d + 1) / 2) + k - 1
-            self.bic[k] = free * math.log(n) - 2 * model.summary.logLikelihood
-            if best is None or self.bic[k] < self.bic[best]:
-                best, self.model = k, model
-        scaled.unpersist()
-        self.chosen = best
+        rows = sinks.stored(train.where(self.ready()).select("ticker", "date", *self.features))
+        self.bounds = exact_quantiles(rows, {x: list(self.quantiles) for x in self.features})
+        if self.most_rows is not None:
+            rows = rows.orderBy(F.xxhash64(F.lit(self.fitting.seed), "ticker", "date"), "ticker", "date").limit(self.most_rows)
+        clipped = {x: c.clip(x, *self.bounds[x]) for x in self.features if None not in self.bounds[x]}
+        if len(clipped) < len(self.features):
+            raise ValueError("no training row has all features")
+        sums = rows.agg(*[f(v).alias(f"{n}{k}") for k, v in enumerate(clipped.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        self.means = {x: sums[f"m{k}"] for k, x in enumerate(self.features)}
+        self.deviations = {x: sums[f"s{k}"] or 1.0 for k, x in enumerate(self.features)}
+        self.mixture = mixtures.fit(sinks.stored(rows.select(F.array(*self.scaled()).alias("x"))), "x", self.fitting)
+        self.chosen = self.mixture.k
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds label, confidence and component probabilities; rows that miss a feature keep NULLs."""
-        ready = self.model.transform(self.prepare.transform(self.clipped(df.where(self.ready()))))
-        p = vector_to_array("probability")
-        ready = ready.select("ticker", "date", F.col("prediction").cast("double").alias("gmm_regime_label"), F.array_max(p).alias("gmm_regime_confidence"), *[F.get(p, k).alias(f"gmm_regime_prob_{k}") for k in range(self.chosen)])
-        return df.join(ready, ["ticker", "date"], "left")
+        """Adds label, confidence, log-likelihood and component probabilities; rows that miss a feature keep NULLs."""
+        return mixtures.with_components(df, self.mixture, self.scaled())
 
-
-def expanding_regimes(df: DataFrame, features: tuple[str, ...], k: int = 4, least_train: int = 252, every: int = 63, seed: int = 42) -> DataFrame:
-    """A mixture refitted every ``every`` rows of a single series; each segment is labelled by the fit on all rows up to its end.
-
-    As in the method it follows, segments are in-sample and component numbers
-    aren't aligned across fits. The loop is over refits, not over rows.
-    """
-    w = Window.partitionBy("_one").orderBy("date")
-    known = df.where(sum((F.col(x).isNull().cast("int") for x in features), F.lit(0)) == 0).withColumn("_one", F.lit(1)).withColumn("_i", F.row_number().over(w) - 1)
-    known = sinks.stored(known)  # each refit reads it
-    n = known.count()
-    ends = sorted({*range(least_train, n + 1, every), n}) if n >= least_train else []
-    out, before = None, 0
-    for end in ends:
-        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="features", withMean=True), GaussianMixture(k=k, seed=seed, maxIter=50)]).fit(known.where(F.col("_i") < end))
-        part = model.transform(known.where(F.col("_i").between(before, end - 1))).select("date", F.col("prediction").alias("regime_state"), *[F.get(vector_to_array("probability"), j).alias(f"regime_prob_{j}") for j in range(k)], F.lit(end).alias("fitted_rows"))
-        out, before = part if out is None else out.unionByName(part), end
-    return known.select("date").limit(0).selectExpr("date", "0 AS regime_state", "0 AS fitted_rows") if out is None else out
+    def scores(self, spark: SparkSession) -> DataFrame:
+        """(``components``, ``bic``, ``aic``, ``log_likelihood``, ``chosen``) of the grid."""
+        return spark.createDataFrame([(k, v["bic"], v["aic"], v["log_likelihood"], k == self.chosen) for k, v in self.mixture.scores.items()], "components int, bic double, aic double, log_likelihood double, chosen boolean")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import fundamentals
 from quillon.operators import universe as u
 from quillon.plans import sql as s
 from quillon.plans.technicals import rounded
-from quillon.sources import files, sinks
+from quillon.sources import files, paged, sinks
 from quillon.sources.panels import bars, table
+from quillon.streaming import backfill
 
 Q, O = {}, {}
 R = s.rounded
@@ -148,4 +150,49 @@ def compensation(spark, sf_dir):
     return rounded(out, ["total_pay", "mean_pay"], ("ticker",))
 
 
+LAST_OF_DAY = "SELECT user_id, ts::DATE AS date, max(ts) AS ts, arg_max(event_id, row(ts, event_id)) AS event_id, round(arg_max(value, row(ts, event_id)), 6) AS value FROM events GROUP BY ALL"
+
+
+@add("k03_k04_resumed_backfill", LAST_OF_DAY)
+def resumed_backfill(spark, sf_dir):
+    """The last event of each user and day, from files that arrive in two deliveries: the second run goes on where the first stopped."""
+    inbox, root = sinks.scratch(spark), sinks.scratch(spark)
+    events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"), "ts", "event_id", "value")
+    history = backfill.History(f"{root}/history", "user_id bigint, date date, ts timestamp, event_id bigint, value double", ("user_id", "date"), ("ts", "event_id"))
+    odd = F.xxhash64("event_id") % 2 != 0
+    for part in (odd, ~odd):
+        events.where(part).repartition(2).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(history.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        backfill.backfill(stream, history, f"{root}/checkpoint")
+    return history.read(spark).withColumn("value", F.round("value", 6))
+
+
+PAGE = 40
+
+
+@add("s12_s14_paged_chain", f"""WITH c AS (SELECT l_suppkey AS k, 'O:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || round(l_extendedprice * 100)::BIGINT AS contract, l_quantity AS open_interest FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY contract, open_interest) - 1 AS item FROM c)
+SELECT k::VARCHAR AS ticker, (item // {PAGE})::INT AS page, item::INT AS item, contract, {R('open_interest')} AS open_interest, 'ok' AS fetch_status, (CASE WHEN k % 7 = 1 THEN 1 ELSE 0 END)::INT AS retries FROM n WHERE k % 7 <> 2
+UNION ALL SELECT DISTINCT k::VARCHAR, 0, NULL, NULL, NULL, 'throttled', 2 FROM n WHERE k % 7 = 2""")
+def paged_chain(spark, sf_dir):
+    """Contracts of each instrument over pages that name the next one; some pages are throttled once, some always."""
+    price = F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")
+    name = F.concat_ws("-", F.concat(F.lit("O:"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), price)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), name.alias("contract"), F.col("l_quantity").cast("double").alias("open_interest"))
+    w = Window.partitionBy("k").orderBy("contract", "open_interest")
+    rows = rows.withColumns({"item": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("k"))})
+    pages = rows.groupBy("k", "n", F.floor(F.col("item") / PAGE).alias("page")).agg(F.sort_array(F.collect_list(F.struct("item", "contract", "open_interest"))).alias("results"))
+    following = F.when((F.col("page") + 1) * PAGE < F.col("n"), F.concat(F.lit("https://host/v1/"), F.col("k").cast("string"), F.lit("@"), (F.col("page") + 1).cast("string"), F.lit(".json")))
+    reply = F.to_json(F.struct(F.col("k").cast("string").alias("ticker"), F.lit("OK").alias("status"), "results", following.alias("next_url")))
+    busy, first = F.lit('{"status": 429}'), F.col("page") == 0
+    body = F.when(first & (F.col("k") % 7 == 1), F.concat(F.lit("["), busy, F.lit(", "), reply, F.lit("]"))).when(first & (F.col("k") % 7 == 2), busy).otherwise(reply)
+    file = F.concat(F.col("k").cast("string"), F.when(~first, F.concat(F.lit("@"), F.col("page").cast("string"))).otherwise(""), F.lit(".json"))
+    path = sinks.scratch(spark)
+    paged.publish(pages.select(file.alias("name"), body.alias("body")), path)
+    paged.register(spark)
+    out = spark.read.format("paged_replies").option("path", path).option("wait", "0").load()
+    r = F.from_json("result", "contract string, open_interest double")
+    return rounded(out.withColumns({"contract": r["contract"], "open_interest": r["open_interest"]}), ["open_interest"], ("ticker", "page", "item", "contract", "fetch_status", "retries"))
+
+
 QUERIES, ORACLES = Q, O

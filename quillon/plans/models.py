@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
+from quillon.config import CrossValidation
 from quillon.functions import columns as c
-from quillon.operators import models, series
+from quillon.operators import cross, markov, models, series, training
+from quillon.operators.quantiles import exact_quantiles
 from quillon.plans import sql as s
 from quillon.plans.technicals import CHG, rounded
 from quillon.sources import sinks
@@ -78,7 +82,7 @@ def ensemble(spark, sf_dir):
 @add("m10_imputation", "WITH x AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer) SELECT c_custkey, coalesce(v, (SELECT quantile_disc(v, 0.5) FROM x)) AS v_filled FROM x")
 def imputed(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
-    return models.imputer(["v"]).fit(df).transform(df).select("c_custkey", "v_filled")
+    return models.filled(df, models.medians(df, ["v"])).select("c_custkey", "v_filled")
 
 
 FEATURES = ("ret_1", "vol_20", "dd_60")
@@ -91,21 +95,33 @@ def feature_panel(spark, sf_dir):
 
 @add("a15_clip_bounds", f"WITH {s.BARS}, r AS (SELECT {CHG('close')} AS x FROM bars) SELECT {R('quantile_cont(x, 0.01)')} AS low, {R('quantile_cont(x, 0.99)')} AS high FROM r")
 def bounds(spark, sf_dir):
-    q = feature_panel(spark, sf_dir).agg(F.percentile("ret_1", 0.01).alias("low"), F.percentile("ret_1", 0.99).alias("high"))
-    return rounded(q, ["low", "high"], ())
+    rows = sinks.stored(feature_panel(spark, sf_dir).select("ret_1"))
+    low, high = exact_quantiles(rows, {"ret_1": [0.01, 0.99]})["ret_1"]
+    return rounded(spark.createDataFrame([(low, high)], "low double, high double"), ["low", "high"], ())
+
+
+def fitted_mixture(spark, sf_dir):
+    df = sinks.stored(feature_panel(spark, sf_dir).select("ticker", "date", *FEATURES))
+    return df, models.RegimeModel(FEATURES).fit(df.where(F.col("date") <= "2000-12-31"))
 
 
 @add("m01_mixture_regimes")
 def mixture(spark, sf_dir):
-    df = feature_panel(spark, sf_dir)
-    model = models.RegimeModel(FEATURES).fit(df.where(F.col("date") <= "2000-12-31"))
-    return model.transform(df).select("ticker", "date", "gmm_regime_label", "gmm_regime_confidence")
+    """Label, confidence, log-likelihood and the probability of each component."""
+    df, model = fitted_mixture(spark, sf_dir)
+    return model.transform(df).drop(*FEATURES)
+
+
+@add("m01_mixture_grid")
+def mixture_grid(spark, sf_dir):
+    """BIC, AIC and likelihood of each number of components."""
+    return fitted_mixture(spark, sf_dir)[1].scores(spark)
 
 
 @add("m03_fx09_expanding_regimes")
 def expanding(spark, sf_dir):
     m = series.macro_overlay(bars(spark, sf_dir), "1", {"tlt": "2", "hyg": "3", "lqd": "4", "vixy": "5"})
-    return models.expanding_regimes(m, ("macro_spy_vol_20d", "macro_spy_mom_20d"))
+    return markov.expanding_regimes(m, ("macro_spy_vol_20d", "macro_spy_mom_20d"))
 
 
 def labelled_panel(spark, sf_dir):
@@ -132,6 +148,56 @@ def importances(spark, sf_dir):
     return spark.createDataFrame(models.importance(fitted, list(FEATURES)), "feature string, importance double")
 
 
+#: Sized for weekly bars: four years before the first block, blocks of half a year.
+WEEKLY = CrossValidation(least_train=208, block=26, least_rows=500)
+TARGETS = [training.Target("target_up_4d", 4), training.Target("target_gain_5", 4)]
+
+
+def normalised_panel(spark, sf_dir):
+    """Targets, and z-scores and ranks within sector and date of returns over volatility."""
+    df = cross.institutional(bars(spark, sf_dir, sectors=True))
+    for x in ("ret_5d_voladj", "ret_21d_voladj", "ret_63d_voladj"):
+        df = cross.sector_normalised(df, x)
+    return models.targets(df, 4)
+
+
+def trained_job(spark, sf_dir):
+    """The job of this session over these tables: the queries below share its fits, as a job that is started again does."""
+    of = hashlib.md5(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()
+    root = f"{sinks.shared_folder(spark)}/quillon-training-{of}"
+    atexit.register(sinks.discard, spark, root)
+    return training.train(normalised_panel(spark, sf_dir), TARGETS, root, cv=WEEKLY)
+
+
+@add("m06_m07_fold_metrics")
+def fold_metrics(spark, sf_dir):
+    """Walk-forward fits of each target: rows, rates, trees kept by early stopping, AUC, log loss, Brier score."""
+    return training.fold_metrics(trained_job(spark, sf_dir))
+
+
+@add("k07_training_report")
+def training_report(spark, sf_dir):
+    return training.report(trained_job(spark, sf_dir))
+
+
+@add("k07_m07_mean_importance")
+def mean_importance(spark, sf_dir):
+    return training.mean_importance(trained_job(spark, sf_dir))
+
+
+@add("k07_prediction_bands")
+def prediction_bands(spark, sf_dir):
+    return training.deciles(trained_job(spark, sf_dir))
+
+
+@add("k07_m08_fold_ensemble")
+def fold_ensemble(spark, sf_dir):
+    """The mean of the kept fold models over the whole panel, with its confidence."""
+    job = trained_job(spark, sf_dir)
+    panel = training.complete_rows(normalised_panel(spark, sf_dir), job.features, WEEKLY.least_features)
+    return training.scored(job, panel.select("ticker", "date", *job.features), "target_up_4d").drop(*job.features)
+
+
 def drained(stream, name: str):
     """What a stream gives over the files there are, through a memory table (the query's result is small)."""
     spark = stream.sparkSession

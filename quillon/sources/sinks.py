@@ -40,6 +40,16 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer of Spark's has committed a table there."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: computed once, and safe from lost executors."""
     path = scratch(df.sparkSession)

@@ -187,6 +187,14 @@ def code_sector(code: Column | str) -> Column:
     return out.otherwise("Unknown")
 
 
+def required_columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(``required``, ``present``, ``missing_rows``) in one pass over the rows."""
+    there = set(df.columns)
+    counts = df.agg(*[F.count(F.when(F.col(x).isNull() if x in there else F.lit(True), 1)).alias(f"n{k}") for k, x in enumerate(names)])
+    each = F.array(*[F.struct(F.lit(x).alias("required"), F.lit(x in there).alias("present"), F.col(f"n{k}").alias("missing_rows")) for k, x in enumerate(names)])
+    return counts.select(F.inline(each))
+
+
 def business_days(start: Column, end: Column) -> Column:
     """Week days from ``start`` up to, not including, ``end``."""
     def before(day: Column) -> Column:

@@ -102,18 +102,10 @@ def history_gate(spark, sf_dir):
     return cross.institutional(bars(spark, sf_dir)).select("ticker", "date", "history_days", "in_universe")
 
 
-@add("f01_required_columns", "SELECT x AS required, x IN ('ticker', 'date', 'close') AS present FROM (VALUES ('ticker'), ('date'), ('close'), ('not_there')) v(x)")
+@add("f01_required_columns", f"WITH {s.BARS}, n AS (SELECT *, {s.lag('close')} AS previous FROM bars), r AS (SELECT count(*) AS all_rows, count(*) - count(ticker) AS t, count(*) - count(date) AS d, count(*) - count(close) AS c, count(*) - count(previous) AS p FROM n) SELECT unnest(['ticker', 'date', 'close', 'previous', 'not_there']) AS required, unnest([true, true, true, true, false]) AS present, unnest([t, d, c, p, all_rows]) AS missing_rows FROM r")
 def required(spark, sf_dir):
-    """What the check says of each column of a panel; the panel's rows aren't read."""
-    df = bars(spark, sf_dir)
-
-    def present(x: str) -> bool:
-        try:
-            return bool(u.require(df, (x,)).columns)
-        except u.QualityError:
-            return False
-
-    return spark.createDataFrame([(x, present(x)) for x in ("ticker", "date", "close", "not_there")], "required string, present boolean")
+    """For each required column whether the panel has it, and how many rows miss its value; a column that isn't there is missing in all."""
+    return u.required_columns(bars(spark, sf_dir).withColumn("previous", c.lag("close")), ("ticker", "date", "close", "previous", "not_there"))
 
 
 @add("j6_assembled_panel", f"{B}, t AS (SELECT ticker, date, {s.mean('close', 20)} AS sma, close FROM bars), v AS (SELECT ticker, date, volume, {s.std('volume', 20)} AS sma FROM bars WHERE date >= DATE '1995-01-01') SELECT b.ticker, b.date, {R('b.close')} AS close, {R('t.sma')} AS sma, {R('v.sma')} AS volumes_sma, m.sector FROM bars b LEFT JOIN t USING (ticker, date) LEFT JOIN v USING (ticker, date) LEFT JOIN master m ON m.ticker = b.ticker")

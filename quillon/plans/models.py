@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -53,6 +52,16 @@ def walk(spark, sf_dir):
     return models.walk_forward(bars(spark, sf_dir).select("date"), 20, 200, 30)
 
 
+DAYS = DATES.replace("date_trunc('week', l_shipdate)", "l_shipdate")
+
+
+@add("m06_daily_walk_forward", f"WITH {DAYS}, f AS (SELECT *, k AS fold, 504 + (k - 1) * 63 AS st FROM d, (SELECT unnest(range(1, 100)) AS k) WHERE k <= (d - 504) // 63), g AS (SELECT *, st - 25 AS cut, floor((st - 25) * 0.8) AS stp FROM f) SELECT fold::INT AS fold, date, CASE WHEN i < stp THEN 'train' WHEN i < cut THEN 'early_stop' ELSE 'validation' END AS part FROM g WHERE i < cut OR i BETWEEN st AND st + 62")
+def daily_walk(spark, sf_dir):
+    """Daily dates with the usual sizes: two years before the first block, blocks of a quarter."""
+    days = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(F.to_date("l_shipdate").alias("date"))
+    return models.walk_forward(days, 20)
+
+
 SCORES = "p AS (SELECT o_custkey % 5 AS fold, (o_totalprice > 30000)::INT AS label, round((o_orderkey * 37 % 1000) / 1000.0, 3) AS p FROM orders)"
 
 
@@ -66,7 +75,7 @@ def predictions(spark, sf_dir):
     return o.select((F.col("o_custkey") % 5).alias("fold"), (F.col("o_totalprice") > 30000).cast("int").alias("label"), F.round((F.col("o_orderkey") * 37 % 1000) / 1000, 3).alias("p"))
 
 
-@add("a28_across_folds")
+@add("a28_across_folds", f"WITH {SCORES}, r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS rk, least(greatest(p, 1e-15), 1 - 1e-15) AS q FROM p), m AS (SELECT fold, (sum(label * rk) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc, -avg(label * ln(q) + (1 - label) * ln(1 - q)) AS log_loss, avg((p - label) ** 2) AS brier FROM r GROUP BY fold) SELECT " + ", ".join(f"{R(f'{f}({x})')} AS {x}_{n}" for x in ("auc", "log_loss", "brier") for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp"))) + " FROM m")
 def across(spark, sf_dir):
     out = models.across_folds(models.metrics(predictions(spark, sf_dir), ("fold",)))
     return rounded(out, out.columns, ())
@@ -195,28 +204,34 @@ def fold_ensemble(spark, sf_dir):
     """The mean of the kept fold models over the whole panel, with its confidence."""
     job = trained_job(spark, sf_dir)
     panel = training.complete_rows(normalised_panel(spark, sf_dir), job.features, WEEKLY.least_features)
-    return training.scored(job, panel.select("ticker", "date", *job.features), "target_up_4d").drop(*job.features)
+    if not job.folds("target_up_4d"):  # tables too small for a fold
+        return spark.createDataFrame([], "ticker string, date date, ensemble_p double, confidence double")
+    return training.scored(job, panel.select("ticker", "date", *job.features), "target_up_4d").select("ticker", "date", "ensemble_p", "confidence")
 
 
-def drained(stream, name: str):
-    """What a stream gives over the files there are, through a memory table (the query's result is small)."""
-    spark = stream.sparkSession
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(table_name).option("checkpointLocation", sinks.scratch(spark)).outputMode("complete" if name == "complete" else "append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(table_name)
+def drained(stream):
+    """What a stream gives over the files there are, written by its tasks to the shared folder."""
+    spark, root = stream.sparkSession, sinks.scratch(stream.sparkSession)
+    streaming.collect_once(stream, f"{root}/checkpoint", f"{root}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
 @add("stream_minute_bars", "SELECT user_id, date_trunc('minute', ts) AS minute, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL HAVING date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def stream_bars(spark, sf_dir):
-    out = drained(streaming.minute_bars(streaming.event_stream(spark, f"{sf_dir}/events.parquet*")), "bars")
+    out = drained(streaming.minute_bars(streaming.event_stream(spark, f"{sf_dir}/events.parquet*")))
     return out.withColumn("total", F.round("total", 6))
 
 
 @add("stream_running_mean", "WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT event_id, user_id, k, value AS y FROM e WHERE k = 1 UNION ALL SELECT e.event_id, e.user_id, e.k, 0.8 * r.y + 0.2 * e.value FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT event_id, user_id, " + R("y") + " AS ewm FROM r")
 def stream_mean(spark, sf_dir):
-    out = drained(streaming.running_mean(streaming.event_stream(spark, f"{sf_dir}/events.parquet*"), 0.2), "mean")
+    out = drained(streaming.running_mean(streaming.event_stream(spark, f"{sf_dir}/events.parquet*"), 0.2))
     return rounded(out, ["ewm"], ("event_id", "user_id"))
 
 
+@add("stream_sessions", "WITH e AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n, round(sum(value), 6) AS total FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stream_sessions(spark, sf_dir):
+    out = drained(streaming.sessions(streaming.event_stream(spark, f"{sf_dir}/events.parquet*")))
+    return out.withColumn("total", F.round("total", 6))
+
+
 QUERIES, ORACLES = Q, O

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
-from quillon.operators import fundamentals, intraday, options, regimes, series, technicals, text
+from quillon.functions import tables
+from quillon.operators import fundamentals, intraday, options, regimes, scorers, series, technicals, text
 from quillon.operators import universe as u
 from quillon.plans import sql as s
+from quillon.plans.series import MACRO
 from quillon.plans.technicals import CHG, rounded
 from quillon.sources.panels import bars, index_bars, table, ticks
 
@@ -131,15 +133,38 @@ RK = lambda x: f"((rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}
 
 @add("fr01_a12_regime_scores", f"WITH {REG}, f AS (SELECT *, CASE WHEN count(_r) OVER {s.frame(20)} >= 20 THEN stddev_samp(_r) OVER {s.frame(20)} END AS v, {s.div('close', s.high('close', 60))} - 1 AS d FROM g1), m AS (SELECT regime, coalesce(median(_r), 0) AS a, coalesce(median(v), 0) AS b, coalesce(median(d), 0) AS c, coalesce(median(close / _m - 1), 0) AS e FROM f WHERE regime IS NOT NULL GROUP BY regime) SELECT regime, {R(f'((0.35 * {RK("a")} + 0.25 * (1 - {RK("b")}) + 0.25 * {RK("c")} + 0.15 * {RK("e")}) - 0.5) * 2')} AS score FROM m")
 def regime_scores(spark, sf_dir):
+    return rounded(scored_regimes(spark, sf_dir)[1], ["score"], ("regime",))
+
+
+MEDIANS = f"f AS (SELECT *, CASE WHEN count(_r) OVER {s.frame(20)} >= 20 THEN stddev_samp(_r) OVER {s.frame(20)} END AS v, {s.div('close', s.high('close', 60))} - 1 AS d FROM g1), m AS (SELECT regime, coalesce(median(_r), 0) AS a, coalesce(median(v), 0) AS b, coalesce(median(d), 0) AS c, coalesce(median(close / _m - 1), 0) AS e FROM f WHERE regime IS NOT NULL GROUP BY regime)"
+SCORE = f"((0.35 * {RK('a')} + 0.25 * (1 - {RK('b')}) + 0.25 * {RK('c')} + 0.15 * {RK('e')}) - 0.5) * 2"
+OTHERS = {"tlt": "2", "hyg": "3", "lqd": "4", "vixy": "5"}
+L20 = s.frame(252)
+MACRO_SCORES = [
+    {"fallback": f"CASE WHEN count(close) OVER {L20} >= 20 THEN coalesce({s.div(f'close - avg(close) OVER {L20}', f'stddev_samp(close) OVER {L20}', 1e-12)}, 0) ELSE 0 END", "quality": f"coalesce({s.clip('1 - abs(macro_spy_ret_1d) / 0.10', 0.5, 0.98)}, 0.7)",
+     "macro_regime_score": "least(greatest(0.55 * regime_score + 0.2 * tanh(coalesce(macro_spy_mom_20d, 0) / 0.1) - 0.15 * tanh((coalesce(volatility_instability_pressure, 0) - 1) / 0.4) - 0.1 * tanh(coalesce(cross_asset_pressure_index, 0) / 0.75), -1), 1)"},
+    {"macro_regime_label": "CASE WHEN macro_regime_score >= 0.45 THEN 'risk_on' WHEN macro_regime_score >= 0.15 THEN 'constructive' WHEN macro_regime_score > -0.15 THEN 'neutral' WHEN macro_regime_score > -0.45 THEN 'caution' ELSE 'risk_off' END"},
+]
+
+
+def scored_regimes(spark, sf_dir):
+    """The panel with its regimes, and a score per regime from the medians of its rows."""
     df = regime_panel(spark, sf_dir).withColumn("log_return_1d", c.change("close"))
     df = df.withColumns({"realized_vol_20": c.std("log_return_1d", 20), "drawdown_60": c.div("close", c.high("close", 60)) - 1, "stretch": F.col("close") / F.col("_m") - 1})
-    return rounded(regimes.regime_scores(df), ["score"], ("regime",))
+    return df, regimes.regime_scores(df)
+
+
+def macro_scores(spark, sf_dir):
+    """The market instrument's overlay with the score of its regime at each date, to the macro score."""
+    df, scores = scored_regimes(spark, sf_dir)
+    own = df.where("ticker = '1'").join(scores, "regime", "left").select("date", F.coalesce("score", F.lit(0.0)).alias("regime_score"))
+    m = series.macro_overlay(bars(spark, sf_dir), "1", OTHERS).join(own, "date", "left")
+    return regimes.macro_score(m.withColumn("fallback", regimes.latest_z("close")), F.col("regime_score"))
 
 
-@add("fr02_fr04_macro_score")
+@add("fr02_fr04_macro_score", s.chain(f"{REG}, {MEDIANS}, rs AS (SELECT regime, {SCORE} AS score FROM m), rets AS (SELECT ticker, date, {CHG('close')} AS r FROM bars), spy AS (SELECT g1.ticker, date, close, coalesce(score, 0) AS regime_score FROM g1 LEFT JOIN rs ON rs.regime = g1.regime WHERE ticker = '1')", *MACRO, *MACRO_SCORES, start="spy", keys="date, macro_regime_label", out=["macro_regime_score", "fallback", "quality"]))
 def macro_context(spark, sf_dir):
-    m = series.macro_overlay(bars(spark, sf_dir), "1", {"tlt": "2", "hyg": "3", "lqd": "4", "vixy": "5"})
-    m = regimes.macro_score(m.withColumn("fallback", regimes.latest_z("close")), F.lit(0.25)).withColumn("quality", regimes.calibration_quality(F.abs("macro_spy_ret_1d")))
+    m = macro_scores(spark, sf_dir).withColumn("quality", regimes.calibration_quality(F.abs("macro_spy_ret_1d")))
     return rounded(m, ["macro_regime_score", "fallback", "quality"], ("date", "macro_regime_label"))
 
 
@@ -147,9 +172,10 @@ def macro_context(spark, sf_dir):
 def regime_summary(spark, sf_dir):
     """Signals of the latest row of each instrument, with market context, to scores, labels and commentary.
 
-    Market stress is the index's latest state, leaders and macro score come from
-    their own operators. No operator makes the sector's volatility probability
-    and risk multiplier; they are neutral.
+    An instrument's own signal is the score of its regime, market stress is the
+    index's latest state, leaders and macro score come from their own operators.
+    No operator makes the sector's volatility probability and risk multiplier,
+    in the method either: they are columns that a panel may bring, and neutral.
     """
     df = bars(spark, sf_dir, True)
     for step in (technicals.volatility, technicals.extremes, technicals.moving_averages, technicals.relative_strength, technicals.macd):
@@ -162,12 +188,13 @@ def regime_summary(spark, sf_dir):
     leaders = series.leader_scores(stressed, "IDX", joint=180).select("ticker", "vdce_leader_score")
     one = F.lit(1)
     market = stressed.where("ticker = 'IDX' and vdce_stress is not null").agg(F.max_by("vdce_state", "date").alias("vdce_market_state")).withColumn("_one", one)
-    macro = regimes.macro_score(series.macro_overlay(plain, "1", {"tlt": "2", "hyg": "3", "lqd": "4", "vixy": "5"}), F.lit(0.25))
-    macro = macro.agg(*[F.max_by(x, "date").alias(x) for x in ("macro_regime_score", "macro_regime_label")]).withColumn("_one", one)
+    panel, scores = scored_regimes(spark, sf_dir)
+    signals = u.keep_last(panel, ("ticker",), F.col("date")).join(scores, "regime", "left").select("ticker", F.col("score").alias("stock_regime_signal"))
+    macro = macro_scores(spark, sf_dir).agg(*[F.max_by(x, "date").alias(x) for x in ("macro_regime_score", "macro_regime_label")]).withColumn("_one", one)
     none = F.lit(None).cast("double")
-    last = last.join(sector, "sector", "left").join(leaders, "ticker", "left").withColumn("_one", one)
+    last = last.join(sector, "sector", "left").join(leaders, "ticker", "left").join(signals, "ticker", "left").withColumn("_one", one)
     last = last.join(F.broadcast(market), "_one", "left").join(F.broadcast(macro), "_one", "left")  # a row each
-    last = last.withColumns({"stock_regime_signal": F.tanh(F.col("ret_60d_back")), "vdce_signal": regimes.state_score(F.col("vdce_market_state")), "sector_vol_prob": none, "sector_risk_multiplier": none})
+    last = last.withColumns({"vdce_signal": regimes.state_score(F.col("vdce_market_state")), "sector_vol_prob": none, "sector_risk_multiplier": none})
     out = regimes.summary(last)
     keep = [f"regime_{h}d_{x}" for h in regimes.HORIZONS for x in ("label", "commentary")]
     return rounded(out, [f"regime_{h}d_{x}" for h in regimes.HORIZONS for x in ("score", "confidence")] + ["sector_signal", "vdce_signal", "macro_regime_score"], ("ticker", *keep))
@@ -308,11 +335,34 @@ def titles(spark, sf_dir):
     return text.distinct_titles(table(spark, sf_dir, "documents"), ("source",), "text", "doc_id").select("source", "doc_id")
 
 
-@add("x05_chunks")
+# Pieces follow from each other: each round takes the words that still fit from where the last one ended.
+CHUNKS = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, ws FROM w), c AS (SELECT doc_id, i, sum(length(ws[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM u),
+l AS (SELECT c.doc_id, list(upto::BIGINT ORDER BY i) AS ends, any_value(ws) AS ws FROM c JOIN w ON w.doc_id = c.doc_id GROUP BY c.doc_id),
+p AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS s, greatest(1, len(list_filter(ends, lambda e: e - 1 <= 1200)))::BIGINT AS e FROM l
+  UNION ALL SELECT p.doc_id, chunk + 1, e, greatest(e + 1, len(list_filter(ends, lambda x: x - 1 - ends[e] <= 1200)))::BIGINT FROM p JOIN l ON l.doc_id = p.doc_id WHERE chunk < 4 AND e < len(ws))
+SELECT p.doc_id, chunk::INT AS chunk, array_to_string(ws[s + 1 : e], ' ') AS text FROM p JOIN l ON l.doc_id = p.doc_id"""
+
+
+@add("x05_chunks", CHUNKS)
 def chunked(spark, sf_dir):
     return text.chunks(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@add("x05_udtf_chunks", CHUNKS)
+def chunked_by_table_function(spark, sf_dir):
+    tables.register(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("quillon_documents")
+    return spark.sql("SELECT * FROM text_chunks(TABLE(quillon_documents), 'doc_id', 'text', 1200, 5)")
+
+
+@add("x09_s17_scorer_plug_in", f"WITH {TITLES} SELECT conv_id, turn, {R('CASE WHEN len(string_split(lower(t), chr(32))) >= 3 THEN score END')} AS model, {R('CASE WHEN len(string_split(lower(t), chr(32))) >= 3 THEN 0.75 * score + 0.25 * (turn % 3 - 1) / 2.0 ELSE (turn % 3 - 1) / 2.0 END')} AS blend FROM p2")
+def scorer_plug_in(spark, sf_dir):
+    """A scorer named at run time, blended with a heuristic that stands alone where it has no value."""
+    df = scorers.scored(table(spark, sf_dir, "conversations"), "hint_words", out="model", least=3)
+    return rounded(df.withColumn("blend", text.blended(F.col("model"), (F.col("turn") % 3 - 1) / 2, 0.75)), ["model", "blend"], ("conv_id", "turn"))
+
+
 @add("x06_x07_w31_management_tone")
 def management(spark, sf_dir):
     """Two sections per filing from a conversation's user and assistant turns; change against the filing before."""
@@ -327,13 +377,37 @@ def management(spark, sf_dir):
     return rounded(out, ["management_tone_score", "forward_looking_ratio", "avg_sentence_length", "blend", "management_tone_score_delta", "forward_looking_ratio_delta"], ("conv_id",))
 
 
-@add("x08_t09_a27_s18_filings", "SELECT c_custkey::VARCHAR AS ticker, '2024-02-20' AS filed_at, '8-K/A' AS form_type, 'https://x/' || c_custkey AS link, 2 AS filings_30d FROM customer")
+FILED = """f AS (SELECT o_custkey::VARCHAR AS ticker, o_orderkey AS id, o_orderdate::DATE AS d, CASE o_orderkey % 3 WHEN 0 THEN '8-K' WHEN 1 THEN '8-K/A' ELSE '10-Q' END AS form_type,
+  CASE o_orderkey % 4 WHEN 0 THEN '2.02, 9.01' WHEN 1 THEN '2-02;5.02' WHEN 2 THEN '202' ELSE '8.01' END AS items, CASE WHEN o_orderkey % 2 = 0 THEN 'https://x/' || o_orderkey END AS details, CASE WHEN o_orderkey % 5 = 0 THEN 'h' || o_orderkey END AS html, 't' || o_orderkey AS txt FROM orders)"""
+
+
+def filing_rows(spark, sf_dir):
+    """Orders as filings: forms, items in several spellings and links follow from the key, dates are the orders'."""
+    k = F.col("o_orderkey")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    key = k.cast("string")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("ticker"), k.alias("filing_id"), F.to_date("o_orderdate").alias("filed_at"), pick(3, "8-K", "8-K/A", "10-Q").alias("form_type"), pick(4, "2.02, 9.01", "2-02;5.02", "202", "8.01").alias("items"),
+        F.when(k % 2 == 0, F.concat(F.lit("https://x/"), key)).alias("link_details"), F.when(k % 5 == 0, F.concat(F.lit("h"), key)).alias("link_html"), F.concat(F.lit("t"), key).alias("link_txt"),
+    )
+
+
+ASOF = "1997-06-30"
+
+
+@add("x08_t09_a27_s18_filings", f"""WITH {FILED}, h AS (SELECT *, d <= DATE '{ASOF}' AND form_type LIKE '8-K%' AND id % 4 <> 3 AS hit, DATE '{ASOF}' - d BETWEEN 0 AND 90 AS recent FROM f)
+SELECT ticker, max(d) FILTER (hit) AS filed_at, arg_max(form_type, row(d, id)) FILTER (hit) AS form_type, arg_max(coalesce(details, html, txt), row(d, id)) FILTER (hit) AS link, arg_max(items, row(d, id)) FILTER (hit) AS items,
+  count(*) FILTER (recent) AS filings_90d, count(*) FILTER (recent AND hit) AS hits_90d FROM h GROUP BY ticker""")
 def filings(spark, sf_dir):
-    key = F.col("c_custkey").cast("string")
-    one = lambda at, form, link: F.struct(F.lit(at).alias("filedAt"), F.lit(form).alias("formType"), F.lit("2.02, 9.01").alias("items"), link.alias("linkToFilingDetails"), F.lit(None).cast("string").alias("linkToHtml"), F.lit("t").alias("linkToTxt"))
-    none = F.lit(None).cast("string")
-    df = table(spark, sf_dir, "customer").select(key.alias("ticker"), F.lit("2024-03-01").cast("date").alias("asof"), F.array(one("2024-01-05", "8-K", none), one("2024-02-20", "8-K/A", F.concat(F.lit("https://x/"), key)), one("2024-02-25", "10-Q", none)).alias("filings"))
-    return text.latest_filing(df, "8-K")
+    """The newest current report that names results of operations (item 2.02, however it is spelled)."""
+    return text.newest_filings(filing_rows(spark, sf_dir), "8-K", F.lit(ASOF).cast("date"), ("2.02",), 90)
+
+
+@add("x08_udtf_latest_filings", f"WITH {FILED}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC, id) AS seen FROM f) SELECT ticker, id AS filing_id, d AS filed_at, form_type, seen::INT AS seen FROM n WHERE form_type LIKE '8-K%' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY seen) = 1")
+def filings_by_table_function(spark, sf_dir):
+    tables.register(spark)
+    filing_rows(spark, sf_dir).select("ticker", "filing_id", "filed_at", "form_type").createOrReplaceTempView("quillon_filings")
+    return spark.sql("SELECT * FROM latest_filings(TABLE(quillon_filings) PARTITION BY ticker ORDER BY (filed_at DESC, filing_id), '8-K')")
 
 
 @add("j01_j02_j03_json_replies", "SELECT event_id, user_id::VARCHAR AS ticker, round(value, 6) AS sentiment, 2 AS n_themes FROM events")

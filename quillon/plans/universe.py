@@ -79,10 +79,15 @@ def spot(spark, sf_dir):
     return rounded(out, ["spot"], ("id", "source"))
 
 
-@add("s23_business_days", "SELECT d::DATE AS date FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6")
+@add("s23_business_days", "WITH o AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT min(d) AS a, max(d) AS b FROM o), c AS (SELECT unnest(range(a, b + 1, INTERVAL 1 DAY))::DATE AS date FROM e) SELECT date, (row_number() OVER (ORDER BY date) - 1)::INT AS since_first, coalesce(n, 0) AS orders FROM c LEFT JOIN o ON o.d = c.date WHERE isodow(date) < 6")
 def calendar(spark, sf_dir):
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-02-29").cast("date"))).alias("date"))
-    return days.where(F.weekday("date") < 5)
+    """Week days from the first order's day to the last's, numbered, with the orders of each."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("orders"))
+    ends = orders.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    days = ends.select("first", F.explode(F.sequence("first", "last")).alias("date")).where(F.weekday("date") < 5)
+    # Week days since the first one, which need not be the first order's day.
+    before = u.business_days(F.col("first"), F.col("date"))
+    return days.join(orders, "date", "left").select("date", before.alias("since_first"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 @add("s24_u03_clean_tickers", "SELECT DISTINCT upper(trim(p_brand)) AS ticker FROM part WHERE trim(p_brand) <> ''")
@@ -150,9 +155,10 @@ def first_tickers(spark, sf_dir):
     return rounded(b.join(few, "ticker", "left_semi"), ["close"])
 
 
-@add("t08_hash_sample")
+@add("t08_hash_sample", "SELECT p_partkey, md5('42|' || p_partkey) AS h FROM part ORDER BY h, p_partkey LIMIT 250")
 def sample(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.xxhash64(F.lit(42), "p_partkey").alias("h")).orderBy("h", "p_partkey").limit(250)
+    """The first rows by a hash with a seed: a sample that any engine repeats."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.md5(F.concat(F.lit("42|"), F.col("p_partkey").cast("string"))).alias("h")).orderBy("h", "p_partkey").limit(250)
 
 
 @add("f02_f03_f04_clean_keys", "SELECT upper(trim(c_name)) AS ticker, try_cast(substr(c_name, 10) AS DOUBLE) AS number FROM customer WHERE trim(c_name) <> ''")

@@ -8,6 +8,8 @@ from quillon.plans import catalog
 from tests.compare import assert_same
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
+TRAINED = {"m06_m07_fold_metrics", "k07_training_report", "k07_m07_mean_importance", "k07_prediction_bands", "k07_m08_fold_ensemble"}
+FITTED = TRAINED | {"m01_mixture_regimes", "m01_mixture_grid", "m03_fx09_expanding_regimes", "m07_m09_f24_classifier", "m07_importance"}
 
 
 def test_oracles_belong_to_queries():
@@ -19,7 +21,7 @@ def test_against_sql(spark, sf_dir, name):
     assert_same(QUERIES[name](spark, sf_dir), ORACLES[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"m01_mixture_regimes", "m03_fx09_expanding_regimes", "m07_m09_f24_classifier", "m07_importance"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - FITTED))
 def test_rows_only(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.count() > 0
@@ -36,9 +38,22 @@ def test_models(spark, name):
 
 
 def test_regimes_use_all_numbers_of_components(spark, sf_dir):
-    """BIC chooses 6 here, of 3 to 6."""
+    """The labels are those of the number of components with the least BIC, of 3 to 6."""
+    grid = {r.components: r for r in QUERIES["m01_mixture_grid"](spark, sf_dir).collect()}
+    assert set(grid) == {3, 4, 5, 6}
+    chosen = min(grid, key=lambda k: grid[k].bic)
+    assert [k for k in grid if grid[k].chosen] == [chosen]
     labels = QUERIES["m01_mixture_regimes"](spark, sf_dir).select("gmm_regime_label").distinct().collect()
-    assert {r.gmm_regime_label for r in labels} == {None, *range(6)}
+    assert {r.gmm_regime_label for r in labels} <= {None, *range(chosen)}
+
+
+def test_training_queries_share_their_fits(spark):
+    found = {name: QUERIES[name](spark, "/root/testdata/sf0.01").collect() for name in sorted(TRAINED)}
+    fits = [r for r in found["m06_m07_fold_metrics"] if r.status == "fitted"]
+    assert fits and all(r.trees < r.most_trees and 0.5 < r.auc < 1 and 0 < r.brier < 0.25 for r in fits)
+    assert {r.target for r in found["k07_training_report"]} == {"target_up_4d", "target_gain_5"}
+    assert sum(r["rows"] for r in found["k07_prediction_bands"]) == sum(r.validation_rows for r in fits)
+    assert all(0 <= r.ensemble_p <= 1 for r in found["k07_m08_fold_ensemble"])
 
 
 def test_expanding_regimes_use_the_least_training_of_the_method(spark, sf_dir):

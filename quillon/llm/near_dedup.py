@@ -212,7 +212,7 @@ def estimated(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
     names = ["n", *[f"s{k}" for k in range(s.planes)]]
     x = heads.select(F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in names])
     y = heads.select(F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in names])
-    return pairs.join(x, "a").join(y, "b").where(alike("x", "y", s)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(alike("x", "y", s)).select(pairs.columns)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def candidates(g: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a bucket's two blocks (or one with itself) that are of different components and may be similar enough by :func:`alike`'s rule.
+    """Pairs of rows of a bucket's two blocks (or one with itself) that are of different components, may be similar enough by :func:`alike`'s rule, and weren't ``tried``.
 
     A pair belongs to the first bucket that it shares.
     """
@@ -270,13 +270,20 @@ def candidates(g: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     bands = matrix(g.column("bands"), s.bands)
     first = (bands[a] == bands[b]).argmax(1)
     mine = bands[a, first] == g.column("key")[0].as_py()
-    return a[mine], b[mine]
+    a, b = a[mine], b[mine]
+    tried = [frozenset(x or ()) for x in g.column("tried").to_pylist()]
+    if any(tried):
+        ids = g.column("id").to_pylist()
+        new = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if ids[y] not in tried[x] and ids[x] not in tried[y]]
+        a, b = a[new], b[new]
+    return a, b
 
 
 def within_buckets(open_: DataFrame, docs: DataFrame, id_col: str, text: str, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between components within buckets, and the rows that were looked at for them.
 
-    ``open_`` has a row per class and bucket, with the bucket's ``size``. A bucket
+    ``open_`` has a row per class and bucket, with the bucket's ``size`` and the
+    classes that it has been ``tried`` with. A bucket
     is divided into blocks of about ``block`` classes, and two blocks at a time
     meet in one task, so that a class costs a row for each block, never for each
     partner. First by signatures alone, which leaves the classes that have a
@@ -285,9 +292,9 @@ def within_buckets(open_: DataFrame, docs: DataFrame, id_col: str, text: str, s:
     """
     n = F.ceil(F.col("size") / s.block)
     own = F.pmod(F.xxhash64("id"), n).alias("own")
-    rows = open_.select("key", "id", "component", "n", F.array(*[f"s{k}" for k in range(s.planes)]).alias("sig"), "bands", own, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    rows = open_.select("key", "id", "component", "n", F.array(*[f"s{k}" for k in range(s.planes)]).alias("sig"), "bands", "tried", own, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
     keys = ("key", "i", "j")
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands", "tried")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys)
@@ -351,24 +358,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = written(buckets.select("key", "id").join(degree, "id"))
 
-    links, tried, parts = None, None, None
+    none = heads.sparkSession.createDataFrame([], "a long, b long")
+    links, tried, parts = none, none.withColumn("low", F.lit(None).cast("boolean")), None
     for k in range(s.rounds):
         placed = placed_in(ranked, parts, ["degree"])
         # Later centres come from the smallest component, most often the largest in the bucket: only what is outside it is paired.
         order = F.struct("degree", "id") if k == 0 else F.struct(-F.col("component"), F.xxhash64(F.lit(k), "id"), "id")
         centre = open_keys(placed, F.max_by(F.struct("id", "component"), order).alias("c"))
         stars = placed.join(centre, "key").where(F.col("component") != F.col("c.component")).select(F.col("id").alias("x"), F.col("c.id").alias("y"))
-        stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
+        # ``low``: the smaller id is that of the class, not of the centre.
+        stars = stars.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.col("x") < F.col("y")).alias("low"))
+        if k:
             stars = stars.join(tried, ["a", "b"], "left_anti")
         close = written(estimated(stars, heads, s))
         found = written(confirmed(close, docs, id_col, text, s))
-        tried = close if tried is None else tried.unionByName(close)
-        links = found if links is None else links.unionByName(found)
+        tried = tried.unionByName(close) if k else close
+        links = links.unionByName(found) if k else found
         parts = written(components(links))
 
     placed = placed_in(ranked, parts, [])
     open_ = placed.join(open_keys(placed, F.count("*").alias("size")), "key").join(heads, "id")
+    # A class has at most one centre in a bucket and round, so that its list has a bound; a centre's would have none.
+    own, other = F.when(F.col("low"), F.col("a")).otherwise(F.col("b")), F.when(F.col("low"), F.col("b")).otherwise(F.col("a"))
+    open_ = open_.join(tried.groupBy(own.alias("id")).agg(F.collect_set(other).alias("tried")), "id", "left")
     more, _ = within_buckets(open_, docs, id_col, text, s)
     joined = components(written(links.unionByName(more)))
     found = member.join(joined, member["class"] == joined["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "class").alias("component_id"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import columns as c
+from quillon.operators.quantiles import exact_quantiles
+from quillon.sources import sinks
 
 HORIZONS = (20, 60, 90)
 #: Scores of market stress states, and weights of the signals by horizon.
@@ -44,8 +47,19 @@ def rank_all(x: str) -> Column:
 
 
 def regime_scores(df: DataFrame, regime: str = "regime") -> DataFrame:
-    """(regime, ``score``): ranks of four medians, blended; higher volatility ranks lower. A row per regime."""
-    medians = df.where(F.col(regime).isNotNull()).groupBy(regime).agg(*[F.coalesce(F.median(x), F.lit(0.0)).alias(f"m_{x}") for x in ("log_return_1d", "realized_vol_20", "drawdown_60", "stretch")]).withColumn("_one", F.lit(1))
+    """(regime, ``score``): ranks of four medians, blended; higher volatility ranks lower. A row per regime.
+
+    Medians are exact and found by brackets, all of them in the same passes, so
+    that no task holds a regime's values. Regimes are few; their list reaches the driver.
+    """
+    names = ("log_return_1d", "realized_vol_20", "drawdown_60", "stretch")
+    known = sinks.stored(df.where(F.col(regime).isNotNull()).select(regime, *names))
+    found = [r[0] for r in known.select(regime).distinct().orderBy(regime).collect()]
+    each = known.select(*[F.when(F.col(regime) == r, F.col(x)).alias(f"_{k}_{x}") for k, r in enumerate(found) for x in names])
+    q = exact_quantiles(each, {x: [0.5] for x in each.columns}) if found else {}
+    rows = [(r, *[q[f"_{k}_{x}"][0] or 0.0 for x in names], 1) for k, r in enumerate(found)]
+    schema = T.StructType([df.schema[regime], *[T.StructField(f"m_{x}", T.DoubleType()) for x in names], T.StructField("_one", T.IntegerType())])
+    medians = df.sparkSession.createDataFrame(rows, schema)
     blend = 0.35 * rank_all("m_log_return_1d") + 0.25 * (1 - rank_all("m_realized_vol_20")) + 0.25 * rank_all("m_drawdown_60") + 0.15 * rank_all("m_stretch")
     return medians.select(regime, ((blend - 0.5) * 2).alias("score"))
 

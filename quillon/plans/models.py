@@ -234,4 +234,10 @@ def stream_sessions(spark, sf_dir):
     return out.withColumn("total", F.round("total", 6))
 
 
+@add("stream_streaks", "WITH e AS (SELECT *, lag(value) OVER w AS p, ts - lag(ts) OVER w > INTERVAL 12 HOUR AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), f AS (SELECT *, p IS NOT NULL AND NOT pause AND value > p AS rises, p IS NOT NULL AND NOT pause AND value < p AS falls FROM e), g AS (SELECT *, sum((NOT rises)::INT) OVER w AS a, sum((NOT falls)::INT) OVER w AS b FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, ts, (sum(rises::INT) OVER (PARTITION BY user_id, a ORDER BY ts, event_id))::INT AS up, (sum(falls::INT) OVER (PARTITION BY user_id, b ORDER BY ts, event_id))::INT AS down FROM g")
+def stream_streaks(spark, sf_dir):
+    """Rises and falls in a row of each user, counted by a stateful stream with timers."""
+    return drained(streaming.streaks(streaming.event_stream(spark, f"{sf_dir}/events.parquet*")))
+
+
 QUERIES, ORACLES = Q, O

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillon.functions import columns as c
 from quillon.operators.ewm import ewm
+from quillon.sources import sinks
 
 OU_FEATURES = ("log_close", "volume_robust_z", "trade_size_robust_z", "garman_klass_var_1d")
 OU_WINDOWS = (21, 63, 126)
@@ -109,16 +110,21 @@ def leader_scores(stressed: DataFrame, index: str, lags: tuple[int, int] = (5, 1
 
     The index is one series; its join is by date.
     """
+    # Read three times below; storing it saves the windows and the scan behind it.
+    stressed = sinks.stored(stressed.select("ticker", "date", "vdce_stress", "vdce_event_up"))
     events = stressed.where(F.col("ticker") == index).select("date", F.col("vdce_event_up").cast("double").alias("_event"))
     own = stressed.where(F.col("ticker") != index).withColumn("_days", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("_days") >= days)
     both = own.where("vdce_stress is not null").join(events, "date").withColumn("_joint", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("_joint") >= joint)
-    each = [F.struct(F.lit(k).alias("lag"), c.lag("vdce_stress", k).alias("x")) for k in range(lags[0], lags[1] + 1)]
-    long = both.withColumn("_lags", F.array(*each)).select("ticker", "_event", F.explode("_lags").alias("l")).where("l.x is not null")
+    steps = range(lags[0], lags[1] + 1)
+    both = both.withColumns({f"_x{k}": c.lag("vdce_stress", k) for k in steps})
+    sums = []
+    for k in steps:
+        x, e = F.col(f"_x{k}"), F.when(F.col(f"_x{k}").isNotNull(), F.col("_event"))
+        sums += [F.count(x).alias(f"n{k}"), F.covar_pop(x, e).alias(f"cov{k}"), F.stddev_pop(x).alias(f"a{k}"), F.stddev_pop(e).alias(f"b{k}")]
+    per = both.groupBy("ticker").agg(*sums)
     # From moments, as a constant side has no correlation.
-    per = long.groupBy("ticker", "l.lag").agg(F.count("*").alias("n"), F.covar_pop("l.x", "_event").alias("cov"), F.stddev_pop("l.x").alias("a"), F.stddev_pop("_event").alias("b")).where(F.col("n") >= least)
-    per = per.withColumn("r", F.when((F.col("a") >= TINY) & (F.col("b") >= TINY), F.col("cov") / (F.col("a") * F.col("b"))))
-    known = own.select("ticker").distinct().join(both.select("ticker").distinct(), "ticker", "left_semi")
-    return known.join(per.groupBy("ticker").agg(F.avg("r").alias("vdce_leader_score")), "ticker", "left")
+    each = [F.when((F.col(f"n{k}") >= least) & (F.col(f"a{k}") >= TINY) & (F.col(f"b{k}") >= TINY), F.col(f"cov{k}") / (F.col(f"a{k}") * F.col(f"b{k}"))) for k in steps]
+    return per.select("ticker", c.mean_of(*each).alias("vdce_leader_score"))
 
 
 def residual_pressure(equity: DataFrame, proxies: DataFrame, labels: tuple[str, ...], z_window: int = 20, beta_window: int = 60, threshold: float = 2.0) -> DataFrame:

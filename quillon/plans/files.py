@@ -82,15 +82,29 @@ def rewrite(spark, sf_dir):
 
 @add("s05_s20_f30_raw_folder", f"{B} SELECT ticker, date, {R('close')} AS close, {R('volume')} AS volume FROM bars")
 def raw_folder(spark, sf_dir):
-    """The first folder that there is; its files have other names for the columns."""
+    """The first folder that there is: a file per instrument, whose name is its ticker, with other names for the columns, and one that is corrupt."""
     path = sinks.scratch(spark)
-    raw = bars(spark, sf_dir).select(F.col("ticker").alias("Ticker"), F.col("date").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
-    sinks.parquet(raw, path)
-    if files.first_readable(spark, [f"{path}-none", path]) is None or files.unreadable(spark, [path]):
-        raise ValueError("the folder can't be read")
+    raw = bars(spark, sf_dir).select("ticker", F.col("date").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    files.instrument_files(raw, path)
+    where, root = files.opened(path)
+    with where.open_output_stream(f"{root}/broken.parquet") as f:
+        f.write(b"no parquet")
+    if files.first_readable(spark, [f"{path}-none", f"{path}/1.parquet"]) is None or [p for p, _ in files.unreadable(spark, [f"{path}/1.parquet", f"{path}/broken.parquet"])] != [f"{path}/broken.parquet"]:
+        raise ValueError("the folder isn't as it was written")
     return rounded(files.raw_prices(spark, path), ["close", "volume"])
 
 
+@add("k03_upsert", f"{B} SELECT ticker, date, {R('CASE WHEN date >= DATE {0} AND ticker::INT % 2 = 0 THEN 2 * close ELSE close END'.format(chr(39) + '1998-01-01' + chr(39)))} AS close FROM bars")
+def upsert(spark, sf_dir):
+    """A history by date, of which some keys of the later dates come again."""
+    path, b = sinks.scratch(spark), bars(spark, sf_dir).select("ticker", F.trunc("date", "year").alias("year"), "date", "close")
+    keys = ("ticker", "date")
+    sinks.upsert(spark, b, path, keys, "year")
+    fresh = b.where("date >= '1998-01-01' and cast(ticker as int) % 2 = 0").withColumn("close", F.col("close") * 2)
+    sinks.upsert(spark, fresh, path, keys, "year")
+    return rounded(spark.read.parquet(path), ["close"])
+
+
 @add("s12_bars_from_json", f"{B} SELECT ticker, date, {R('close')} AS close, {R('vwap')} AS vwap, {R('transactions')} AS transactions FROM bars WHERE ticker::INT % 7 <> 0")
 def json_bars(spark, sf_dir):
     r = F.struct((F.unix_timestamp(F.col("date").cast("timestamp")) * 1000).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("vwap").alias("vw"), F.col("transactions").alias("n"))

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyarrow import parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +37,47 @@ def raw_prices(spark: SparkSession, folder: str, kind: str = "parquet") -> DataF
     return normalise_prices(df.withColumn("_file_name", stem(F.col("_metadata.file_path"))), F.upper(F.col("_file_name")))
 
 
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path and the path in it; one without a scheme is local."""
+    return arrow_fs.FileSystem.from_uri(path) if urlsplit(path).scheme else (arrow_fs.LocalFileSystem(), path)
+
+
 def unreadable(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """Paths whose footer can't be read, with the error's first line."""
-    found = []
-    for path in paths:
-        try:
-            spark.read.parquet(path).schema
-        except Exception as e:  # noqa: BLE001  any failure to read is the finding
-            found.append((path, str(e).splitlines()[0]))
-    return found
+    """Those of ``paths``, files or folders of files, whose footers can't be read, with the error's first line; tasks open them."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                try:
+                    where, own = opened(path)
+                    folder = where.get_file_info(own).type == arrow_fs.FileType.Directory
+                    names = [x.path for x in where.get_file_info(arrow_fs.FileSelector(own, recursive=True)) if x.is_file and x.base_name.endswith(".parquet")] if folder else [own]
+                    for name in names:
+                        parquet.read_metadata(name, filesystem=where)
+                except Exception as e:  # noqa: BLE001  any failure to read is the finding
+                    found.append((path, (str(e).splitlines() or [type(e).__name__])[0]))
+            yield pd.DataFrame(found, columns=["path", "error"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 200)))
+    return sorted(map(tuple, rows.mapInPandas(check, "path string, error string").collect()))
+
+
+def instrument_files(df: DataFrame, folder: str, ticker: str = "ticker") -> int:
+    """A Parquet file per instrument, named for it, without its column: the layout of a raw folder. Returns how many.
+
+    An instrument's rows meet in one task, as they do in one file.
+    """
+    rest = [x for x in df.columns if x != ticker]
+
+    def write(g: pd.DataFrame) -> pd.DataFrame:
+        where, root = opened(folder)
+        where.create_dir(root, recursive=True)
+        name = str(g[ticker].iloc[0])
+        parquet.write_table(pa.Table.from_pandas(g[rest], preserve_index=False), f"{root.rstrip('/')}/{name}.parquet", filesystem=where)
+        return pd.DataFrame([(name,)], columns=["name"])
+
+    return df.groupBy(ticker).applyInPandas(write, "name string").count()
 
 
 def csv_series(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

@@ -25,12 +25,13 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from quillon.sources.files import opened
+
 SCHEMA = "ticker string, page int, item int, result string, fetch_status string, retries int"
 
 
@@ -49,9 +50,7 @@ class PagedReader(DataSourceReader):
         self.most = int(options["most"]) if "most" in options else None
 
     def folder(self) -> tuple[arrow_fs.FileSystem, str]:
-        if urlsplit(self.path).scheme:
-            return arrow_fs.FileSystem.from_uri(self.path)
-        return arrow_fs.LocalFileSystem(), self.path
+        return opened(self.path)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:

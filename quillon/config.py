@@ -21,7 +21,6 @@ class Normalisation:
 
     lag: int = 2
     history: int = 60
-    volatility_window: int = 22
     volatility_floor: float = 0.005
     trailing: tuple[int, ...] = (5, 21, 63)
     forward: tuple[int, ...] = (20, 60, 90)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.config import Paths, UniverseThresholds
+from quillon.config import Normalisation, Paths, UniverseThresholds
 from quillon.operators import cross, models, regimes, series, shape, universe
 from quillon.sources import sinks
 
@@ -67,9 +67,21 @@ def regime_tables(panel: DataFrame, train_until: str, keep: Keep = shared, featu
     return {"gmm_regimes": labels, "regime_runs": runs, "regime_summary": keep("regime_summary", regimes.run_summary(runs, "gmm_regime_label")), "regime_transitions": keep("regime_transitions", regimes.transitions(labels, "gmm_regime_label"))}
 
 
-def normalised_panel(prices: DataFrame, x: str, least_price: float, least_volume: float, keep: Keep = shared) -> DataFrame:
+def normalised_panel(prices: DataFrame, x: str, least_price: float, least_volume: float, keep: Keep = shared, n: Normalisation = Normalisation()) -> DataFrame:
     """Lagged membership, and the sector rank and lagged z-score of ``x`` among members."""
-    return keep("normalised_panel", cross.lagged_normalised(cross.with_members(prices, least_price=least_price, least_volume=least_volume), x))
+    members = cross.with_members(prices, n.lag, least_price, least_volume, n.history)
+    return keep("normalised_panel", cross.lagged_normalised(members, x, n.deviations, n.least_members, n.norm_window, n.norm_least))
+
+
+def training_panel(prices: DataFrame, horizons: tuple[int, ...], keep: Keep = shared, n: Normalisation = Normalisation()) -> DataFrame:
+    """Targets of each horizon, and sector z-scores and ranks of trailing returns over volatility, what :func:`quillon.operators.training.train` takes."""
+    df = cross.institutional(prices, n.trailing, n.forward, n.lag, n.history, n.volatility_floor)
+    for h in n.trailing:
+        df = cross.sector_normalised(df, f"ret_{h}d_voladj", n.deviations, n.least_members)
+    for h in horizons:
+        df = df.drop(f"fwd_ret_{h}d")
+        df = models.targets(df, h, ())
+    return keep("training_panel", df)
 
 
 def panel(sources: list[DataFrame], master: DataFrame, limits: UniverseThresholds, today: str, train_until: str, keep: Keep = shared) -> dict[str, DataFrame]:

@@ -56,3 +56,14 @@ def test_whole_chain(spark):
     assert rows.where("in_universe and log_return_1d_pctrank between 0 and 1").count() > 0
     assert rows.where("log_return_1d_zscore is not null and not in_universe").count() == 0
     assert rows.where("gmm_regime_label is not null").count() > 0
+
+
+def test_training_panel_has_targets_and_features(spark):
+    from quillon.operators.models import pattern_features
+    from quillon.sources.panels import bars
+
+    df = jobs.training_panel(bars(spark, "/root/testdata/sf0.01", sectors=True), (4, 13))
+    assert {"target_up_4d", "target_up_13d"} <= set(df.columns)
+    assert pattern_features(df.columns) == [f"ret_{h}d_voladj_{k}" for h in (5, 21, 63) for k in ("zscore", "pctrank")]
+    row = df.selectExpr("count(target_up_13d) AS n", "count(target_up_4d) AS m", "count(ret_5d_voladj_zscore) AS z").first()
+    assert 0 < row.n < row.m and row.z > 0

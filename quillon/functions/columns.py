@@ -193,3 +193,14 @@ def group_median(x: Column | str, *by: str) -> Column:
 
 def nonzero(x: Column | str) -> Column:
     return F.nullif(col(x), F.lit(0.0))
+
+
+def money(x: Column | str) -> Column:
+    """``$1,234``: whole dollars, towards zero, the sign before them."""
+    x = col(x)
+    return F.concat(F.when(x <= -1, "-$").otherwise("$"), F.format_number(F.floor(F.abs(x)), 0))
+
+
+def file_name(x: Column | str, most: int = 120) -> Column:
+    """A text as a file's name: runs of characters other than letters, digits, dot, dash and underscore become one underscore, none at the ends."""
+    return F.left(F.regexp_replace(F.regexp_replace(col(x), r"[^A-Za-z0-9._-]+", "_"), r"^[_.]+|_+$", ""), F.lit(most))

@@ -149,4 +149,10 @@ def scorer_blend(spark, sf_dir):
     return rounded(table(spark, sf_dir, "events").withColumn("score", text.blended(model, F.sin("value"), 0.75)), ["score"], ("event_id",))
 
 
+@add("x_money_and_file_names", r"SELECT c_custkey, CASE WHEN c_acctbal <= -1 THEN '-$' ELSE '$' END || format('{:,}', floor(abs(c_acctbal))::BIGINT) AS balance, left(regexp_replace(regexp_replace(c_name || ' / ' || c_mktsegment || '?', '[^A-Za-z0-9._-]+', '_', 'g'), '^[_.]+|_+$', '', 'g'), 120) AS file FROM customer")
+def labels(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    return df.select("c_custkey", c.money("c_acctbal").alias("balance"), c.file_name(F.concat("c_name", F.lit(" / "), "c_mktsegment", F.lit("?"))).alias("file"))
+
+
 QUERIES, ORACLES = Q, O

@@ -365,14 +365,14 @@ def scorer_plug_in(spark, sf_dir):
 
 TONES = ("tone_score", "guidance_signal", "hedge_density", "uncertainty_density", "forward_looking_ratio", "avg_sentence_length")
 TURN_TONE = TONE.replace("SELECT doc_id,", "SELECT conv_id, role,").replace("FROM documents", "FROM conversations")
-SIDES = {"earnings": "user", "mdna": "assistant"}
+SECTIONS = {"earnings": "user", "mdna": "assistant"}
 CAP = lambda x: f"least(1, (earnings_{x} + mdna_{x}) / 40)"
 
 
 @add("x06_x07_w31_management_tone", f"""WITH {TURN_TONE},
 t4 AS (SELECT conv_id, role, guidance_signal, hedge_density, uncertainty_density, CASE WHEN t = '' THEN 0 ELSE least(greatest((pos - neg) / greatest(pos + neg, 1)::DOUBLE - least(0.35, hedge_density / 100 + uncertainty_density / 80) + 0.2 * guidance_signal, -1), 1) END AS tone_score,
   CASE WHEN t = '' THEN 0 WHEN forward + backward > 0 THEN forward / (forward + backward)::DOUBLE ELSE 0.5 END AS forward_looking_ratio, CASE WHEN sn > 0 THEN n / sn::DOUBLE ELSE 0 END AS avg_sentence_length FROM t3),
-p AS (SELECT conv_id, {", ".join(f"coalesce(avg({x}) FILTER (role = '{r}'), 0) AS {k}_{x}" for k, r in SIDES.items() for x in TONES)} FROM t4 GROUP BY conv_id),
+p AS (SELECT conv_id, {", ".join(f"coalesce(avg({x}) FILTER (role = '{r}'), 0) AS {k}_{x}" for k, r in SECTIONS.items() for x in TONES)} FROM t4 GROUP BY conv_id),
 m AS (SELECT conv_id, least(greatest(0.45 * mdna_tone_score + 0.35 * earnings_tone_score + 0.2 * earnings_guidance_signal - 0.1 * {CAP("uncertainty_density")} - 0.1 * {CAP("hedge_density")}, -1), 1) AS score, 0.6 * mdna_forward_looking_ratio + 0.4 * earnings_forward_looking_ratio AS ahead,
   CASE WHEN mdna_avg_sentence_length > 0 AND earnings_avg_sentence_length > 0 THEN 0.6 * mdna_avg_sentence_length + 0.4 * earnings_avg_sentence_length ELSE greatest(mdna_avg_sentence_length, earnings_avg_sentence_length) END AS length FROM p)
 SELECT conv_id, {R("score")} AS management_tone_score, {R("ahead")} AS forward_looking_ratio, {R("length")} AS avg_sentence_length, {R("score")} AS blend, {R("score - lag(score) OVER w")} AS management_tone_score_delta, {R("ahead - lag(ahead) OVER w")} AS forward_looking_ratio_delta FROM m WINDOW w AS (PARTITION BY conv_id % 20 ORDER BY conv_id)""")

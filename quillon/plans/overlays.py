@@ -415,6 +415,17 @@ def filings(spark, sf_dir):
     return text.newest_filings(filing_rows(spark, sf_dir), "8-K", F.lit(ASOF).cast("date"), ("2.02",), 90)
 
 
+@add("x08_s18_section_requests", f"""WITH {FILED}, h AS (SELECT * FROM f WHERE DATE '{ASOF}' - d BETWEEN 0 AND 400 AND ticker::INT % 5 <> 0),
+e AS (SELECT ticker, max(d) AS d, arg_max(form_type, row(d, id)) AS form_type, arg_max(coalesce(details, html, txt), row(d, id)) AS link FROM h WHERE form_type LIKE '8-K%' AND id % 4 <> 3 GROUP BY ticker),
+p AS (SELECT ticker, max(d) AS d, arg_max(form_type, row(d, id)) AS form_type, arg_max(coalesce(details, html, txt), row(d, id)) AS link FROM h WHERE form_type = '10-Q' GROUP BY ticker)
+SELECT ticker, 'earnings' AS section, d AS filed_at, form_type, '2-2' AS item, link FROM e UNION ALL SELECT ticker, s, d, form_type, i, link FROM p, (VALUES ('mdna', 'part1item2'), ('risk', 'part2item1a')) v(s, i)""")
+def section_requests(spark, sf_dir):
+    """Sections to fetch for a day; a fifth of the instruments was fetched by a run before."""
+    rows, day = filing_rows(spark, sf_dir), F.lit(ASOF).cast("date")
+    cached = rows.where("cast(ticker as int) % 5 = 0").select("ticker", day.alias("asof"))
+    return text.section_requests(rows, day, 400, cached)
+
+
 @add("x08_udtf_latest_filings", f"WITH {FILED}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC, id) AS seen FROM f) SELECT ticker, id AS filing_id, d AS filed_at, form_type, seen::INT AS seen FROM n WHERE form_type LIKE '8-K%' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY seen) = 1")
 def filings_by_table_function(spark, sf_dir):
     tables.register(spark)

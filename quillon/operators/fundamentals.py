@@ -54,11 +54,22 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("fund_garp_score", (1 - F.col("fund_value_composite")) * F.col("fund_growth_composite"))
 
 
-def compensation(df: DataFrame) -> DataFrame:
-    """Per company: total and mean pay, and the alignment score of the chief executive's equity share; 50 without one."""
+def compensation(df: DataFrame, order: str | None = None) -> DataFrame:
+    """Per company: total and mean pay, and the alignment score of the chief executive's equity share; 50 without one.
+
+    A share at a bound of the score falls on either side by the last bit of its
+    sums, and so by their order: with ``order``, a column that tells a company's
+    rows apart, they are added up in it, however the rows are dealt out.
+    """
     ceo = F.lower("position").rlike("chief executive|ceo")
     equity = c.zero("stock_awards") + c.zero("option_awards")
-    g = df.groupBy("ticker").agg(F.sum("total").alias("total_pay"), F.avg("total").alias("mean_pay"), F.sum(F.when(ceo, equity)).alias("_e"), F.sum(F.when(ceo, F.col("total"))).alias("_t"))
+    parts = {"total_pay": F.col("total"), "_e": F.when(ceo, equity), "_t": F.when(ceo, F.col("total"))}
+    if order is None:
+        g = df.groupBy("ticker").agg(*[F.sum(x).alias(k) for k, x in parts.items()], F.avg("total").alias("mean_pay"))
+    else:
+        w = Window.partitionBy("ticker").orderBy(order).rowsBetween(*c.ALL)
+        run = df.select("ticker", F.col(order).alias("_at"), *[F.sum(x).over(w).alias(k) for k, x in parts.items()], F.avg("total").over(w).alias("mean_pay"))
+        g = run.groupBy("ticker").agg(*[F.max_by(k, "_at").alias(k) for k in (*parts, "mean_pay")])
     r = c.div("_e", "_t")
     score = F.when(F.col("_t").isNull(), 50).when(r > 0.8, 98).when(r > 0.6, 92).when(r > 0.4, 80).when(r > 0.2, 60).otherwise(40)
     return g.select("ticker", "total_pay", "mean_pay", r.alias("equity_ratio"), score.alias("alignment_score"))

@@ -68,9 +68,16 @@ def regime_tables(panel: DataFrame, train_until: str, keep: Keep = shared, featu
 
 
 def normalised_panel(prices: DataFrame, x: str, least_price: float, least_volume: float, keep: Keep = shared, n: Normalisation = Normalisation()) -> DataFrame:
-    """Lagged membership, and the sector rank and lagged z-score of ``x`` among members."""
-    members = cross.with_members(prices, n.lag, least_price, least_volume, n.history)
-    return keep("normalised_panel", cross.lagged_normalised(members, x, n.deviations, n.least_members, n.norm_window, n.norm_least))
+    """Lagged membership, and the sector rank and lagged z-score of ``x`` among members.
+
+    The windows ship only what they read; the panel's other columns, a hundred and more, meet their results in one join.
+    """
+    narrow = prices.select(*dict.fromkeys(("ticker", "date", "sector", "close", "volume", x)))
+    members = cross.with_members(narrow, n.lag, least_price, least_volume, n.history)
+    made = cross.lagged_normalised(members, x, n.deviations, n.least_members, n.norm_window, n.norm_least)
+    made = sinks.stored(made.drop(*[y for y in narrow.columns if y not in ("ticker", "date")]))
+    kept = [y for y in prices.columns if y in ("ticker", "date") or y not in made.columns]
+    return keep("normalised_panel", prices.select(*kept).join(made, ["ticker", "date"], "left"))
 
 
 def training_panel(prices: DataFrame, horizons: tuple[int, ...], keep: Keep = shared, n: Normalisation = Normalisation()) -> DataFrame:

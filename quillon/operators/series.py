@@ -59,30 +59,40 @@ def mean_reversion(df: DataFrame, features: tuple[str, ...] = OU_FEATURES, windo
 
     Outputs are NULL unless the coefficient lies in (0, 1). Gaps are closed
     within a window, which no frame expresses: one Arrow pass per instrument
-    fits all features and windows.
+    fits all features and windows. It takes the rows' differences, too, as a
+    window after it would sort and ship the many columns that it makes.
     """
     df = df.withColumns({f"ou_source_{label}": x for label, x in map(ou_source, features)})
     labels = [label for label, _ in map(ou_source, features)]
     fits = [(label, n, [f"ou_{label}_{st}_{n}" for st in ("b", "mu", "sigma_eq", "r_squared")]) for label in labels for n in windows]
+    moves = {(label, n): [(v, f"ou_{label}_stretch_vel_{v}d_{n}") for v in (5, 10)] for label, n, _ in fits}
 
     def fold(g: pa.Table) -> pa.Table:
         g = g.sort_by("date")
+        late = []
         for label, n, names in fits:
             x = g.column(f"ou_source_{label}").to_numpy()
-            for name, y in zip(names, reversion_fits(x, n, least), strict=True):
+            found = reversion_fits(x, n, least)
+            for name, y in zip(names, found, strict=True):
                 g = g.append_column(name, pa.array(y, from_pandas=True))
+            stretch = np.full(len(x), np.nan)
+            np.divide(x - found[1], found[2], out=stretch, where=np.abs(found[2]) > TINY)
+            late.append((f"ou_{label}_stretch_{n}", stretch))
+            for v, name in moves[label, n]:
+                late.append((name, np.concatenate([np.full(min(v, len(x)), np.nan), stretch[v:] - stretch[:-v]])))
+        for name, y in late:
+            g = g.append_column(name, pa.array(y, from_pandas=True))
         return g
 
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for *_, names in fits for name in names]])
+    made = [name for *_, names in fits for name in names] + [name for label, n, _ in fits for name in (f"ou_{label}_stretch_{n}", *[x for _, x in moves[label, n]])]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in made]])
+    before = df.columns
     df = df.groupBy("ticker").applyInArrow(fold, schema)
-    out = {}
-    for label in labels:
-        for n in windows:
-            name = f"ou_{label}_{{}}_{n}"
-            stretch = c.div(F.col(f"ou_source_{label}") - F.col(name.format("mu")), name.format("sigma_eq"), TINY)
-            out |= {name.format("half_life"): c.div(F.lit(math.log(2)), -F.ln(name.format("b"))), name.format("stretch"): stretch, name.format("valid"): stretch.isNotNull()}
-    df = df.withColumns(out)
-    return df.withColumns({f"ou_{label}_stretch_vel_{v}d_{n}": c.diff(f"ou_{label}_stretch_{n}", v) for label in labels for n in windows for v in (5, 10)})
+    out = [F.col(x) for x in before] + [F.col(name) for *_, names in fits for name in names]
+    for label, n, _ in fits:
+        name = f"ou_{label}_{{}}_{n}"
+        out += [c.div(F.lit(math.log(2)), -F.ln(name.format("b"))).alias(name.format("half_life")), F.col(name.format("stretch")), F.col(name.format("stretch")).isNotNull().alias(name.format("valid"))]
+    return df.select(*out, *[name for key in moves for _, name in moves[key]])
 
 
 def stress(df: DataFrame) -> DataFrame:

@@ -148,15 +148,18 @@ def numbered(w: WindowSpec | None = None) -> Column:
 
 
 def rank_share(x: Column | str, *by: str, descending: bool = False) -> Column:
-    """Average-method percentile rank of the non-null values within a group; NULL groups get NULL."""
+    """Average-method percentile rank of the non-null values within a group; NULL groups get NULL.
+
+    Rank, ties and the group's size are frames of one window, so that a rank costs one sort.
+    """
     x = col(x)
-    own, ties = Window.partitionBy(*by), Window.partitionBy(*by, x)
-    order = x.desc_nulls_last() if descending else x.asc_nulls_last()
-    rank = F.rank().over(own.orderBy(order)) + (F.count(F.lit(1)).over(ties) - 1) / 2
+    own = Window.partitionBy(*by).orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last())
+    ties = own.rangeBetween(Window.currentRow, Window.currentRow)
+    rank = F.rank().over(own) + (F.count(F.lit(1)).over(ties) - 1) / 2
     known = x.isNotNull()
     for b in by:
         known = known & F.col(b).isNotNull()
-    return F.when(known, rank / F.count(x).over(own))
+    return F.when(known, rank / F.count(x).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def group_z(x: Column | str, *by: str, least: int = 2) -> Column:

@@ -10,6 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task takes of an input, so that its sorts stay within memory however many instruments there are.
+ROWS_A_TASK = 200_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys``, in a number of tasks that grows with its rows; small tables get what the session sets.
+
+    The count reads a Parquet table's footers and the columns of its filters.
+    """
+    n = -(-df.count() // ROWS_A_TASK)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
 def reference_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(``ticker``, ``name``, ``market_cap``, ``industry``, ``sector``) of each supplier; nation and region have fixed, tiny sizes."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
@@ -18,11 +31,15 @@ def reference_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, sectors: bool = False) -> DataFrame:
-    """Weekly bars: one pre-aggregated shuffle by (ticker, date)."""
+    """Weekly bars, dealt out by instrument before they are made: the row windows over them stand on the same exchange and order.
+
+    An instrument's rows of a week lie far apart in the table, so that aggregating before the exchange would save next to nothing.
+    """
     l = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 0)  # noqa: E741
+    l = dealt(l.withColumns({"ticker": F.col("l_suppkey").cast("string"), "date": F.to_date(F.date_trunc("week", "l_shipdate"))}), "ticker")  # noqa: E741
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    out = l.groupBy(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
+    out = l.groupBy("ticker", "date").agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
         F.sum("l_quantity").alias("volume"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("vwap"), F.count("*").cast("double").alias("transactions"),
     )

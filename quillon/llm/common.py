@@ -81,7 +81,28 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that :func:`written` made, once nothing that is still to be computed reads them."""
+    for t in tables:
+        remove(t.sparkSession, t._written)
+
+
+def sifted(df: DataFrame, key: str, wanted: DataFrame, id_col: str, words: int = 1 << 18) -> DataFrame:
+    """The rows of ``df`` whose ``key``, a long, may be among ``wanted``'s: all that are, and few others.
+
+    Each wanted id sets one of 64 bits in one of ``words`` words, a table of
+    bounded size that is broadcast. So a join that needs few of many wide rows
+    shuffles few: of ids ``n``, one in ``64 * words / n`` others passes.
+    """
+    word = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(words))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.lit(1), F.col(c)), F.lit(64)).cast("int"))
+    marks = wanted.where(F.col(id_col).isNotNull()).groupBy(word(id_col).alias("_word")).agg(F.bit_or(bit(id_col)).alias("_bits"))
+    return df.join(F.broadcast(marks), (word(key) == F.col("_word")) & (F.col("_bits").bitwiseAND(bit(key)) != 0), "left_semi")
 
 
 def remove(spark: SparkSession, path: str) -> None:

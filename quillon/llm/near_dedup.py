@@ -31,10 +31,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, mixed, shingle_hashes, split_join, words, written
+from quillon.llm.common import WordHashes, dropped, mixed, shingle_hashes, sifted, split_join, words, written
 from quillon.llm.components import components
 
 
@@ -142,40 +142,46 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, shingles binary")
 
 
-def planes(sig: str, s: Settings) -> list[Column]:
-    return [F.get(sig, F.lit(k)).alias(f"s{k}") for k in range(s.planes)]
+def texts_of(docs: DataFrame, id_col: str, text: str, ids: DataFrame) -> DataFrame:
+    """``_id`` and the text of each of ``ids`` (``id``, once each). Only texts that may be asked for are shuffled."""
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text)
+    return sifted(texts, "_id", ids, "id").join(ids, F.col("_id") == F.col("id"), "left_semi").dropDuplicates(["_id"])
 
 
-def alike(x: str, y: str, s: Settings) -> Column:
-    """Whether two classes, columns ``{x}n``, ``{x}s0`` ... and ``{y}n``, ``{y}s0`` ..., may be similar enough.
+def planes(column: pa.Array, s: Settings) -> np.ndarray:
+    """Signatures by row, word of 64 bins, and bit."""
+    return matrix(column, s.planes).view(np.uint64).reshape(len(column), s.bins // 64, s.bits)
+
+
+def alike(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
+    """Whether classes of ``n`` and ``m`` shingles with signatures ``x`` and ``y``, broadcast against each other, may be similar enough.
 
     Of ``used`` bins that either fills, ``equal`` agree; of the ``both`` that both
     fill, the share ``chance`` of those that don't come from one shingle agrees as
     well. The bins are a sample without replacement of the union, whose size the
     two set sizes give at the threshold.
     """
+    used = both = equal = np.int64(0)
+    for w in range(s.bins // 64):
+        fill_x = fill_y = differ = np.uint64(0)
+        for p in range(s.bits):
+            a, b = x[..., w, p], y[..., w, p]
+            fill_x, fill_y, differ = fill_x | a, fill_y | b, differ | (a ^ b)
+        shared = fill_x & fill_y
+        used = used + np.bitwise_count(fill_x | fill_y)
+        both = both + np.bitwise_count(shared)
+        equal = equal + np.bitwise_count(shared & ~differ)
     at, chance = s.percent / 100, 1 / ((1 << s.bits) - 1)
-    used = both = equal = F.lit(0)
-    for j in range(s.bins // 64):
-        a, b = ([F.col(f"{p}s{j * s.bits + i}") for i in range(s.bits)] for p in (x, y))
-        fill_a, fill_b, differ = a[0], b[0], a[0].bitwiseXOR(b[0])
-        for p, q in zip(a[1:], b[1:], strict=True):
-            fill_a, fill_b, differ = fill_a.bitwiseOR(p), fill_b.bitwiseOR(q), differ.bitwiseOR(p.bitwiseXOR(q))
-        used = used + F.bit_count(fill_a.bitwiseOR(fill_b))
-        both = both + F.bit_count(fill_a.bitwiseAND(fill_b))
-        equal = equal + F.bit_count(fill_a.bitwiseAND(fill_b).bitwiseAND(F.bitwise_not(differ)))
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    estimate = (equal - chance * both) / (1 - chance) / used
-    rest = F.greatest(1 - used * (1 + at) / (n + m), F.lit(0.0))
-    floor = at - s.margin * F.sqrt(at * (1 - at) / used * rest) - s.slack
-    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & (estimate >= floor)
+    used = np.maximum(used, 1)
+    rest = np.maximum(1 - used * (1 + at) / (n + m), 0)
+    floor = at - s.margin * np.sqrt(at * (1 - at) / used * rest) - s.slack
+    return (100 * np.minimum(n, m) >= s.percent * np.maximum(n, m)) & ((equal - chance * both) / (1 - chance) / used >= floor)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, s: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text).join(need, F.col("_id") == F.col("id"), "left_semi")
-    sets = written(shingle_sets(texts, "_id", text, s).dropDuplicates(["id"]))
+    sets = written(shingle_sets(texts_of(docs, id_col, text, need), "_id", text, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,7 +196,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, s: Sett
 
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     y = x.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return y.mapInArrow(run, "a long, b long")
+    found = written(y.mapInArrow(run, "a long, b long"))
+    dropped(sets)
+    return found
 
 
 def placed_in(buckets: DataFrame, parts: DataFrame | None, more: list[str]) -> DataFrame:
@@ -208,11 +216,19 @@ def open_keys(placed: DataFrame, *more: Column) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
-    """Those of ``pairs`` (a, b) that may be similar enough by their signatures."""
-    names = ["n", *[f"s{k}" for k in range(s.planes)]]
-    x = heads.select(F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in names])
-    y = heads.select(F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in names])
-    return pairs.join(x, "a").join(y, "b").where(alike("x", "y", s)).select(pairs.columns)
+    """Those of ``pairs`` (a, b, low) that may be similar enough by their signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                keep = alike(b.column("xn").to_numpy(), planes(b.column("xs"), s), b.column("yn").to_numpy(), planes(b.column("ys"), s), s)
+                yield b.select(["a", "b", "low"]).filter(pa.array(keep))
+
+    x = heads.select(F.col("id").alias("a"), F.col("n").alias("xn"), F.col("sig").alias("xs"))
+    y = heads.select(F.col("id").alias("b"), F.col("n").alias("yn"), F.col("sig").alias("ys"))
+    both = pairs.join(x, "a").join(y, "b").where(100 * F.least("xn", "yn") >= s.percent * F.greatest("xn", "yn"))
+    return both.select("a", "b", "low", "xn", "xs", "yn", "ys").mapInArrow(run, pairs.select("a", "b", "low").schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -243,25 +259,8 @@ def candidates(g: pa.RecordBatch, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """
     own, i, j = (g.column(c).to_numpy() for c in ("own", "i", "j"))
     left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-    sig = matrix(g.column("sig"), s.planes).view(np.uint64).reshape(g.num_rows, s.bins // 64, s.bits)
-    fill = np.bitwise_or.reduce(sig, 2)
-    n, component = g.column("n").to_numpy(), g.column("component").to_numpy()
-    used, both, equal = (np.zeros((len(left), len(right)), np.int64) for _ in range(3))
-    for w in range(s.bins // 64):
-        a, b = fill[left, w][:, None], fill[right, w][None]
-        differ = np.zeros((len(left), len(right)), np.uint64)
-        for p in range(s.bits):
-            differ |= sig[left, w, p][:, None] ^ sig[right, w, p][None]
-        shared = a & b
-        used += np.bitwise_count(a | b)
-        both += np.bitwise_count(shared)
-        equal += np.bitwise_count(shared & ~differ)
-    at, chance = s.percent / 100, 1 / ((1 << s.bits) - 1)
-    x, y = n[left][:, None], n[right][None]
-    used = np.maximum(used, 1)
-    rest = np.maximum(1 - used * (1 + at) / (x + y), 0)
-    floor = at - s.margin * np.sqrt(at * (1 - at) / used * rest) - s.slack
-    near = (100 * np.minimum(x, y) >= s.percent * np.maximum(x, y)) & ((equal - chance * both) / (1 - chance) / used >= floor)
+    sig, n, component = planes(g.column("sig"), s), g.column("n").to_numpy(), g.column("component").to_numpy()
+    near = alike(n[left][:, None], sig[left][:, None], n[right][None], sig[right][None], s)
     near &= component[left][:, None] != component[right][None]
     if i[0] == j[0]:
         near = np.triu(near, 1)
@@ -292,7 +291,7 @@ def within_buckets(open_: DataFrame, docs: DataFrame, id_col: str, text: str, s:
     """
     n = F.ceil(F.col("size") / s.block)
     own = F.pmod(F.xxhash64("id"), n).alias("own")
-    rows = open_.select("key", "id", "component", "n", F.array(*[f"s{k}" for k in range(s.planes)]).alias("sig"), "bands", "tried", own, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    rows = open_.select("key", "id", "component", "n", "sig", "bands", "tried", own, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
     keys = ("key", "i", "j")
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands", "tried")
 
@@ -331,8 +330,7 @@ def within_buckets(open_: DataFrame, docs: DataFrame, id_col: str, text: str, s:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     some = written(dealt(rows).mapInArrow(sift, rows.schema))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text).join(some.select("id").distinct(), F.col("_id") == F.col("id"), "left_semi")
-    sets = written(shingle_sets(texts, "_id", text, s).dropDuplicates(["id"]))
+    sets = written(shingle_sets(texts_of(docs, id_col, text, some.select("id").distinct()), "_id", text, s))
     return dealt(some.join(sets, "id").select(*rows.columns, "shingles")).mapInArrow(confirm, "a long, b long"), some
 
 
@@ -351,12 +349,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     member = split_join(known.select("id", "set_key"), classes, ["set_key"], "n", sigs.count())
     member = written(member.groupBy("id").agg(F.min("class").alias("class")))
     heads = known.join(member.where("id = class").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    heads = written(heads.select("id", F.col("n_shingles").alias("n"), "bands", *planes("sig", s)))
+    heads = written(heads.select("id", F.col("n_shingles").alias("n"), "bands", "sig"))
+    sizes = written(sigs.select("id", "n_shingles"))
+    dropped(sigs, classes)
     slots = heads.select("id", F.explode("bands").alias("key"))
     full = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(slots.join(full, "key"))
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = written(buckets.select("key", "id").join(degree, "id"))
+    dropped(buckets)
 
     none = heads.sparkSession.createDataFrame([], "a long, b long")
     links, tried, parts = none, none.withColumn("low", F.lit(None).cast("boolean")), None
@@ -371,19 +372,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if k:
             stars = stars.join(tried, ["a", "b"], "left_anti")
         close = written(estimated(stars, heads, s))
-        found = written(confirmed(close, docs, id_col, text, s))
+        found = confirmed(close, docs, id_col, text, s)
         tried = tried.unionByName(close) if k else close
         links = links.unionByName(found) if k else found
         parts = written(components(links))
 
     placed = placed_in(ranked, parts, [])
-    open_ = placed.join(open_keys(placed, F.count("*").alias("size")), "key").join(heads, "id")
+    open_ = written(placed.join(open_keys(placed, F.count("*").alias("size")), "key"))
+    open_ = open_.join(sifted(heads, "id", open_, "id"), "id")
     # A class has at most one centre in a bucket and round, so that its list has a bound; a centre's would have none.
     own, other = F.when(F.col("low"), F.col("a")).otherwise(F.col("b")), F.when(F.col("low"), F.col("b")).otherwise(F.col("a"))
     open_ = open_.join(tried.groupBy(own.alias("id")).agg(F.collect_set(other).alias("tried")), "id", "left")
     more, _ = within_buckets(open_, docs, id_col, text, s)
-    joined = components(written(links.unionByName(more)))
+    more = written(more)
+    dropped(ranked, heads)
+    joined = components(links.unionByName(more))
     found = member.join(joined, member["class"] == joined["node"], "left").select(F.col("id").alias("_id"), F.coalesce("component", "class").alias("component_id"))
-    out = sigs.select("id", "n_shingles").join(found, F.col("id") == F.col("_id"), "left")
+    out = sizes.join(found, F.col("id") == F.col("_id"), "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

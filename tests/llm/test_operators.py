@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, license_scan, line_dedup, mix_sources, near_dedup, quality_classifier, quality_rules, queries, secret_scan, substring_dedup, url_filters
+from quillon.llm.common import sifted
 from quillon.llm.components import components
 from tests.compare import assert_same
 
@@ -141,6 +142,33 @@ def test_components_of_long_paths(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100, 500: 500}
 
 
+def test_sifted_keeps_all_wanted_rows_and_few_others(spark):
+    rows = spark.range(200_000).withColumn("key", F.when(F.col("id") % 1000 != 0, F.col("id")))
+    wanted = spark.range(0, 200_000, 37)
+    got = {r.key for r in sifted(rows, "key", wanted, "id").select("key").collect()}
+    assert got >= {k for k in range(0, 200_000, 37) if k % 1000} and None not in got
+    assert len(got) < 5406 + 400
+
+
+def test_near_duplicates_shuffle_no_text_that_is_not_asked_for(spark, monkeypatch):
+    """Without broadcasts, as at size: of 400 texts, two of which are alike, hardly a text of the others comes to the join."""
+    rng, vocab = random.Random(5), vocabulary(4000)
+    texts = [" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(400)]
+    texts[7] = texts[300] + " more"
+    seen, inner = [], near_dedup.sifted
+
+    def counted(df, *args):
+        out = inner(df, *args)
+        seen.append((df.columns[0], out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "sifted", counted)
+    got = near_dedup.near_duplicates(docs(spark, texts), s=near_dedup.Settings(size=2)).collect()
+    assert {r.doc_id for r in got if not r.kept} == {300}
+    shuffled = [n for c, n in seen if c == "_id"]
+    assert shuffled and max(shuffled) < 40
+
+
 # --- decontamination --------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""A Spark data source of replies in pages: one task per instrument, which follows each page's ``next_url``.
+"""A Spark data source of replies in pages: a task takes some instruments and follows each page's ``next_url``.
 
 ``spark.read.format("paged_replies")`` over a folder with a file per page, as a
 market-data service's client leaves them: ``{"ticker", "status", "results": [...],
@@ -35,10 +35,14 @@ from quillon.sources.files import opened
 SCHEMA = "ticker string, page int, item int, result string, fetch_status string, retries int"
 
 
+#: Tasks that even a few instruments are dealt to, and instruments that a task takes at most: a task for each would cost more than its pages.
+LEAST_TASKS, MOST_IN_TASK = 64, 256
+
+
 class Asked(InputPartition):
-    def __init__(self, ticker: str):
-        super().__init__(ticker)
-        self.ticker = ticker
+    def __init__(self, tickers: list[str]):
+        super().__init__(tickers)
+        self.tickers = tickers
 
 
 class PagedReader(DataSourceReader):
@@ -65,12 +69,13 @@ class PagedReader(DataSourceReader):
         self.asked = sorted(wanted if self.asked is None else wanted & set(self.asked))
 
     def partitions(self) -> list[InputPartition]:
-        """One per instrument; the folder is only listed where no instrument is named."""
+        """Instruments in runs of their order; the folder is only listed where no instrument is named."""
         if self.asked is None:
             where, root = self.folder()
             names = [f.base_name for f in where.get_file_info(arrow_fs.FileSelector(root)) if f.is_file]
             self.asked = sorted(n.removesuffix(".json") for n in names if n.endswith(".json") and "@" not in n)
-        return [Asked(t) for t in self.asked]
+        size = max(1, min(MOST_IN_TASK, -(-len(self.asked) // LEAST_TASKS)))
+        return [Asked(self.asked[k : k + size]) for k in range(0, len(self.asked), size)]
 
     def page(self, where: arrow_fs.FileSystem, path: str) -> tuple[str, dict, int]:
         """(status, reply, retries). A throttled page holds what each try gets, in ``attempts``, as a log of replies does."""
@@ -95,7 +100,12 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Asked) -> Iterator[tuple]:
         where, root = self.folder()
-        name, seen, page, item, retries, status = f"{partition.ticker}.json", set(), 0, 0, 0, "ok"
+        for ticker in partition.tickers:
+            yield from self.chain(where, root, ticker)
+
+    def chain(self, where: arrow_fs.FileSystem, root: str, ticker: str) -> Iterator[tuple]:
+        """The rows of one instrument."""
+        name, seen, page, item, retries, status = f"{ticker}.json", set(), 0, 0, 0, "ok"
         while name:
             if name in seen:
                 status = "malformed"
@@ -109,13 +119,13 @@ class PagedReader(DataSourceReader):
             for r in results:
                 if self.most is not None and item >= self.most:
                     return
-                yield partition.ticker, page, item, json.dumps(r, separators=(",", ":")), "ok", retries
+                yield ticker, page, item, json.dumps(r, separators=(",", ":")), "ok", retries
                 item += 1
             # The address of the next page: its last part names the file.
             following = reply.get("next_url") if status == "ok" else None
             name, page = (str(following).rsplit("/", 1)[-1] if following else ""), page + 1
         if status != "ok" or not item:
-            yield partition.ticker, page - 1, None, None, "empty_result" if status == "ok" else status, retries
+            yield ticker, page - 1, None, None, "empty_result" if status == "ok" else status, retries
 
 
 def publish(replies: DataFrame, path: str) -> None:

@@ -129,3 +129,11 @@ def test_pages_are_followed_and_only_asked_files_opened(spark, tmp_path):
     for some, names in ((read().where("ticker = 'A'"), {"A"}), (read().where("ticker in ('D', 'E') and page = 0"), {"D", "E"}), (asked.where("ticker in ('B', 'A')"), {"A"})):
         assert some.rdd.getNumPartitions() == len(names) and {r.ticker for r in some.collect()} == names
     assert {r.item for r in read(most=3).where("ticker = 'A'").collect()} == {0, 1, 2}
+
+
+def test_many_instruments_share_tasks():
+    """Tasks grow with a share of the instruments; each is in one of them, in order."""
+    for n, most in ((1, 1), (64, 64), (1000, 64), (60_000, 60_000 // 256 + 1)):
+        names = [f"{k:05d}" for k in range(n)]
+        parts = paged.PagedReader({"path": "/none", "tickers": ",".join(names)}).partitions()
+        assert [t for p in parts for t in p.tickers] == names and len(parts) <= most

@@ -14,7 +14,7 @@ from quillon.operators.quantiles import exact_quantiles
 from quillon.plans import sql as s
 from quillon.plans.technicals import CHG, rounded
 from quillon.sources import sinks
-from quillon.sources.panels import bars, table
+from quillon.sources.panels import bars, dealt, table
 from quillon.streaming import ticks as streaming
 
 Q, O = {}, {}
@@ -163,11 +163,15 @@ TARGETS = [training.Target("target_up_4d", 4), training.Target("target_gain_5",
 
 
 def normalised_panel(spark, sf_dir):
-    """Targets, and z-scores and ranks within sector and date of returns over volatility."""
-    df = cross.institutional(bars(spark, sf_dir, sectors=True))
+    """Targets, and z-scores and ranks within sector and date of returns over volatility.
+
+    What goes by instrument comes first, on the exchange of the bars; then one exchange by date and sector.
+    """
+    df = models.targets(cross.institutional(bars(spark, sf_dir, sectors=True)), 4)
+    df = dealt(df, "date", "sector", like=table(spark, sf_dir, "lineitem"))
     for x in ("ret_5d_voladj", "ret_21d_voladj", "ret_63d_voladj"):
         df = cross.sector_normalised(df, x)
-    return models.targets(df, 4)
+    return df
 
 
 def trained_job(spark, sf_dir):

@@ -14,12 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_A_TASK = 200_000
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """``df`` by ``keys``, in a number of tasks that grows with its rows; small tables get what the session sets.
 
     The count reads a Parquet table's footers and the columns of its filters.
+    ``like`` is counted in place of a table that would have to be computed for it.
     """
-    n = -(-df.count() // ROWS_A_TASK)
+    n = -(-(df if like is None else like).count() // ROWS_A_TASK)
     return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.config import Boosting, CrossValidation
 from quillon.operators import models, training
-from quillon.sources import sinks
+from quillon.plans import models as plans
+from quillon.sources import panels, sinks
 
 CV = CrossValidation(least_train=60, block=30, least_rows=100, least_features=0.5)
 BOOST = Boosting(trees=25, rate=0.3, depth=3)
@@ -108,3 +109,12 @@ def test_a_job_started_again_fits_only_what_is_missing(spark, panel, job, monkey
     assert fitted == [("up_3d", 2)]
     after = {(r.target, r.fold, r.ticker, r.date): r.p for r in again.predictions.collect()}
     assert after.keys() == before.keys()
+
+
+def test_tasks_of_the_panel_grow_with_its_rows(spark, monkeypatch):
+    """The cross-section, whose sorts are the largest of a task, isn't left at the session's number of tasks."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(panels, "ROWS_A_TASK", 100)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    assert n > spark.sparkContext.defaultParallelism
+    assert plans.normalised_panel(spark, sf).rdd.getNumPartitions() == n

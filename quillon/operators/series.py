@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import columns as c
+from quillon.operators import rolled
 from quillon.operators.ewm import ewm
 from quillon.sources import sinks
 
@@ -95,14 +96,29 @@ def mean_reversion(df: DataFrame, features: tuple[str, ...] = OU_FEATURES, windo
     return df.select(*out, *[name for key in moves for _, name in moves[key]])
 
 
+STRESS_PARTS = ("vdce_dd_60", "vdce_dd_velocity", "vdce_range_z", "vdce_vol_ratio", "vdce_vol_of_vol", "vdce_vol_acceleration", "vdce_stress_raw")
+
+
+def stress_parts(close: np.ndarray, high: np.ndarray, low: np.ndarray, volume: np.ndarray, vwap: np.ndarray) -> dict[str, np.ndarray]:
+    """The components of the stress score and their weighted sum, for one instrument's rows."""
+    z = lambda x, n=20: rolled.z(x, n, TINY)
+    ret, dd = rolled.change(close), rolled.ratio(close, rolled.high(close, 60), TINY) - 1
+    short, velocity = rolled.std(ret, 5), rolled.diff(dd)
+    ratio = rolled.ratio(short, rolled.std(ret, 20), TINY)
+    spread = rolled.std(short, 20)
+    range_z, vwap_z = z(rolled.ratio(high - low, close, TINY)), z(rolled.ratio(close - vwap, close, TINY))
+    acceleration = rolled.diff(rolled.diff(z(rolled.ratio(volume, rolled.mean(volume, 20), TINY))))
+    raw = 1.2 * z(ratio) + z(spread) + z(velocity) + z(dd, 60) + 0.8 * range_z + 0.8 * z(acceleration) + 0.4 * vwap_z
+    return dict(zip(STRESS_PARTS, (dd, velocity, range_z, ratio, spread, acceleration, raw), strict=True))
+
+
 def stress(df: DataFrame) -> DataFrame:
-    """Stress score of an instrument and its state. A missing score is RED, as no threshold holds for it."""
-    df = df.withColumns({"_ret": c.change("close"), "_range": c.div(F.col("high") - F.col("low"), "close", TINY), "vdce_dd_60": c.div("close", c.high("close", 60), TINY) - 1, "_rv": c.div("volume", c.mean("volume", 20), TINY), "_vd": c.div(F.col("close") - F.col("vwap"), "close", TINY)})
-    df = df.withColumns({"_rv5": c.std("_ret", 5), "_rv20": c.std("_ret", 20), "vdce_dd_velocity": c.diff("vdce_dd_60"), "vdce_range_z": z20("_range"), "_vz": z20("_rv"), "_vwz": z20("_vd")})
-    df = df.withColumns({"vdce_vol_ratio": c.div("_rv5", "_rv20", TINY), "vdce_vol_of_vol": c.std("_rv5", 20), "_vv": c.diff("_vz")})
-    df = df.withColumn("vdce_vol_acceleration", c.diff("_vv"))
-    raw = 1.2 * z20("vdce_vol_ratio") + z20("vdce_vol_of_vol") + z20("vdce_dd_velocity") + z20("vdce_dd_60", 60) + 0.8 * F.col("vdce_range_z") + 0.8 * z20("vdce_vol_acceleration") + 0.4 * F.col("_vwz")
-    df = ewm(df.withColumn("vdce_stress_raw", raw), {"vdce_stress": ("vdce_stress_raw", 1 / 3, 0)})
+    """Stress score of an instrument and its state. A missing score is RED, as no threshold holds for it.
+
+    The components are one Arrow pass by instrument; select the columns that are needed first.
+    """
+    df = rolled.by_instrument(df, ("close", "high", "low", "volume", "vwap"), stress_parts, STRESS_PARTS)
+    df = ewm(df, {"vdce_stress": ("vdce_stress_raw", 1 / 3, 0)})
     s = F.col("vdce_stress")
     df = df.withColumn("vdce_state_numeric", F.when(s <= 1, 0).when(s <= 2, 1).when(s <= 3, 2).otherwise(3))
     df = df.withColumn("vdce_stress_vel_5d", c.diff("vdce_stress", 5))
@@ -111,17 +127,14 @@ def stress(df: DataFrame) -> DataFrame:
     })
 
 
-def z20(x: str, n: int = 20) -> Column:
-    return c.div(F.col(x) - c.mean(x, n), c.std(x, n), TINY)
-
-
-def leader_scores(stressed: DataFrame, index: str, lags: tuple[int, int] = (5, 10), least: int = 80, joint: int = 200, days: int = 200) -> DataFrame:
+def leader_scores(stressed: DataFrame, index: str, lags: tuple[int, int] = (5, 10), least: int = 80, joint: int = 200, days: int = 200, stored: bool = False) -> DataFrame:
     """(``ticker``, ``vdce_leader_score``): mean over lags of the correlation of earlier stress with the index's events.
 
     The index is one series; its join is by date.
     """
-    # Read three times below; storing it saves the windows and the scan behind it.
-    stressed = sinks.stored(stressed.select("ticker", "date", "vdce_stress", "vdce_event_up"))
+    # Read three times below; storing it, unless it is ``stored``, saves the windows and the scan behind it.
+    stressed = stressed.select("ticker", "date", "vdce_stress", "vdce_event_up")
+    stressed = stressed if stored else sinks.stored(stressed)
     events = stressed.where(F.col("ticker") == index).select("date", F.col("vdce_event_up").cast("double").alias("_event"))
     own = stressed.where(F.col("ticker") != index).withColumn("_days", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("_days") >= days)
     both = own.where("vdce_stress is not null").join(events, "date").withColumn("_joint", F.count("*").over(Window.partitionBy("ticker"))).where(F.col("_joint") >= joint)
@@ -141,7 +154,7 @@ def residual_pressure(equity: DataFrame, proxies: DataFrame, labels: tuple[str,
     """Return z-score against those of macro proxies, weighted by the rolling correlation with each.
 
     ``proxies`` is long: ``label``, ``date``, ``close``. A proxy has a row per
-    date, so that its join is small against the panel's.
+    date, so that it is broadcast; what rolls by instrument is one Arrow pass.
     """
     w = Window.partitionBy("label").orderBy("date")
 
@@ -150,11 +163,15 @@ def residual_pressure(equity: DataFrame, proxies: DataFrame, labels: tuple[str,
         return c.div(F.col(x) - c.mean(x, n, w=w), sd)
 
     df = equity.where("close is not null").select("ticker", "date", "close").withColumn("ret_1", c.change("close"))
-    df = df.withColumn("z_ticker", zp("ret_1", z_window))
     macro = proxies.where(F.col("label").isin(*labels)).withColumn("r", c.change("close", w=w))
     macro = macro.withColumn("z", zp("r", z_window, w)).groupBy("date").pivot("label", list(labels)).agg(F.first("r").alias("ret_1"), F.first("z").alias("z"))
-    df = df.join(macro, "date", "left")
-    df = df.withColumns({f"beta_{x}": c.correlation("ret_1", f"{x}_ret_1", beta_window, beta_window) for x in labels})
+    df = df.join(F.broadcast(macro), "date", "left").drop("close")  # a row per date
+    betas = [f"beta_{x}" for x in labels]
+
+    def fits(ret: np.ndarray, *others: np.ndarray) -> dict[str, np.ndarray]:
+        return {"z_ticker": rolled.z(ret, z_window, free=0)} | dict(zip(betas, rolled.correlations(ret, list(others), beta_window), strict=True))
+
+    df = rolled.by_instrument(df, ("ret_1", *[f"{x}_ret_1" for x in labels]), fits, ("z_ticker", *betas))
     parts = [F.col("z_ticker") - F.col(f"beta_{x}") * F.col(f"{x}_z") for x in labels]
     df = df.withColumn("qmpc", sum(parts[1:], parts[0])).where("qmpc is not null")
     return df.withColumn("positive_macro_debt", (F.col("qmpc") > threshold) & F.coalesce(F.col("ret_1") <= 0, F.lit(False))).select("date", "ticker", "qmpc", "z_ticker", *[f"beta_{x}" for x in labels], "ret_1", "positive_macro_debt")

@@ -8,6 +8,7 @@ from quillon.operators import series, shape
 from quillon.plans import sql as s
 from quillon.plans.shape import LEVELS as SHAPE
 from quillon.plans.technicals import CHG, rounded
+from quillon.sources import sinks
 from quillon.sources.panels import bars, index_bars, sector_closes
 
 PROXIES = ("africa", "asia", "europe")
@@ -112,7 +113,8 @@ def leaders(spark, sf_dir):
 
 
 def qmpc(spark, sf_dir):
-    panel = bars(spark, sf_dir, True)
+    # Read for the panel and for the proxies.
+    panel = sinks.stored(bars(spark, sf_dir, True).select("ticker", "date", "close", "sector"))
     return rounded(series.residual_pressure(panel, sector_closes(panel), PROXIES), ["qmpc", "z_ticker", *[f"beta_{k}" for k in PROXIES], "ret_1"], ("ticker", "date", "positive_macro_debt"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from quillon.functions import columns as c
 from quillon.operators.quantiles import exact_quantiles
-from quillon.sources import sinks
 
 HORIZONS = (20, 60, 90)
 #: Scores of market stress states, and weights of the signals by horizon.
@@ -18,6 +17,9 @@ WEIGHTS = {
     60: {"stock": 0.34, "macro": 0.24, "sector": 0.17, "tech": 0.20, "vdce": 0.05},
     90: {"stock": 0.30, "macro": 0.34, "sector": 0.16, "tech": 0.15, "vdce": 0.05},
 }
+#: What regimes are scored by, and what the summary reads of an instrument's latest row.
+SCORED = ("log_return_1d", "realized_vol_20", "drawdown_60", "stretch")
+TECHNICAL = ("price_vs_sma20", "rsi_14", "ret_20d_back", "ret_60d_back", "ret_90d_back", "breakout_20d_high_flag", "breakdown_20d_low_flag", "sma20_slope_5", "ema10_slope_5", "realized_vol_20", "dist_from_20d_high")
 
 
 def runs(df: DataFrame, regime: str = "regime") -> DataFrame:
@@ -50,10 +52,11 @@ def regime_scores(df: DataFrame, regime: str = "regime") -> DataFrame:
     """(regime, ``score``): ranks of four medians, blended; higher volatility ranks lower. A row per regime.
 
     Medians are exact and found by brackets, all of them in the same passes, so
-    that no task holds a regime's values. Regimes are few; their list reaches the driver.
+    that no task holds a regime's values; ``df`` is read in each: store it first.
+    Regimes are few; their list reaches the driver.
     """
-    names = ("log_return_1d", "realized_vol_20", "drawdown_60", "stretch")
-    known = sinks.stored(df.where(F.col(regime).isNotNull()).select(regime, *names))
+    names = SCORED
+    known = df.where(F.col(regime).isNotNull()).select(regime, *names)
     found = [r[0] for r in known.select(regime).distinct().orderBy(regime).collect()]
     each = known.select(*[F.when(F.col(regime) == r, F.col(x)).alias(f"_{k}_{x}") for k, r in enumerate(found) for x in names])
     q = exact_quantiles(each, {x: [0.5] for x in each.columns}) if found else {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import columns as c
 from quillon.operators import rolled, series
+from quillon.plans import overlays
 
 
 def walk(n: int, seed: int) -> list[float | None]:
@@ -45,3 +46,11 @@ def test_long_frames_are_no_windows(spark):
     assert "-59" not in residual and "FlatMapGroupsInArrow" in residual and "SortMergeJoin" not in residual
     stress = series.stress(panel)._jdf.queryExecution().executedPlan().toString()
     assert "-19" not in stress and "-59" not in stress
+
+
+def test_the_summary_makes_bars_once(spark, sf_dir, monkeypatch):
+    made = []
+    bars = overlays.bars
+    monkeypatch.setattr(overlays, "bars", lambda *a, **k: made.append(a) or bars(*a, **k))
+    overlays.regime_summary(spark, sf_dir)
+    assert len(made) == 1

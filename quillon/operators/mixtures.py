@@ -61,20 +61,27 @@ class Mixture:
     def aic(self) -> float:
         return 2 * self.free - 2 * self.log_likelihood * self.rows
 
-    def log_joint(self, x: np.ndarray) -> np.ndarray:
-        """Log of weight times density, rows by components."""
+    def log_joint(self, moments: np.ndarray) -> np.ndarray:
+        """Log of weight times density, components by rows: linear in what :func:`moments` gives."""
         precise = 1 / self.variances
-        square = (x**2) @ precise.T - 2 * x @ (self.means * precise).T + (self.means**2 * precise).sum(1)
-        return np.log(self.weights) - 0.5 * (square + np.log(self.variances).sum(1) + x.shape[1] * math.log(2 * math.pi))
+        level = np.log(self.weights) - 0.5 * ((self.means**2 * precise).sum(1) + np.log(self.variances).sum(1) + self.means.shape[1] * math.log(2 * math.pi))
+        return np.concatenate([level[:, None], self.means * precise, -0.5 * precise], 1) @ moments
 
-    def sums(self, x: np.ndarray, hard: bool) -> np.ndarray:
+    def sums(self, moments: np.ndarray, hard: bool) -> np.ndarray:
         """What :meth:`stepped` needs, as one vector that adds up over rows."""
-        joint = self.log_joint(x)
-        top = joint.max(1, keepdims=True)
-        each = np.exp(joint - top)
-        total = each.sum(1, keepdims=True)
-        share = (joint.argmax(1)[:, None] == np.arange(self.k)).astype(float) if hard else each / total
-        return np.concatenate([share.sum(0), (share.T @ x).ravel(), (share.T @ x**2).ravel(), [(top + np.log(total)).sum(), len(x)]])
+        share = self.log_joint(moments)
+        top = share.max(0)
+        best = share.argmax(0) if hard else None
+        share -= top
+        np.exp(share, out=share)
+        total = share.sum(0)
+        if hard:
+            share = (best == np.arange(self.k)[:, None]).astype(float)
+        else:
+            share /= total
+        by = share @ moments.T
+        d = self.means.shape[1]
+        return np.concatenate([by[:, 0], by[:, 1 : d + 1].ravel(), by[:, d + 1 :].ravel(), [(top + np.log(total)).sum(), moments.shape[1]]])
 
     def stepped(self, sums: np.ndarray, floor: float) -> Mixture:
         """The next parameters; ``log_likelihood`` is that of the present ones. A component without rows stays where it is, at no weight."""
@@ -85,6 +92,11 @@ class Mixture:
         return Mixture(n / n.sum(), means, np.maximum(variances, 0) + floor, sums[-2] / sums[-1], int(sums[-1]), self.passes + 1)
 
 
+def moments(x: np.ndarray) -> np.ndarray:
+    """One, the values and their squares, a row each: made once per block, for all models."""
+    return np.concatenate([np.ones((1, len(x))), x.T, x.T**2])
+
+
 def seeded(sample: np.ndarray, k: int, rng: np.random.Generator) -> Mixture:
     """A start: centres far from each other (each drawn by its squared distance to those before), one spread, equal weights."""
     centres = [sample[rng.integers(len(sample))]]
@@ -102,7 +114,7 @@ def summed(rows: DataFrame, models: dict[int, tuple[Mixture, bool]], x: str) ->
         for b in batches:
             values = b.column(0)
             if len(values):
-                block = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+                block = moments(values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1))
                 for key, (m, hard) in models.items():
                     own = m.sums(block, hard)
                     totals[key] = own if key not in totals else totals[key] + own
@@ -111,10 +123,10 @@ def summed(rows: DataFrame, models: dict[int, tuple[Mixture, bool]], x: str) ->
 
     parts = rows.select(x).mapInArrow(run, "model int, sums array<double>")
     each = parts.select("model", F.posexplode("sums").alias("at", "v")).groupBy("model", "at").agg(F.sum("v").alias("v"))
-    out: dict[int, np.ndarray] = {}
-    for r in each.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s")).collect():
-        out[r.model] = np.array([e.v for e in r.s])
-    return out
+    found: dict[int, list[tuple[int, float]]] = {}
+    for r in each.collect():
+        found.setdefault(r["model"], []).append((r["at"], r["v"]))
+    return {key: np.array([v for _, v in sorted(own)]) for key, own in found.items()}
 
 
 def fit(rows: DataFrame, x: str, f: Fitting = Fitting()) -> Mixture:

@@ -61,6 +61,25 @@ def test_mixture_equals_plain_em(spark, cloud):
     assert found.weights == pytest.approx(w, abs=1e-6) and found.means == pytest.approx(np.array(mu), abs=1e-6) and found.variances == pytest.approx(np.array(var), abs=1e-6)
 
 
+def test_sums_share_their_moments_and_one_shuffle(spark, cloud, monkeypatch):
+    """A block's moments serve every model, and a pass has one exchange."""
+    rng = np.random.default_rng(5)
+    some = {k: (mixtures.seeded(cloud, k, rng), k == 3) for k in (2, 3, 4)}
+    block = mixtures.moments(cloud)
+    for k, (m, hard) in some.items():
+        joint = np.array([[math.log(w * density(x, mu, var)) for w, mu, var in zip(m.weights, m.means, m.variances, strict=True)] for x in cloud])
+        share = np.exp(joint) / np.exp(joint).sum(1, keepdims=True)
+        share = np.eye(k)[joint.argmax(1)] if hard else share
+        want = np.concatenate([share.sum(0), (share.T @ cloud).ravel(), (share.T @ cloud**2).ravel(), [np.log(np.exp(joint).sum(1)).sum(), len(cloud)]])
+        assert m.log_joint(block) == pytest.approx(joint.T) and m.sums(block, hard) == pytest.approx(want)
+    rows = spark.createDataFrame([(x.tolist(),) for x in cloud], "x array<double>").repartition(3).persist()
+    plans, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    got = mixtures.summed(rows, some, "x")
+    assert len(plans) == 1 and plans[0].count("Aggregate [") == 1
+    assert {k: v.tolist() for k, v in got.items()} == {k: pytest.approx(m.sums(block, hard).tolist()) for k, (m, hard) in some.items()}
+
+
 def test_components_of_rows_equal_the_densities(spark, cloud):
     rows = [(f"t{k}", dt.date(2020, 1, 1), *map(float, x)) for k, x in enumerate(cloud)] + [("none", dt.date(2020, 1, 1), None, 1.0)]
     df = spark.createDataFrame(rows, "ticker string, date date, a double, b double")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +20,7 @@ from quillon.functions import columns as c
 from quillon.operators import mixtures
 from quillon.operators.quantiles import counts_below, exact_quantiles
 from quillon.sources import sinks
+from quillon.sources.panels import ROWS_A_TASK
 
 
 def targets(df: DataFrame, horizon: int, thresholds: tuple[float, ...] = (0.05, 0.08)) -> DataFrame:
@@ -106,8 +113,72 @@ def filled(df: DataFrame, by: dict[str, float | None]) -> DataFrame:
     return df.withColumns({f"{x}_filled": F.coalesce(x, F.lit(v).cast("double")) for x, v in by.items()})
 
 
-def classifier(features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)])
+def thresholds(df: DataFrame, columns: list[str], bins: int, most: int = 10_000) -> dict[str, list[float]]:
+    """At most ``bins - 1`` splits of each column, in equal steps of rows, as Spark's trees choose them.
+
+    Trees look at a sample of 10,000 rows; here as many order statistics of all
+    rows stand for it (all values, if there are no more rows). A split is the
+    least double above the middle of two values, so that the middle itself lies
+    left of it, as in a tree.
+    """
+    n = min(df.count(), most)
+    shares = F.split(F.lit(",".join(str((i + 0.5) / n) for i in range(n))), ",").cast("array<double>")  # one literal, where a list is one per number
+    found = df.agg(*[F.percentile_approx(F.col(x).cast("double"), shares, 3 * most) for x in columns]).first() if n else [[] for _ in columns]
+    out = {}
+    for x, values in zip(columns, found, strict=True):
+        counts: dict[float, int] = {}
+        for v in sorted(values):
+            counts[v] = counts.get(v, 0) + 1
+        pairs = list(zip(counts, list(counts)[1:], strict=False))
+        if len(pairs) > bins - 1:
+            stride, at, kept = n / bins, 0, []
+            target = stride
+            for low, high in pairs:
+                at += counts[low]
+                if abs(at - target) < abs(at + counts[high] - target):
+                    kept.append((low, high))
+                    target += stride
+            pairs = kept
+        middles = [(low + high) / 2 for low, high in pairs]
+        out[x] = sorted({math.nextafter(m, math.inf) for m in middles if math.isfinite(m)})
+    return out
+
+
+@dataclass(frozen=True)
+class BinnedTrees:
+    """Boosted trees over counts of equal rows.
+
+    Trees see a feature's bin only, so rows of the same bins and label are one
+    row with their number as its weight. The passes of a fit, some for each
+    level of each tree, then read a number of rows that few features bound
+    (``bins ** len(features)`` for each label); of the table there are two.
+    """
+
+    features: tuple[str, ...]
+    label: str
+    trees: int = 20
+    depth: int = 4
+    bins: int = 32
+    seed: int = 42
+
+    def fit(self, df: DataFrame) -> PipelineModel:
+        binned = [f"{x}_bin" for x in self.features]
+        df = df.select(*self.features, self.label).dropna(subset=list(self.features))
+        splits = thresholds(df, list(self.features), self.bins)
+        # A feature of one value has no split; a bucketizer needs one, and a tree can't use it.
+        bucketed = Bucketizer(splitsArray=[[-math.inf, *(splits[x] or [0.0]), math.inf] for x in self.features], inputCols=list(self.features), outputCols=binned, handleInvalid="skip")
+        ordered = [F.col(x).alias(x, metadata={}) for x in binned]  # a bucketizer calls its bins categories
+        cells = sinks.stored(bucketed.transform(df).select(*ordered, self.label).groupBy(*binned, self.label).agg(F.count("*").cast("double").alias("weight")))
+        # Sorted, so that sums don't hang on the order of a shuffle.
+        cells = cells.repartition(-(-cells.count() // ROWS_A_TASK) or 1, *binned).sortWithinPartitions(*binned, self.label)
+        assembler = VectorAssembler(inputCols=binned, outputCol="features")
+        # Spark samples rows for splits beyond the square of maxBins: with 256, none of the cells of three features.
+        boosting = GBTClassifier(labelCol=self.label, weightCol="weight", maxIter=self.trees, maxDepth=self.depth, maxBins=max(256, self.bins), seed=self.seed)
+        return PipelineModel([bucketed, assembler, boosting.fit(assembler.transform(cells))])
+
+
+def classifier(features: list[str], label: str, trees: int = 20, depth: int = 4, seed: int = 42) -> BinnedTrees:
+    return BinnedTrees(tuple(features), label, trees, depth, seed=seed)
 
 
 def importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
@@ -119,26 +190,38 @@ def probability(df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.get(vector_to_array("probability"), 1))
 
 
-def out_of_fold(df: DataFrame, folds: DataFrame, estimator: Pipeline) -> DataFrame:
-    """``df``'s test rows of each fold with ``p`` of a model that was fitted on the fold's training dates; a fit for each fold."""
-    out = None
-    for k in [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]:
+def out_of_fold(df: DataFrame, folds: DataFrame, estimator: BinnedTrees, parallel: int = 4) -> DataFrame:
+    """``df``'s test rows of each fold with ``p`` of a model that was fitted on the fold's training dates; a fit for each fold.
+
+    A few fits run at a time: each is many small jobs, most of whose time is not work of the cluster.
+    """
+    folds = sinks.stored(folds)  # a row per date and fold
+
+    def found(k: int) -> DataFrame:
         own = folds.where(F.col("fold") == k)
-        part = lambda x: df.join(own.where(F.col("part") == x).select("date"), "date", "left_semi")  # noqa: B023, E731
-        found = probability(estimator.fit(part("train")).transform(part("test"))).withColumn("fold", F.lit(k))
-        out = found if out is None else out.unionByName(found)
-    return df.limit(0).withColumns({"p": F.lit(None).cast("double"), "fold": F.lit(None).cast("int")}) if out is None else out
+        part = lambda x: df.join(own.where(F.col("part") == x).select("date"), "date", "left_semi")
+        return probability(estimator.fit(part("train")).transform(part("test"))).withColumn("fold", F.lit(k))
+
+    ks = [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    if not ks:
+        return df.limit(0).withColumns({"p": F.lit(None).cast("double"), "fold": F.lit(None).cast("int")})
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(found), ks))
 
 
 def calibrated(held: DataFrame, df: DataFrame, label: str = "label", p: str = "p", logistic: bool = False, out: str = "calibrated_p") -> DataFrame:
-    """Probabilities through a fit on out-of-fold predictions: isotonic, or logistic on their log odds."""
-    known = held.where(F.col(label).isNotNull() & F.col(p).isNotNull())
+    """Probabilities through a fit on out-of-fold predictions: isotonic, or logistic on their log odds.
+
+    Equal predictions are counted before the fit, whose passes read a row per prediction and label.
+    """
+    known = held.where(F.col(label).isNotNull() & F.col(p).isNotNull()).groupBy(label, p).agg(F.count("*").cast("double").alias("_n"))
+    known = sinks.stored(known)
     rows = df.where(F.col(p).isNotNull())
     if not logistic:
-        return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol=out).fit(known).transform(rows)
+        return IsotonicRegression(featuresCol=p, labelCol=label, weightCol="_n", predictionCol=out).fit(known).transform(rows)
     bounded = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     odds = lambda x: array_to_vector(F.array(F.ln(bounded / (1 - bounded))))
-    model = LogisticRegression(featuresCol="_odds", labelCol=label, predictionCol="_class", probabilityCol="_both", rawPredictionCol="_raw").fit(known.withColumn("_odds", odds(p)))
+    model = LogisticRegression(featuresCol="_odds", labelCol=label, weightCol="_n", predictionCol="_class", probabilityCol="_both", rawPredictionCol="_raw").fit(known.withColumn("_odds", odds(p)))
     fitted = model.transform(rows.withColumn("_odds", odds(p)))
     return fitted.withColumn(out, F.get(vector_to_array("_both"), 1)).drop("_odds", "_class", "_both", "_raw")
 

@@ -43,7 +43,7 @@ class CrossValidation:
 
 @dataclass(frozen=True)
 class Boosting:
-    """``rows`` and ``features``: shares that a tree draws. ``tolerance``: the fall of the loss, as a share of it, under which a fit stops."""
+    """``rows`` and ``features``: shares that a tree draws. ``bins``: of a feature, that splits lie between. ``tolerance``: the fall of the loss, as a share of it, under which a fit stops."""
 
     trees: int = 150
     depth: int = 4
@@ -53,6 +53,7 @@ class Boosting:
     features: float = 0.8
     tolerance: float = 0.0001
     median_error: float = 0.001
+    bins: int = 32
     seed: int = 42
 
 

@@ -113,15 +113,15 @@ def filled(df: DataFrame, by: dict[str, float | None]) -> DataFrame:
     return df.withColumns({f"{x}_filled": F.coalesce(x, F.lit(v).cast("double")) for x, v in by.items()})
 
 
-def thresholds(df: DataFrame, columns: list[str], bins: int, most: int = 10_000) -> dict[str, list[float]]:
+def thresholds(df: DataFrame, columns: list[str], bins: int, most: int = 10_000, rows: int | None = None) -> dict[str, list[float]]:
     """At most ``bins - 1`` splits of each column, in equal steps of rows, as Spark's trees choose them.
 
     Trees look at a sample of 10,000 rows; here as many order statistics of all
     rows stand for it (all values, if there are no more rows). A split is the
     least double above the middle of two values, so that the middle itself lies
-    left of it, as in a tree.
+    left of it, as in a tree. ``rows`` saves the count where it is known.
     """
-    n = min(df.count(), most)
+    n = min(df.count() if rows is None else rows, most)
     shares = F.split(F.lit(",".join(str((i + 0.5) / n) for i in range(n))), ",").cast("array<double>")  # one literal, where a list is one per number
     found = df.agg(*[F.percentile_approx(F.col(x).cast("double"), shares, 3 * most) for x in columns]).first() if n else [[] for _ in columns]
     out = {}
@@ -144,6 +144,18 @@ def thresholds(df: DataFrame, columns: list[str], bins: int, most: int = 10_000)
     return out
 
 
+def bucketizer(df: DataFrame, columns: list[str], bins: int, rows: int | None = None) -> Bucketizer:
+    """The bin of each column as ``<column>_bin``, by :func:`thresholds` of ``df``."""
+    splits = thresholds(df, columns, bins, rows=rows)
+    # A feature of one value has no split; a bucketizer needs one, and a tree can't use it.
+    return Bucketizer(splitsArray=[[-math.inf, *(splits[x] or [0.0]), math.inf] for x in columns], inputCols=columns, outputCols=[f"{x}_bin" for x in columns], handleInvalid="skip")
+
+
+def plain(columns: list[str]) -> list[Column]:
+    """Bins as numbers: a bucketizer calls them categories."""
+    return [F.col(x).alias(x, metadata={}) for x in columns]
+
+
 @dataclass(frozen=True)
 class BinnedTrees:
     """Boosted trees over counts of equal rows.
@@ -164,11 +176,8 @@ class BinnedTrees:
     def fit(self, df: DataFrame) -> PipelineModel:
         binned = [f"{x}_bin" for x in self.features]
         df = df.select(*self.features, self.label).dropna(subset=list(self.features))
-        splits = thresholds(df, list(self.features), self.bins)
-        # A feature of one value has no split; a bucketizer needs one, and a tree can't use it.
-        bucketed = Bucketizer(splitsArray=[[-math.inf, *(splits[x] or [0.0]), math.inf] for x in self.features], inputCols=list(self.features), outputCols=binned, handleInvalid="skip")
-        ordered = [F.col(x).alias(x, metadata={}) for x in binned]  # a bucketizer calls its bins categories
-        cells = sinks.stored(bucketed.transform(df).select(*ordered, self.label).groupBy(*binned, self.label).agg(F.count("*").cast("double").alias("weight")))
+        bucketed = bucketizer(df, list(self.features), self.bins)
+        cells = sinks.stored(bucketed.transform(df).select(*plain(binned), self.label).groupBy(*binned, self.label).agg(F.count("*").cast("double").alias("weight")))
         # Sorted, so that sums don't hang on the order of a shuffle.
         cells = cells.repartition(-(-cells.count() // ROWS_A_TASK) or 1, *binned).sortWithinPartitions(*binned, self.label)
         assembler = VectorAssembler(inputCols=binned, outputCol="features")

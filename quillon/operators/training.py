@@ -1,7 +1,8 @@
 """Boosted trees over folds and targets: early stopping, class weights, kept fold models, ensembles.
 
-A job of (target, fold) fits. Each is a Spark ML fit over the whole panel's rows
-of its fold, so the rows are never in one task; a few fits run at a time, from
+A job of (target, fold) fits. Each is a Spark ML fit over counts of the whole
+panel's equal rows of its fold, so the rows are never in one task, and the
+passes of its trees don't grow with them; a few fits run at a time, from
 threads of the driver, so that the cluster isn't idle between the small jobs of
 a tree. A fit writes its model, its predictions of the validation block and its
 figures below the job's root, the figures last. A job that is started again
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,7 @@ class Trained:
 
     root: str
     features: tuple[str, ...]
+    rows: DataFrame
     predictions: DataFrame
     fits: DataFrame
     importance: DataFrame
@@ -61,17 +63,46 @@ def complete_rows(panel: DataFrame, features: Iterable[str], least_share: float)
     return panel.where(models.complete_share(list(features)) >= least_share)
 
 
-def estimator(features: tuple[str, ...], b: Boosting) -> Pipeline:
-    """Medians for what is missing, one vector, boosted trees that stop when the marked rows' loss stops falling."""
+#: Training rows of a fit that stand for themselves; beyond, equal rows are drawn together, so many at a time that there are as many draws.
+DRAWS = 200_000
+#: Counts that a task of a fit's passes reads.
+CELLS_A_TASK = 50_000
+
+
+def draws(cells: DataFrame, rows: int) -> DataFrame:
+    """Counts of equal training rows (``n``) as draws of equal weight (``of`` rows each): as many as ``rows``, or ``DRAWS`` and one for each cell."""
+    size = -(-rows // DRAWS) or 1
+    times = F.when(F.col("stops"), 1).otherwise(F.ceil(F.col("n") / size)).cast("int")
+    return cells.withColumns({"of": F.col("n") / times, "_draw": F.explode(F.sequence(F.lit(1), times))}).drop("_draw", "n")
+
+
+def fitted_trees(train: DataFrame, features: tuple[str, ...], b: Boosting, rows: int, positive: int) -> PipelineModel:
+    """Medians for what is missing, bins, one vector, boosted trees that stop when the marked rows' loss stops falling.
+
+    ``train`` has the features, ``label`` and ``stops``; ``rows`` and
+    ``positive`` count those that aren't marked. Trees see a feature's bin only,
+    so that rows of the same bins, label and mark are counted, and the passes of
+    a fit, some for each level of each tree, read the counts. A tree draws its
+    share of rows singly up to ``DRAWS`` of them, and beyond in groups of equal
+    rows that grow with the table; a leaf has its least number of draws.
+    """
     filled = [f"{x}_filled" for x in features]
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=b.median_error),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        GBTClassifier(
-            labelCol="label", weightCol="weight", validationIndicatorCol="stops", maxIter=b.trees, maxDepth=b.depth, stepSize=b.rate, minInstancesPerNode=b.least_leaf,
-            subsamplingRate=b.rows, featureSubsetStrategy=str(b.features), validationTol=b.tolerance, seed=b.seed,
-        ),
-    ])
+    binned = [f"{x}_bin" for x in filled]
+    imputer = Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=b.median_error).fit(train)
+    whole = imputer.transform(train)
+    bucketed = models.bucketizer(whole.where(~F.col("stops")), filled, b.bins, rows)
+    cells = sinks.stored(bucketed.transform(whole).select(*models.plain(binned), "label", "stops").groupBy(*binned, "label", "stops").agg(F.count("*").alias("n")))
+    drawn = draws(cells, rows)
+    # Sorted, so that draws and sums don't hang on the order of a shuffle.
+    drawn = drawn.repartition(-(-drawn.count() // CELLS_A_TASK), *binned).sortWithinPartitions(*binned, "label", "stops")
+    assembler = VectorAssembler(inputCols=binned, outputCol="features")
+    boosting = GBTClassifier(
+        # Spark samples rows for splits beyond the square of maxBins: here, it sees a million.
+        labelCol="label", weightCol="weight", validationIndicatorCol="stops", maxIter=b.trees, maxDepth=b.depth, maxBins=max(1024, b.bins), stepSize=b.rate, minInstancesPerNode=b.least_leaf,
+        subsamplingRate=b.rows, featureSubsetStrategy=str(b.features), validationTol=b.tolerance, seed=b.seed,
+    )
+    weighted = drawn.withColumn("weight", F.col("of") * class_weight(F.col("label"), rows, positive))
+    return PipelineModel([imputer, bucketed, assembler, boosting.fit(assembler.transform(weighted))])
 
 
 def class_weight(label: Column, n: int, positive: int) -> Column:
@@ -80,12 +111,16 @@ def class_weight(label: Column, n: int, positive: int) -> Column:
 
 
 def fit_fold(panel: DataFrame, dates: DataFrame, target: Target, fold: int, features: tuple[str, ...], b: Boosting, cv: CrossValidation, root: str) -> None:
-    """One fit. A fold whose training or validation part has one class only, or too few rows, gets figures without a model."""
+    """One fit. A fold whose training or validation part has one class only, or too few rows, gets figures without a model.
+
+    ``dates`` has ``date`` and ``part`` of each ``fold``, and the target's rows (``n``) and ``positive`` ones of the date.
+    """
     spark = panel.sparkSession
     at = lambda kind: f"{root}/{kind}/target={target.column}/fold={fold}"
     own = panel.where(F.col(target.column).isNotNull()).select("ticker", "date", *features, F.col(target.column).cast("double").alias("label"))
-    own = own.join(dates.where(F.col("fold") == fold).select("date", "part"), "date")
-    sums = {r.part: r for r in own.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").alias("positive"), F.min("date").alias("low"), F.max("date").alias("high")).collect()}
+    dates = dates.where(F.col("fold") == fold)
+    own = own.join(dates.select("date", "part"), "date")
+    sums = {r.part: r for r in dates.groupBy("part").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"), F.min("date").alias("low"), F.max("date").alias("high")).collect()}
     n = lambda part: sums[part].n if part in sums else 0
     rate = lambda part: sums[part].positive / sums[part].n if n(part) else None
     trees = None
@@ -93,8 +128,8 @@ def fit_fold(panel: DataFrame, dates: DataFrame, target: Target, fold: int, feat
     if status == "fitted":
         # Too few rows to stop by: the validation block stops the fit, as it would where no part was set apart.
         stop = "early_stop" if n("early_stop") >= cv.least_stop_rows else "validation"
-        train = own.where(F.col("part").isin("train", stop)).withColumns({"stops": F.col("part") == stop, "weight": class_weight(F.col("label"), n("train"), int(sums["train"].positive))})
-        fitted = estimator(features, b).fit(train)
+        train = own.where(F.col("part").isin("train", stop)).withColumn("stops", F.col("part") == stop)
+        fitted = fitted_trees(train, features, b, n("train"), int(sums["train"].positive))
         sinks.model(fitted, at("model"))
         trees = fitted.stages[-1].getNumTrees
         found = models.probability(fitted.transform(own.where("part = 'validation'")))
@@ -113,7 +148,8 @@ def train(panel: DataFrame, targets: list[Target], root: str, features: tuple[st
     default the features are picked by the pattern of normalised columns. Folds
     are blocks of ``cv.block`` dates after at least ``cv.least_train`` dates;
     training ends ``horizon + 5`` dates before, its last fifth stops the fit.
-    The same root must not be used with another panel.
+    The complete rows are kept below the root, too: the same root must not be
+    used with another panel.
     """
     spark = panel.sparkSession
     features = features or tuple(models.pattern_features(panel.columns))
@@ -121,11 +157,14 @@ def train(panel: DataFrame, targets: list[Target], root: str, features: tuple[st
         raise ValueError("no feature: name them, or give columns that end in _zscore or _pctrank")
     names = [t.column for t in targets]
     rows = complete_rows(panel, features, cv.least_features).select("ticker", "date", *features, *names)
-    rows = sinks.stored(rows)
+    if not sinks.complete(spark, f"{root}/rows"):
+        sinks.parquet(rows, f"{root}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
     work = []
     for t in targets:
         # A row per date and fold, whatever the number of instruments.
-        dates = sinks.stored(models.walk_forward(rows.where(F.col(t.column).isNotNull()).select("date"), t.horizon, cv.least_train, cv.block))
+        daily = sinks.stored(rows.where(F.col(t.column).isNotNull()).groupBy("date").agg(F.count("*").alias("n"), F.sum(F.col(t.column).cast("double")).alias("positive")))
+        dates = sinks.stored(models.walk_forward(daily.select("date"), t.horizon, cv.least_train, cv.block).join(daily, "date"))
         for fold in [r.fold for r in dates.select("fold").distinct().orderBy("fold").collect()]:
             if not sinks.complete(spark, f"{root}/fits/target={t.column}/fold={fold}"):
                 work.append((dates, t, fold))
@@ -133,10 +172,10 @@ def train(panel: DataFrame, targets: list[Target], root: str, features: tuple[st
         one = inheritable_thread_target(spark)(lambda w: fit_fold(rows, w[0], w[1], w[2], features, b, cv, root))
         for _ in pool.map(one, work):  # raises what a fit raised
             pass
-    return trained(spark, root, features)
+    return trained(spark, root, features, rows)
 
 
-def trained(spark: SparkSession, root: str, features: tuple[str, ...]) -> Trained:
+def trained(spark: SparkSession, root: str, features: tuple[str, ...], rows: DataFrame) -> Trained:
     """The tables of what was fitted below ``root``; empty ones where nothing was."""
 
     def table(kind: str, schema: str) -> DataFrame:
@@ -144,7 +183,7 @@ def trained(spark: SparkSession, root: str, features: tuple[str, ...]) -> Traine
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(f"{root}/{kind}").select(*[x.split()[0] for x in schema.split(", ")])
 
-    return Trained(root, features, table("predictions", PREDICTIONS), table("fits", FITS), table("importance", IMPORTANCE))
+    return Trained(root, features, rows, table("predictions", PREDICTIONS), table("fits", FITS), table("importance", IMPORTANCE))
 
 
 def fold_metrics(t: Trained) -> DataFrame:

@@ -167,11 +167,10 @@ def normalised_panel(spark, sf_dir):
 
     What goes by instrument comes first, on the exchange of the bars; then one exchange by date and sector.
     """
+    returns = ("ret_5d_voladj", "ret_21d_voladj", "ret_63d_voladj")
     df = models.targets(cross.institutional(bars(spark, sf_dir, sectors=True)), 4)
-    df = dealt(df, "date", "sector", like=table(spark, sf_dir, "lineitem"))
-    for x in ("ret_5d_voladj", "ret_21d_voladj", "ret_63d_voladj"):
-        df = cross.sector_normalised(df, x)
-    return df
+    df = df.select("ticker", "date", "sector", "in_universe", *returns, *[t.column for t in TARGETS])
+    return cross.sector_scores(dealt(df, "date", "sector", like=table(spark, sf_dir, "lineitem")), returns)
 
 
 def trained_job(spark, sf_dir):
@@ -207,10 +206,9 @@ def prediction_bands(spark, sf_dir):
 def fold_ensemble(spark, sf_dir):
     """The mean of the kept fold models over the whole panel, with its confidence."""
     job = trained_job(spark, sf_dir)
-    panel = training.complete_rows(normalised_panel(spark, sf_dir), job.features, WEEKLY.least_features)
     if not job.folds("target_up_4d"):  # tables too small for a fold
         return spark.createDataFrame([], "ticker string, date date, ensemble_p double, confidence double")
-    return training.scored(job, panel.select("ticker", "date", *job.features), "target_up_4d").select("ticker", "date", "ensemble_p", "confidence")
+    return training.scored(job, job.rows.select("ticker", "date", *job.features), "target_up_4d").select("ticker", "date", "ensemble_p", "confidence")
 
 
 def drained(stream):

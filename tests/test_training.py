@@ -6,11 +6,15 @@ import datetime as dt
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import functions as F
 
 from quillon.config import Boosting, CrossValidation
-from quillon.operators import models, training
+from quillon.operators import cross, models, training
 from quillon.plans import models as plans
 from quillon.sources import panels, sinks
 
@@ -118,3 +122,64 @@ def test_tasks_of_the_panel_grow_with_its_rows(spark, monkeypatch):
     n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
     assert n > spark.sparkContext.defaultParallelism
     assert plans.normalised_panel(spark, sf).rdd.getNumPartitions() == n
+
+
+def test_passes_of_a_fit_do_not_grow_with_the_rows(spark, panel, tmp_path, monkeypatch):
+    """Four copies of all rows: the trees read the counts of the equal rows, which weigh four times as much."""
+    seen, inner = [], GBTClassifier.fit
+    monkeypatch.setattr(training, "DRAWS", 300)
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, *a: (seen.append(df.where("not stops").selectExpr("count(*) AS n", "sum(weight) AS w").first()), inner(self, df, *a))[1])
+    few = panel.where("date < '2020-04-01'")
+    many = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("ticker", F.concat_ws("-", "ticker", "copy"))
+    jobs = [training.train(df, [training.Target("up_3d", 3)], f"file://{tmp_path}/{k}", b=BOOST, cv=CV) for k, df in enumerate((few, many))]
+    a, b = ([r.train_rows for r in job.fits.collect()] for job in jobs)
+    assert len(a) == 1 and b == [4 * a[0]]
+    assert seen[0].n <= a[0] and seen[1].n < 1.1 * seen[0].n and seen[0].w == pytest.approx(a[0]) and seen[1].w == pytest.approx(b[0])
+
+
+def test_draws(spark, monkeypatch):
+    monkeypatch.setattr(training, "DRAWS", 10)
+    cells = spark.createDataFrame([(1, 13, False), (2, 1, False), (3, 40, True)], "bin int, n long, stops boolean")
+    single = training.draws(cells, 10).groupBy("bin").agg(F.count("*").alias("k"), F.sum("of").alias("n"))
+    assert {r.bin: (r.k, r.n) for r in single.collect()} == {1: (13, 13), 2: (1, 1), 3: (1, 40)}
+    grouped = training.draws(cells, 34).groupBy("bin").agg(F.count("*").alias("k"), F.sum("of").alias("n"))
+    assert {r.bin: (r.k, r.n) for r in grouped.collect()} == {1: (4, 13), 2: (1, 1), 3: (1, 40)}
+
+
+def test_a_fit_is_that_of_the_rows(spark, panel):
+    """Without draws and class weights, counts of equal rows give the trees that the rows give."""
+    signal = F.coalesce((F.col("a_zscore") > 0.3) == (F.col("b_pctrank") > 0.4), F.lit(True)) == (F.xxhash64("ticker", "date") % 5 != 0)
+    train = panel.select("a_zscore", "b_pctrank", signal.cast("double").alias("label"), (F.col("date") >= "2020-04-20").alias("stops"))
+    n = train.where("not stops").count()
+    positive = n / 2  # all weigh the same: Spark's splits are equal steps of weight, here of rows
+    b = Boosting(trees=15, rate=0.1, depth=3, rows=1.0, features=1.0)
+    filled = ["a_zscore_filled", "b_pctrank_filled"]
+    plain = Pipeline(stages=[
+        Imputer(strategy="median", inputCols=["a_zscore", "b_pctrank"], outputCols=filled, relativeError=b.median_error), VectorAssembler(inputCols=filled, outputCol="features"),
+        GBTClassifier(labelCol="label", weightCol="weight", validationIndicatorCol="stops", maxIter=b.trees, maxDepth=b.depth, stepSize=b.rate, minInstancesPerNode=b.least_leaf, validationTol=b.tolerance, seed=b.seed),
+    ]).fit(train.withColumn("weight", training.class_weight(F.col("label"), n, positive)))
+    counted = training.fitted_trees(train, ("a_zscore", "b_pctrank"), b, n, positive)
+    assert counted.stages[-1].getNumTrees == plain.stages[-1].getNumTrees > 1
+    rows = panel.select("ticker", "date", "a_zscore", "b_pctrank")
+    want, got = ({(r.ticker, r.date): r.p for r in models.probability(m.transform(rows)).select("ticker", "date", "p").collect()} for m in (plain, counted))
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_the_panel_is_made_once_for_a_job(spark, panel, job, tmp_path):
+    """A job that is started again reads its rows, and so does who scores them."""
+    unread = panel.withColumn("a_zscore", F.raise_error(F.lit("made again")).cast("double"))
+    again = training.train(unread, [training.Target("up_3d", 3), training.Target("never", 3)], job.root, b=BOOST, cv=CV)
+    assert again.rows.count() == panel.count()
+
+
+def test_scores_of_a_sector_are_those_of_windows(spark):
+    rng = random.Random(5)
+    rows = [(f"t{k}", d, s, k % 7 > 0, rng.choice((1.0, 2.0, rng.gauss(0, 3))) if k % 5 else None, 2.0 if k % 3 else rng.random()) for d in (1, 2) for s, n in (("a", 40), ("b", 9), (None, 20)) for k in range(n)]
+    df = spark.createDataFrame(rows, "ticker string, date int, sector string, in_universe boolean, x double, y double")
+    made = ["x_zscore", "x_pctrank", "y_zscore", "y_pctrank"]
+    want = cross.sector_normalised(cross.sector_normalised(df, "x"), "y")
+    key = lambda r: (r.date, str(r.sector), r.ticker)
+    a, b = (sorted(d.collect(), key=key) for d in (want, cross.sector_scores(df, ("x", "y"))))
+    table = lambda rs: np.array([[r[m] for m in made] for r in rs], dtype=float)
+    np.testing.assert_allclose(table(b), table(a), rtol=1e-12, atol=1e-12)
+    assert sum(r.x_zscore is not None for r in b) > 40 and all(r.y_zscore is None for r in b)  # y's deviation is 0

@@ -53,10 +53,14 @@ def research_universe(sources: list[DataFrame], master: DataFrame, limits: Unive
     return {"research_prices": prices, "reference_master": master, "integrity": checks, "research_universe": chosen, "universe_prices": keep("universe_prices", inside)}
 
 
+def transformed_panel(prices: DataFrame, keep: Keep = shared) -> DataFrame:
+    """Transformed prices with sector ranks. ``prices`` carries ``sector``."""
+    return keep("transformed_panel", shape.sector_ranks(shape.transformed(prices), RANKED))
+
+
 def feature_panel(prices: DataFrame, keep: Keep = shared) -> DataFrame:
-    """Transformed prices with sector ranks and the mean reversion of their features. ``prices`` carries ``sector``."""
-    panel = keep("transformed_panel", shape.sector_ranks(shape.transformed(prices), RANKED))
-    return keep("feature_panel", series.mean_reversion(panel))
+    """The transformed panel with the mean reversion of its features."""
+    return keep("feature_panel", series.mean_reversion(transformed_panel(prices, keep)))
 
 
 def regime_tables(panel: DataFrame, train_until: str, keep: Keep = shared, features: tuple[str, ...] = REGIME_FEATURES) -> dict[str, DataFrame]:
@@ -92,10 +96,18 @@ def training_panel(prices: DataFrame, horizons: tuple[int, ...], keep: Keep = sh
 
 
 def panel(sources: list[DataFrame], master: DataFrame, limits: UniverseThresholds, today: str, train_until: str, keep: Keep = shared) -> dict[str, DataFrame]:
-    """The whole chain: universe, features, regimes, normalisation; all its tables by name."""
+    """The whole chain: universe, features, regimes, normalisation; all its tables by name.
+
+    Regimes and normalisation stand on the transformed panel. The mean reversion
+    adds its hundred columns last, so that they are shipped nowhere and written
+    once: the feature panel is the normalised panel without what those two add.
+    """
     out = research_universe(sources, master, limits, today, keep)
-    out["feature_panel"] = feature_panel(out["universe_prices"], keep)
-    out |= regime_tables(out["feature_panel"], train_until, keep)
-    labelled = out["feature_panel"].join(out["gmm_regimes"], ["ticker", "date"], "left")
-    out["normalised_panel"] = normalised_panel(labelled, "log_return_1d", limits.price, limits.average_volume, keep)
+    out["transformed_panel"] = narrow = transformed_panel(out["universe_prices"], keep)
+    out |= regime_tables(narrow, train_until, keep)
+    labelled = narrow.join(out["gmm_regimes"], ["ticker", "date"], "left")
+    normalised = normalised_panel(labelled, "log_return_1d", limits.price, limits.average_volume, lambda name, df: df)
+    out["normalised_panel"] = whole = keep("normalised_panel", series.mean_reversion(normalised))
+    added = set(normalised.columns) - set(narrow.columns)
+    out["feature_panel"] = whole.select(*[x for x in whole.columns if x not in added])
     return out

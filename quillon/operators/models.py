@@ -255,7 +255,7 @@ class RegimeModel:
         return [(c.clip(x, *self.bounds[x]) - self.means[x]) / self.deviations[x] for x in self.features]
 
     def fit(self, train: DataFrame) -> RegimeModel:
-        rows = sinks.stored(train.where(self.ready()).select("ticker", "date", *self.features))
+        rows = whole = sinks.stored(train.where(self.ready()).select("ticker", "date", *self.features))
         self.bounds = exact_quantiles(rows, {x: list(self.quantiles) for x in self.features})
         if self.most_rows is not None:
             rows = rows.orderBy(F.xxhash64(F.lit(self.fitting.seed), "ticker", "date"), "ticker", "date").limit(self.most_rows)
@@ -265,7 +265,10 @@ class RegimeModel:
         sums = rows.agg(*[f(v).alias(f"{n}{k}") for k, v in enumerate(clipped.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         self.means = {x: sums[f"m{k}"] for k, x in enumerate(self.features)}
         self.deviations = {x: sums[f"s{k}"] or 1.0 for k, x in enumerate(self.features)}
-        self.mixture = mixtures.fit(sinks.stored(rows.select(F.array(*self.scaled()).alias("x"))), "x", self.fitting)
+        scaled = sinks.stored(rows.select(F.array(*self.scaled()).alias("x")))
+        sinks.dropped(whole)
+        self.mixture = mixtures.fit(scaled, "x", self.fitting)
+        sinks.dropped(scaled)
         self.chosen = self.mixture.k
         return self
 

@@ -54,7 +54,15 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: computed once, and safe from lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that :func:`stored` made, once nothing that is still to be computed reads them."""
+    for t in tables:
+        discard(t.sparkSession, t._stored)
 
 
 def rewritten(spark: SparkSession, path: str, change) -> str:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 
 from quillon import jobs
 from quillon.config import Paths, UniverseThresholds
 from quillon.operators import universe
+from quillon.operators.series import mean_reversion
 from quillon.plans import chains
+from quillon.sources import sinks
 
 PRICE = "ticker string, date date, open double, high double, low double, close double, volume double, vwap double, transactions double"
 MASTER = "ticker string, name string, market_cap double, industry string, sector string"
@@ -67,3 +70,29 @@ def test_training_panel_has_targets_and_features(spark):
     assert pattern_features(df.columns) == [f"ret_{h}d_voladj_{k}" for h in (5, 21, 63) for k in ("zscore", "pctrank")]
     row = df.selectExpr("count(target_up_13d) AS n", "count(target_up_4d) AS m", "count(ret_5d_voladj_zscore) AS z").first()
     assert 0 < row.n < row.m and row.z > 0
+
+
+def test_the_mean_reversion_is_written_once(spark):
+    """Its hundred columns are the larger part of the disk; the feature panel is a part of the table that has them."""
+    sf, kept = "/root/testdata/sf0.01", {}
+
+    def keep(name, df):
+        kept[name] = jobs.shared(name, df)
+        return kept[name]
+
+    found = jobs.panel(chains.sources(spark, sf), chains.active(spark, sf), chains.LIMITS, chains.TODAY, chains.TRAIN, keep)
+    wide = [name for name, df in kept.items() if any(x.startswith("ou_") for x in df.columns)]
+    assert wide == ["normalised_panel"]
+    want = mean_reversion(found["transformed_panel"])
+    got = found["feature_panel"]
+    assert sorted(got.columns) == sorted(want.columns) and "gmm_regime_label" in found["normalised_panel"].columns
+    assert got.select(want.columns).exceptAll(want).count() == want.exceptAll(got.select(want.columns)).count() == 0
+
+
+def test_the_feature_job_leaves_its_result_only(spark):
+    root = sinks.shared_folder(spark).removeprefix("file://")
+    tables = lambda: {p for p in os.listdir(root) if p.startswith("quillon-io-")}
+    before = tables()
+    out = chains.feature_job(spark, "/root/testdata/sf0.01")
+    assert len(tables() - before) == 1 and set(spark.read.parquet(f"{root}/{(tables() - before).pop()}").columns) == set(out.columns)
+    assert out.where("ou_log_close_stretch_21 is not null").count() > 0

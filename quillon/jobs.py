@@ -31,8 +31,25 @@ def at(paths: Paths) -> Keep:
 
 
 def shared(name: str, df: DataFrame) -> DataFrame:
-    """Stages in the shared folder, gone when the driver ends."""
-    return sinks.stored(df)
+    """Stages in the shared folder, gone when the driver ends.
+
+    Spark removes the shuffle files of a stage once the driver's JVM has collected its plan; a driver that does little may not for long.
+    """
+    out = sinks.stored(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def passing(last: dict[str, tuple[str, ...]], keep: Keep = shared) -> Keep:
+    """Stages that are removed once nothing reads them: ``last`` has a stage's name, and those that are read for it for the last time."""
+    kept = {}
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        kept[name] = keep(name, df)
+        sinks.dropped(*[kept[x] for x in last.get(name, ())])
+        return kept[name]
+
+    return one
 
 
 def research_universe(sources: list[DataFrame], master: DataFrame, limits: UniverseThresholds, today: str, keep: Keep = shared) -> dict[str, DataFrame]:

@@ -17,8 +17,8 @@ LIMITS = UniverseThresholds(price=900, average_volume=20, market_cap=100)  # lea
 TODAY, TRAIN = "2001-12-01", "2000-12-31"
 ELIGIBLE = f"m AS (SELECT ticker, avg(close) OVER {s.frame(22)} AS mc, avg(volume) OVER {s.frame(22)} AS mv, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM bars), chosen AS (SELECT ticker FROM m JOIN master USING (ticker) WHERE n = 1 AND mc >= {LIMITS.price} AND mv >= {LIMITS.average_volume} AND market_cap >= {LIMITS.market_cap}), inside AS (SELECT * FROM sbars WHERE ticker IN (FROM chosen))"
 STRETCHES = [f"ou_{label}_stretch_{n}" for label, _ in LABELS.values() for n in series.OU_WINDOWS]
-#: Stages of the feature job, and those that nothing reads after them.
-READ_LAST_BY = {"universe_prices": ("research_prices", "reference_master", "integrity", "research_universe"), "transformed_panel": ("universe_prices",), "feature_panel": ("transformed_panel",)}
+#: Of the stages that a query doesn't give: when they are read for the last time.
+READ_LAST = {"universe_prices": ("research_prices", "reference_master", "integrity", "research_universe"), "transformed_panel": ("universe_prices",)}
 
 
 def sources(spark, sf_dir):
@@ -38,21 +38,16 @@ def universe_job(spark, sf_dir):
 
 
 def feature_job(spark, sf_dir):
-    """Of the feature panel, the columns that the query gives are stored; a stage is removed once the next one stands."""
-    kept = {}
-
-    def keep(name, df):
-        kept[name] = jobs.shared(name, rounded(df, [*RANK_LEVEL, *STRETCHES], digits=4) if name == "feature_panel" else df)
-        for x in READ_LAST_BY.get(name, ()):
-            sinks.dropped(kept[x])
-        return kept[name]
-
+    """Of the feature panel, the columns that the query gives are stored."""
+    last = lambda name, df: jobs.shared(name, rounded(df, [*RANK_LEVEL, *STRETCHES], digits=4) if name == "feature_panel" else df)
+    keep = jobs.passing(READ_LAST | {"feature_panel": ("transformed_panel",)}, last)
     found = jobs.research_universe(sources(spark, sf_dir), active(spark, sf_dir), LIMITS, TODAY, keep)
     return jobs.feature_panel(found["universe_prices"], keep)
 
 
 def panel_job(spark, sf_dir):
-    found = jobs.panel(sources(spark, sf_dir), active(spark, sf_dir), LIMITS, TODAY, TRAIN)
+    keep = jobs.passing(READ_LAST | {"normalised_panel": ("transformed_panel", "gmm_regimes")})
+    found = jobs.panel(sources(spark, sf_dir), active(spark, sf_dir), LIMITS, TODAY, TRAIN, keep)
     return found["normalised_panel"].select("ticker", "date", "in_universe", "gmm_regime_label", "gmm_regime_confidence", "log_return_1d_pctrank", "log_return_1d_zscore")
 
 
